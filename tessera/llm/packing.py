@@ -95,7 +95,7 @@ def plan_supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, in
 def _ranked(pieces: DataFrame, per_group: int) -> DataFrame:
     """Adds `rank`, 0.. within each length: ranks in salted groups plus the sizes of the groups before."""
     total = pieces.count()
-    salts = max(1, -(-total // per_group))
+    salts = max(64, -(-total // per_group))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").count()
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,7 +108,7 @@ def _ranked(pieces: DataFrame, per_group: int) -> DataFrame:
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
-def place(pieces: DataFrame, capacity: int, per_group: int = 20_000) -> DataFrame:
+def place(pieces: DataFrame, capacity: int, per_group: int = 1_000_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = plan_supersteps(counts, capacity)

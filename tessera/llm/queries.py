@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, near_dedup, packing, quality, token_files, url_filters
+from . import bpe, exact_dedup, line_dedup, near_dedup, packing, quality, suffix_dedup, token_files, url_filters
 
 
 def tokenizer(name: str) -> str:
@@ -55,7 +55,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_url_filters, op4_best_fit_packing, op5_bpe_prefix_dp, op6_quality_rules, op7_bit_plane_files, op8_minhash_near_dedup, op9_exact_dedup)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100, digests_only=True)
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_url_filters, op4_best_fit_packing, op5_bpe_prefix_dp, op6_quality_rules, op7_bit_plane_files, op8_minhash_near_dedup, op9_exact_dedup, op10_suffix_dedup)}
 
 ORACLES = {
     "op2_line_dedup": r"""
