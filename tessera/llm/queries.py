@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, near_dedup, packing, quality, suffix_dedup, token_files, url_filters
+from . import bpe, exact_dedup, line_dedup, near_dedup, packing, quality, quotes, suffix_dedup, token_files, url_filters
 
 
 def tokenizer(name: str) -> str:
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 #: the rule set of the URL query
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -59,7 +63,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100, digests_only=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_url_filters, op4_best_fit_packing, op5_bpe_prefix_dp, op6_quality_rules, op7_bit_plane_files, op8_minhash_near_dedup, op9_exact_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_line_dedup, op3_url_filters, op4_best_fit_packing, op5_bpe_prefix_dp, op6_quality_rules, op7_bit_plane_files, op8_minhash_near_dedup, op9_exact_dedup, op10_suffix_dedup)}
 
 ORACLES = {
     "op2_line_dedup": r"""

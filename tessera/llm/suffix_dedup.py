@@ -489,3 +489,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = rows.join(spans, ["id", "text"], "left").select("id", "t", "spans")
     last = "kept_sha256 string" if digests_only else "kept binary"
     return joined.mapInArrow(apply, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+
+
+def documents_without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, chars_col: str = "n_chars") -> DataFrame:
+    """The rows and columns of docs with the kept text; chars_col, if there, is counted anew.
+
+    A span's ends move outwards to whole characters, so that what stays is valid UTF-8. A null text stays null.
+    """
+    rows, spans = repeated_spans(docs, id_col, text_col, length)
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, names.index(text_col)):
+                texts = []
+                for text, found in zip(batch.column(names.index(text_col)).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                    if text is None or not found:
+                        texts.append(text)
+                        continue
+                    data, at, parts = text.encode(), 0, []
+                    for lo, hi in union_spans(found):
+                        while lo > at and data[lo] & 0xC0 == 0x80:
+                            lo -= 1
+                        while hi < len(data) and data[hi] & 0xC0 == 0x80:
+                            hi += 1
+                        parts.append(data[at:lo])
+                        at = max(at, hi)
+                    texts.append(b"".join([*parts, data[at:]]).decode())
+                columns = [pa.array(texts, batch.column(i).type) if n == text_col else batch.column(i) for i, n in enumerate(names)]
+                if chars_col in names:
+                    i = names.index(chars_col)
+                    columns[i] = pa.array([old if t is None else len(t) for t, old in zip(texts, columns[i].to_pylist(), strict=True)], columns[i].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    keyed = docs.withColumns({"__id": _key(id_col), "__text": F.xxhash64(text_of(text_col))})
+    spans = spans.select(F.col("id").alias("__id"), F.col("text").alias("__text"), F.col("spans").alias("__spans"))
+    return keyed.join(spans, ["__id", "__text"], "left").select(*names, "__spans").mapInArrow(cut, docs.schema)
