@@ -1,12 +1,542 @@
-"""The library's named queries over the driver's tables."""
+"""The library's named queries over the driver's tables, and the SQL that each must agree with.
+
+Each query runs an operator over whole tables. Oracles spell the same result in plain SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config.project import ForeignKey, Project, Unnest
+from .functions import geo
+from .functions.predicate import compile_predicate
+from .functions.replace import apply_replacements, unmatched
+from .functions.text import normalize_text
+from .ingest import submission as eav
+from .operators.extra_columns import add_extra_columns
+from .operators.filters import apply_filters
+from .operators.identity import add_system_id
+from .operators.link import Remote, check, indicator, link, map_to_remote
+from .operators.reshape import union, unnest
+from .operators.shared import fixed
+from .operators.subset import drop_duplicates, drop_empty_rows, fd_violations, select_columns, translate_columns
+from .plans.pipeline import duplicate_keys, normalize
+from .quality.validators import orphans
+from .recon import reconcile
+from .service import analysis
+from .sinks.writers import table_shapes
+from .streaming.steps import windowed_counts
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _remote(spark: SparkSession, sf_dir: str, name: str, key: str, public_id: str) -> Remote:
+    """A table with system ids in key order, as links see it."""
+    return Remote(name, fixed(add_system_id(table(spark, sf_dir, name), [key])), "system_id", public_id)
+
+
+_NATION = "(SELECT row_number() OVER (ORDER BY n_nationkey) AS nation_id, * FROM nation)"
+
+
+# projection and derived columns
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def subset_projection(spark, sf_dir):
+    return select_columns(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "no_such_column", "o_orderstatus"])
+
+
+@query(
+    "SELECT c_custkey, c_name, 42 AS answer, '=x' AS literal, upper(c_name) || '/' || coalesce(c_mktsegment, '') AS formula,"
+    " c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR) AS joined, c_name AS copied, 'plain text' AS plain FROM customer"
+)
+def extra_columns_all_modes(spark, sf_dir):
+    df = select_columns(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"])
+    extra = {"answer": 42, "literal": "==x", "formula": "=concat(upper(c_name), '/', c_mktsegment)", "joined": "{c_mktsegment}-{c_nationkey}", "copied": "C_NAME", "plain": "plain text"}
+    return add_extra_columns(df, extra)[0].drop("c_mktsegment", "c_nationkey")
+
+
+def _formula(name: str, source: str):
+    def run(spark, sf_dir):
+        df = select_columns(table(spark, sf_dir, "part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+        return add_extra_columns(df, {name: source})[0].select("p_partkey", name)
+
+    return run
+
+
+QUERIES["formula_concat"] = _formula("r", "=concat(p_brand, ' ', p_type, null)")
+ORACLES["formula_concat"] = "SELECT p_partkey, coalesce(p_brand, '') || ' ' || coalesce(p_type, '') AS r FROM part"
+QUERIES["formula_upper_lower_trim"] = _formula("r", "=concat(upper(p_name), '|', lower(p_brand), '|', trim('  x\t'))")
+ORACLES["formula_upper_lower_trim"] = "SELECT p_partkey, upper(p_name) || '|' || lower(p_brand) || '|x' AS r FROM part"
+QUERIES["formula_substr"] = _formula("r", "=concat(substr(p_name, 2, 3), '|', substr(p_name, -4, 2))")
+ORACLES["formula_substr"] = "SELECT p_partkey, substr(p_name, 3, 3) || '|' || substr(p_name, greatest(length(p_name) - 4, 0) + 1, greatest(length(p_name) - 2, 0) - greatest(length(p_name) - 4, 0)) AS r FROM part"
+QUERIES["formula_coalesce"] = _formula("r", "=coalesce(null, p_brand, 'none')")
+ORACLES["formula_coalesce"] = "SELECT p_partkey, coalesce(p_brand, 'none') AS r FROM part"
+
+
+@query("SELECT p_partkey, p_brand || '-' || p_size AS label, '{' || p_type || '}' AS braces FROM part")
+def interpolation(spark, sf_dir):
+    df = select_columns(table(spark, sf_dir, "part"), ["p_partkey", "p_brand", "p_size", "p_type"])
+    return add_extra_columns(df, {"label": "{p_brand}-{p_size}", "braces": "{{{p_type}}}"})[0].select("p_partkey", "label", "braces")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, n_regionkey FROM nation")
+def column_translation(spark, sf_dir):
+    return translate_columns(table(spark, sf_dir, "nation"), {"n_nationkey": "id", "n_name": "name", "n_regionkey": "id"})
+
+
+@query("SELECT doc_id, strip_accents(lower(lang || ' ' || source)) AS plain FROM documents")
+def normalized_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", normalize_text(F.concat("lang", F.lit(" "), "source")).alias("plain"))
+
+
+# filters
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE (l_quantity > 10 AND l_discount <= 0.05 OR l_returnflag IN ('R', 'A'))"
+    " AND NOT coalesce(l_linestatus = 'F', false)"
+)
+def filter_query(spark, sf_dir):
+    spec = [{"type": "query", "query": "(l_quantity > 10 and l_discount <= 0.05 or l_returnflag in ['R', 'A']) and l_linestatus != 'F'"}]
+    return apply_filters(table(spark, sf_dir, "lineitem"), spec, {}).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%e%' AND p_brand LIKE 'Brand%' AND p_size BETWEEN 5 AND 30 AND p_retailprice IS NOT NULL")
+def filter_query_strings(spark, sf_dir):
+    test = compile_predicate("p_name.str.contains('e') and p_brand.str.startswith('Brand') and 5 <= p_size <= 30 and p_retailprice.notna()", table(spark, sf_dir, "part").columns)
+    return table(spark, sf_dir, "part").where(test).select("p_partkey", "p_name")
+
+
+@query("SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE NOT coalesce(quality = 1, false)")
+def filter_query_nulls(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return apply_filters(joined, [{"type": "query", "query": "quality != 1"}], {}).select("doc_id", "quality")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey IS NOT DISTINCT FROM o.o_custkey AND c_mktsegment = 'BUILDING')")
+def filter_exists_in(spark, sf_dir):
+    store = {"customer": table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")}
+    spec = [{"type": "exists_in", "column": "o_custkey", "other_entity": "customer", "other_column": "c_custkey"}]
+    return apply_filters(table(spark, sf_dir, "orders"), spec, store).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NOT NULL OR toxic IS NOT NULL")
+def filter_drop_empty_rows(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return drop_empty_rows(joined, ["quality", "toxic"]).select("doc_id", "quality", "toxic")
+
+
+# links
+
+
+def _customer_nation(how: str):
+    """Only some nations, so that both sides have rows without a partner."""
+
+    def run(spark, sf_dir):
+        nation = _remote(spark, sf_dir, "nation", "n_nationkey", "nation_id")
+        some = Remote("nation", nation.df.where("n_nationkey >= 5"), "system_id", "nation_id")
+        customer = select_columns(table(spark, sf_dir, "customer").where("c_nationkey < 20"), ["c_custkey", "c_nationkey"])
+        fk = ForeignKey.of({"entity": "nation", "local_keys": ["c_nationkey"], "remote_keys": ["n_nationkey"], "how": how, "extra_columns": {"nation_name": "n_name"}})
+        return link(customer, fk, some)[0]
+
+    return run
+
+
+for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    QUERIES[f"fk_{_how}"] = _customer_nation(_how)
+    ORACLES[f"fk_{_how}"] = (
+        f"SELECT c_custkey, c_nationkey, nation_id, n_name AS nation_name FROM (SELECT * FROM customer WHERE c_nationkey < 20) c"
+        f" {_join} (SELECT * FROM {_NATION} WHERE n_nationkey >= 5) n ON c_nationkey = n_nationkey"
+    )
+
+
+@query("SELECT a.r_name, b.nation_id FROM region a CROSS JOIN (SELECT nation_id FROM " + _NATION + ") b")
+def fk_cross(spark, sf_dir):
+    nation = _remote(spark, sf_dir, "nation", "n_nationkey", "nation_id")
+    return link(select_columns(table(spark, sf_dir, "region"), ["r_name"]), ForeignKey.of({"entity": "nation", "how": "cross"}), nation)[0]
+
+
+def _with_nulls(spark, sf_dir, matches: bool) -> DataFrame:
+    """Documents' quality (null where unlabelled) against a lookup that has a null key itself."""
+    left = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long")), "doc_id", "left")
+    lookup = spark.range(1).select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(None))).alias("key")).withColumn("key", F.col("key").cast("long")).withColumn("system_id", F.coalesce(F.col("key"), F.lit(8)) + 1)
+    spec = {"entity": "grade", "local_keys": ["quality"], "remote_keys": ["key"], "how": "left"}
+    if matches:  # a link on a business key that is the remote's identity is no mere lookup
+        return link(left, ForeignKey.of({**spec, "how": "inner"}), Remote("grade", lookup, "system_id", "grade_id"))[0]
+    return link(left, ForeignKey.of(spec), Remote("grade", lookup, "system_id", "grade_id"))[0]
+
+
+_GRADES = "(VALUES (0, 1), (1, 2), (NULL, 9)) AS g(key, grade_id)"
+
+
+@query(f"SELECT d.doc_id, quality, grade_id FROM documents d LEFT JOIN labels l USING (doc_id) JOIN {_GRADES} ON quality IS NOT DISTINCT FROM key")
+def fk_null_matching(spark, sf_dir):
+    return _with_nulls(spark, sf_dir, True)
+
+
+@query(f"SELECT d.doc_id, quality, grade_id FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN {_GRADES} ON quality = key")
+def fk_null_safe(spark, sf_dir):
+    return _with_nulls(spark, sf_dir, False)
+
+
+@query(
+    "SELECT c_custkey, nation_id, nation_name, region_id, region_name FROM customer JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) AS nation_id, n_nationkey, n_name AS nation_name, n_regionkey FROM nation)"
+    " ON c_nationkey = n_nationkey JOIN (SELECT row_number() OVER (ORDER BY r_regionkey) AS region_id, r_regionkey, r_name AS region_name FROM region) ON n_regionkey = r_regionkey"
+)
+def fk_chain_extra_columns(spark, sf_dir):
+    nation, region = _remote(spark, sf_dir, "nation", "n_nationkey", "nation_id"), _remote(spark, sf_dir, "region", "r_regionkey", "region_id")
+    df = select_columns(table(spark, sf_dir, "customer"), ["c_custkey", "c_nationkey"])
+    df, _ = link(df, ForeignKey.of({"entity": "nation", "local_keys": ["c_nationkey"], "remote_keys": ["n_nationkey"], "extra_columns": {"nation_name": "n_name", "n_regionkey": "n_regionkey"}}), nation)
+    df, _ = link(df, ForeignKey.of({"entity": "region", "local_keys": ["n_regionkey"], "remote_keys": ["r_regionkey"], "extra_columns": {"region_name": "r_name"}}), region)
+    return df.select("c_custkey", "nation_id", "nation_name", "region_id", "region_name")
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber, b.l_quantity AS quantity FROM lineitem a JOIN lineitem b USING (l_orderkey, l_linenumber)")
+def fk_composite(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    remote = Remote("line", lines.withColumn("system_id", F.lit(1).cast("long")), "system_id", "line_id")
+    fk = ForeignKey.of({"entity": "line", "local_keys": ["l_orderkey", "l_linenumber"], "remote_keys": ["l_orderkey", "l_linenumber"], "extra_columns": {"quantity": "l_quantity"}, "drop_remote_id": True})
+    return link(select_columns(lines, ["l_orderkey", "l_linenumber"]), fk, remote)[0]
+
+
+@query(
+    "SELECT _merge, count(*) AS n_rows FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'left_only' WHEN c_custkey IS NULL THEN 'right_only' ELSE 'both' END AS _merge"
+    " FROM customer FULL JOIN orders ON c_custkey = o_custkey) GROUP BY 1"
+)
+def fk_merge_indicator(spark, sf_dir):
+    left = table(spark, sf_dir, "customer").select("c_custkey", F.lit(True).alias("__left"))
+    right = table(spark, sf_dir, "orders").select("o_custkey", F.lit(True).alias("__right"))
+    return left.join(right, F.col("c_custkey") == F.col("o_custkey"), "full").select(indicator().alias("_merge")).groupBy("_merge").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(
+    "SELECT (SELECT count(*) FROM orders) AS left_rows, (SELECT count(*) - count(DISTINCT o_custkey) FROM orders) AS left_repeats, (SELECT count(*) FROM customer) AS right_rows,"
+    " (SELECT count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)) AS left_only,"
+    " (SELECT count(*) FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)) AS right_only"
+)
+def constraint_report(spark, sf_dir):
+    """The fused counts behind all link constraints."""
+    orders = select_columns(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey"])
+    remote = _remote(spark, sf_dir, "customer", "c_custkey", "customer_id")
+    fk = ForeignKey.of({"entity": "customer", "local_keys": ["o_custkey"], "remote_keys": ["c_custkey"], "how": "outer", "constraints": {"cardinality": "many_to_one"}})
+    theirs = remote.df.select(F.col("c_custkey").alias("__key0"), F.lit(True).alias("__right"))
+    joined = orders.withColumn("__left", F.lit(True)).join(theirs, F.col("o_custkey") == F.col("__key0"), "full")
+    counts = check(orders, fk, remote, joined, False).counts
+    return spark.range(1).select(*[F.lit(counts[k]).cast("long").alias(k) for k in ("left_rows", "left_repeats", "right_rows", "left_only", "right_only")])
+
+
+@query(
+    "SELECT (SELECT count(*) FROM orders) AS total_rows, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)) AS matched_rows, 'many_to_one' AS cardinality"
+)
+def fk_join_stats(spark, sf_dir):
+    from .operators.link import join_stats
+
+    remote = Remote("customer", table(spark, sf_dir, "customer").where("c_custkey % 2 = 0"), "c_custkey", "customer_id")
+    s = join_stats(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ForeignKey.of({"entity": "customer", "local_keys": ["o_custkey"], "remote_keys": ["c_custkey"]}), remote)
+    return spark.range(1).select(F.lit(s["total_rows"]).cast("long").alias("total_rows"), F.lit(s["matched_rows"]).cast("long").alias("matched_rows"), F.lit(s["cardinality"]).alias("cardinality"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, CAST(CASE o_orderstatus WHEN 'F' THEN 10 WHEN 'O' THEN 20 END AS BIGINT) AS status_id FROM orders")
+def map_to_remote_ids(spark, sf_dir):
+    return map_to_remote(select_columns(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus"]), "o_orderstatus", "status_id", {"F": 10, "O": 20})
+
+
+@query("SELECT DISTINCT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND lang = 'en')")
+def orphan_keys(spark, sf_dir):
+    return orphans(table(spark, sf_dir, "labels"), ["doc_id"], table(spark, sf_dir, "documents").where("lang = 'en'"), ["doc_id"])
+
+
+# duplicates, dependencies
+
+
+@query("SELECT conv_id, count(*) AS n_rows FROM conversations GROUP BY conv_id HAVING count(*) > 1")
+def non_unique_keys(spark, sf_dir):
+    return duplicate_keys(table(spark, sf_dir, "conversations"), ["conv_id"])
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def distinct_all(spark, sf_dir):
+    return drop_duplicates(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority"), True)
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+def distinct_keep_first(spark, sf_dir):
+    return drop_duplicates(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
+
+
+@query("SELECT l_orderkey, count(DISTINCT (l_returnflag, l_linestatus)) AS n_variants FROM lineitem GROUP BY 1 HAVING count(DISTINCT (l_returnflag, l_linestatus)) > 1")
+def fd_violation_keys(spark, sf_dir):
+    return fd_violations(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus"), ["l_orderkey"])
+
+
+# reshape
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, measure, amount FROM (SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_discount AS discount, l_tax AS tax FROM lineitem)"
+    " UNPIVOT INCLUDE NULLS (amount FOR measure IN (quantity, discount, tax))"
+)
+def unnest_measures(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    return unnest(df, Unnest(("l_orderkey", "l_linenumber"), ("quantity", "discount", "tax"), "measure", "amount"))
+
+
+def _people(spark, sf_dir) -> Project:
+    return Project.of(
+        {
+            "entities": {
+                "by_name": {"source": "c", "keys": ["code"], "columns": ["code", "name"], "append": [{"source": "s", "columns": ["code", "name", "balance"]}]},
+                "by_position": {"source": "c", "keys": ["code"], "columns": ["code", "name"], "append": [{"source": "t", "columns": ["s_suppkey", "s_name"], "keys": [], "align_by_position": True}]},
+                "mapped": {"source": "c", "keys": ["code"], "columns": ["code", "name"], "append": [{"source": "t", "columns": ["code", "name"], "column_mapping": {"s_suppkey": "code", "s_name": "name"}}]},
+                "party": {"type": "merged", "public_id": "party_id", "columns": ["name"], "branches": [{"name": "buyer", "source": "buyer"}, {"name": "seller", "source": "seller"}]},
+                "buyer": {"source": "c", "public_id": "buyer_id", "keys": ["code"], "columns": ["name"]},
+                "seller": {"source": "s", "public_id": "seller_id", "keys": ["code"], "columns": ["name"]},
+            }
+        }
+    )
+
+
+def _built(spark, sf_dir, name: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    given = {"c": c, "s": t.toDF("code", "name", "balance"), "t": t.select("s_suppkey", "s_name")}
+    return normalize(spark, _people(spark, sf_dir), [name], given).tables[name]
+
+
+@query("SELECT c_custkey AS code, c_name AS name, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def append_by_name(spark, sf_dir):
+    return _built(spark, sf_dir, "by_name").select("code", "name", "balance")
+
+
+@query("SELECT c_custkey AS code, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def append_by_position(spark, sf_dir):
+    return _built(spark, sf_dir, "by_position").select("code", "name")
+
+
+@query("SELECT c_custkey AS code, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def append_mapped(spark, sf_dir):
+    return _built(spark, sf_dir, "mapped").select("code", "name")
+
+
+@query(
+    "SELECT 'buyer' AS party_branch, c_name AS name, row_number() OVER (ORDER BY c_custkey) AS buyer_id, NULL::BIGINT AS seller_id FROM customer"
+    " UNION ALL SELECT 'seller', s_name, NULL, row_number() OVER (ORDER BY s_suppkey) FROM supplier"
+)
+def merged_branches(spark, sf_dir):
+    return _built(spark, sf_dir, "party").select("party_branch", "name", "buyer_id", "seller_id")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS system_id, o_orderkey FROM orders")
+def system_ids(spark, sf_dir):
+    return add_system_id(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@query(
+    "WITH x AS (SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)), y AS (SELECT CASE WHEN quality IS NOT NULL THEN doc_id + 1 END AS system_id, doc_id FROM x)"
+    " SELECT coalesce(system_id, (SELECT max(system_id) FROM y) + sum(CASE WHEN system_id IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY doc_id)) AS system_id, doc_id FROM y"
+)
+def system_id_fill(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return add_system_id(x.select(F.when(F.col("quality").isNotNull(), F.col("doc_id") + 1).alias("system_id"), "doc_id"), ["doc_id"])
+
+
+# replacements
+
+
+def _replaced(base: str, key: str, column: str, spec, order=()):
+    def run(spark, sf_dir):
+        return apply_replacements(table(spark, sf_dir, base).select(key, column), {column: spec}, order).select(key, F.col(column).alias("r"))
+
+    return run
+
+
+_REPLACED = {
+    "replace_map": ("orders", "o_orderkey", "o_orderstatus", {"F": "O", "O": "F"}, "CASE o_orderstatus WHEN 'F' THEN 'O' WHEN 'O' THEN 'F' ELSE o_orderstatus END"),
+    "replace_equals": ("orders", "o_orderkey", "o_orderpriority", [{"from": " 1-urgent", "to": "now", "normalize": ["strip", "lower"]}], "CASE WHEN lower(trim(o_orderpriority)) = '1-urgent' THEN 'now' ELSE o_orderpriority END"),
+    "replace_not_in": ("orders", "o_orderkey", "o_orderstatus", [{"match": "not_in", "from": ["F", "O"], "to": "other"}], "CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'other' ELSE o_orderstatus END"),
+    "replace_contains": ("part", "p_partkey", "p_type", [{"match": "contains", "from": "steel", "flags": ["ignorecase"], "to": "metal"}], "CASE WHEN contains(lower(p_type), 'steel') THEN 'metal' ELSE p_type END"),
+    "replace_startswith": ("part", "p_partkey", "p_brand", [{"match": "startswith", "from": "Brand#1", "to": None}], "CASE WHEN NOT starts_with(p_brand, 'Brand#1') THEN p_brand END"),
+    "replace_endswith": ("part", "p_partkey", "p_brand", [{"match": "not_endswith", "from": "2", "to": "x"}], "CASE WHEN NOT ends_with(p_brand, '2') THEN 'x' ELSE p_brand END"),
+    "replace_regex": ("part", "p_partkey", "p_brand", [{"match": "regex", "from": r"Brand#[1-3]\d", "to": "low"}], r"CASE WHEN regexp_matches(p_brand, '^Brand#[1-3]\d') THEN 'low' ELSE p_brand END"),
+    "replace_regex_sub": ("part", "p_partkey", "p_brand", [{"match": "regex_sub", "from": r"Brand#(\d)(\d)", "to": r"\2-\1"}], r"regexp_replace(p_brand, 'Brand#(\d)(\d)', '\2-\1', 'g')"),
+    "replace_transform": ("customer", "c_custkey", "c_mktsegment", [{"normalize": ["strip", "lower", "collapse_ws"]}], "lower(trim(c_mktsegment))"),
+    "replace_coerce": ("part", "p_partkey", "p_retailprice", [{"coerce": "int"}], "CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(p_retailprice AS BIGINT) END"),
+}
+for _name, (_base, _key, _column, _spec, _sql) in _REPLACED.items():
+    QUERIES[_name] = _replaced(_base, _key, _column, _spec)
+    ORACLES[_name] = f"SELECT {_key}, {_sql} AS r FROM {_base}"
+
+_BLANK = "SELECT event_id, CASE WHEN event_type <> 'click' THEN event_type END AS v FROM events"
+QUERIES["blank_out_forward"] = _replaced("events", "event_id", "event_type", "click", ("event_id",))
+ORACLES["blank_out_forward"] = f"SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id) AS r FROM ({_BLANK})"
+QUERIES["blank_out_backward"] = _replaced("events", "event_id", "event_type", [{"blank_out": ["click"], "fill": "backward"}], ("event_id",))
+ORACLES["blank_out_backward"] = f"SELECT event_id, first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM ({_BLANK})"
+QUERIES["blank_out_constant"] = _replaced("events", "event_id", "event_type", [{"blank_out": ["click"], "fill": {"constant": "none"}}])
+ORACLES["blank_out_constant"] = f"SELECT event_id, coalesce(v, 'none') AS r FROM ({_BLANK})"
+
+
+@query("SELECT p_brand AS value, count(*) AS count FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top_unmatched(spark, sf_dir):
+    """The report's top 5: the limit is the feature."""
+    return unmatched(table(spark, sf_dir, "part"), "p_brand", {"Brand#11": "a", "Brand#12": "b"}, 5)
+
+
+# sinks, ingest, reconciliation, services
+
+
+@query(
+    "SELECT 'customer' AS entity, count(*) AS num_rows, 5 AS num_columns FROM customer UNION ALL SELECT 'nation', count(*), 3 FROM nation UNION ALL SELECT 'orders', count(*), 6 FROM orders"
+)
+def shapes_report(spark, sf_dir):
+    return table_shapes(spark, {n: table(spark, sf_dir, n) for n in ("customer", "nation", "orders")})
+
+
+def _submission(spark, sf_dir) -> eav.Submission:
+    columns = [
+        {"table_name": "tbl_suppliers", "column_name": "supplier_id", "data_type": "bigint", "is_pk": True, "class_name": "java.lang.Long", "position": 0},
+        {"table_name": "tbl_suppliers", "column_name": "s_name", "class_name": "java.lang.String", "position": 1},
+        {"table_name": "tbl_suppliers", "column_name": "nation_id", "data_type": "bigint", "is_fk": True, "fk_table_name": "tbl_nations", "class_name": "com.x.Nation", "position": 2},
+        {"table_name": "tbl_nations", "column_name": "nation_id", "data_type": "bigint", "is_pk": True, "class_name": "java.lang.Long", "position": 0},
+        {"table_name": "tbl_nations", "column_name": "n_name", "class_name": "java.lang.String", "position": 1},
+    ]
+    schema = eav.Schema.of([{"table_name": "tbl_suppliers", "pk_name": "supplier_id", "java_class": "Supplier"}, {"table_name": "tbl_nations", "pk_name": "nation_id", "java_class": "Nation", "is_lookup": True}], columns)
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("system_id"), F.lit(None).cast("long").alias("supplier_id"), "s_name", F.col("s_nationkey").alias("nation_id"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("system_id"), (F.col("n_nationkey") + 100).alias("nation_id"), "n_name")
+    return eav.Submission(schema, {"tbl_suppliers": supplier, "tbl_nations": nation})
+
+
+@query(
+    "WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS system_id, s_name, s_nationkey FROM supplier)"
+    " SELECT system_id, 'supplierId' AS column_name, 'NULL' AS fk_system_id, 'NULL' AS fk_public_id, '' AS column_value FROM s"
+    " UNION ALL SELECT system_id, 'sName', 'NULL', 'NULL', '\"' || s_name || '\"' FROM s"
+    " UNION ALL SELECT system_id, 'nationId', CAST(s_nationkey AS VARCHAR), CAST(n_nationkey + 100 AS VARCHAR), 'NULL' FROM s LEFT JOIN nation ON s_nationkey = n_nationkey"
+    " UNION ALL SELECT system_id, 'clonedId', 'NULL', 'NULL', 'NULL' FROM s"
+)
+def eav_export(spark, sf_dir):
+    return eav.export_eav(spark, _submission(spark, sf_dir)).recordvalues.select("system_id", "column_name", "fk_system_id", "fk_public_id", "column_value")
+
+
+@query("SELECT DISTINCT s_nationkey AS key FROM supplier WHERE s_nationkey IS NOT NULL")
+def referenced_keys(spark, sf_dir):
+    return eav.referenced_keys(_submission(spark, sf_dir), "tbl_nations")
+
+
+@query("SELECT DISTINCT o_custkey AS system_id, o_custkey AS customer_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)")
+def missing_lookup_rows(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("key")).distinct()
+    return eav.missing_lookup_rows(table(spark, sf_dir, "customer").where("c_nationkey != 3").select(F.col("c_custkey").alias("system_id")), keys, "customer_id")
+
+
+@query(
+    "SELECT p_name AS source_value, CASE WHEN score >= 70 THEN p_partkey END AS target_id, score / 100 AS confidence, CASE WHEN score >= 95 THEN 'accepted' WHEN score >= 70 THEN 'review' ELSE 'unmatched' END AS status"
+    " FROM (SELECT p_name, p_partkey, CAST(p_size * 2 AS DOUBLE) AS score FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, 'http://x/' || p_partkey) = 1)"
+)
+def reconcile_classify(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    found = part.select(F.col("p_name").alias("query"), F.concat(F.lit("http://x/"), "p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") * 2.0).alias("score"))
+    return reconcile.classify(part.select(F.col("p_name").alias("query")), found).select("source_value", "target_id", "confidence", "status")
+
+
+@query("SELECT c_custkey, round(c_acctbal, 2) AS pos_lat, CAST(c_nationkey AS DOUBLE) AS pos_lon FROM customer")
+def geo_split(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.round("c_acctbal", 2).cast("string"), F.lit(", "), F.col("c_nationkey").cast("string")).alias("pos"))
+    return geo.geo_split(df, "pos").select("c_custkey", "pos_lat", "pos_lon")
+
+
+@query(
+    "SELECT c_custkey, round(radians(CAST(c_nationkey AS DOUBLE)) * 6378137.0, 3) AS x, round(ln(tan(radians(c_custkey % 80) / 2 + pi() / 4)) * 6378137.0, 3) AS y FROM customer"
+)
+def geo_convert_crs(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("x"), (F.col("c_custkey") % 80).cast("double").alias("y"))
+    return geo.convert_crs(df, "x", "y", 4326, 3857).select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
+def preview_limit(spark, sf_dir):
+    """A preview of 50 rows: the limit is the feature."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").limit(50)
+
+
+_ADHOC = "SELECT n_name, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
+
+
+@query(_ADHOC)
+def adhoc_sql(spark, sf_dir):
+    for name in ("orders", "customer", "nation"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    checked = analysis.check_query(spark, _ADHOC)
+    if not checked["is_valid"]:
+        raise ValueError(checked["errors"])
+    return spark.sql(_ADHOC)
+
+
+@query(
+    "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n_rows FROM events GROUP BY ALL"
+)
+def event_windows(spark, sf_dir):
+    return windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"])
+
+
+@query("SELECT DISTINCT value FROM (SELECT c_mktsegment AS value FROM customer UNION ALL SELECT o_orderpriority FROM orders)")
+def union_distinct(spark, sf_dir):
+    parts = [table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("value")), table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("value"))]
+    return drop_duplicates(union(parts), True)
+
+
+# a whole project
+
+
+def customers_project() -> Project:
+    """Regions, nations and customers linked by surrogate ids, with derived columns, a filter and constraints."""
+    return Project.of(
+        {
+            "metadata": {"name": "customers"},
+            "entities": {
+                "region": {"source": "raw_region", "public_id": "region_id", "keys": ["r_regionkey"], "columns": ["r_name"]},
+                "nation": {
+                    "source": "raw_nation", "public_id": "nation_id", "keys": ["n_nationkey"], "columns": ["n_name", "n_regionkey"],
+                    "foreign_keys": [{"entity": "region", "local_keys": ["n_regionkey"], "remote_keys": ["r_regionkey"], "how": "left", "extra_columns": {"region_name": "r_name"}, "constraints": {"cardinality": "many_to_one"}}],
+                },
+                "customer": {
+                    "source": "raw_customer", "public_id": "customer_id", "keys": ["c_custkey"], "columns": ["c_name", "c_mktsegment", "c_nationkey"],
+                    "replacements": {"c_mktsegment": {"BUILDING": "CONSTRUCTION"}},
+                    "filters": [{"type": "query", "query": "c_nationkey >= 0"}],
+                    "foreign_keys": [{"entity": "nation", "local_keys": ["c_nationkey"], "remote_keys": ["n_nationkey"], "how": "left", "extra_columns": ["n_name", "region_name"], "constraints": {"cardinality": "many_to_one", "allow_unmatched_left": False}}],
+                    "extra_columns": {"label": "=concat(upper(n_name), '/', c_mktsegment)", "title": "{region_name}: {c_name}"},
+                },
+            },
+        }
+    )
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+    given = {f"raw_{n}": table(spark, sf_dir, n) for n in ("region", "nation", "customer")}
+    return normalize(spark, customers_project(), ["customer"], given).tables["customer"]
+
+
+@query(
+    "SELECT row_number() OVER (ORDER BY c_custkey) AS system_id, NULL::BIGINT AS customer_id, nation_id, upper(n_name) || '/' || s AS label, r_name || ': ' || c_name AS title, c_custkey, s AS c_mktsegment, c_name, c_nationkey, n_name, r_name AS region_name"
+    " FROM (SELECT *, CASE c_mktsegment WHEN 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END AS s FROM customer WHERE c_nationkey >= 0)"
+    " JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) AS nation_id, * FROM nation) ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+)
+def project_customers(spark, sf_dir):
+    return flagship(spark, sf_dir)
