@@ -96,7 +96,7 @@ def read_block(content: bytes, head: dict, chunks: list, k: int) -> np.ndarray:
 FILES = "shard int, file int, n_documents long, n_tokens long, content binary"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 20, width: int = 1) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 20, width: int = 8) -> DataFrame:
     """Writes the files into the shared folder, in ascending order of ids over (shard, file)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
