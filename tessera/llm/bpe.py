@@ -8,8 +8,8 @@ them. A suffix automaton over the vocabulary (failure links lead from each match
 one) names the entries that end at each position; following the stored last tokens back from the
 whole word emits the ids.
 
-Words come from the file's own normaliser and splitting pattern. White space ends every word,
-so a bounded dictionary of white-space-delimited chunks spares most of the work.
+Words come from the file's own normaliser and splitting pattern: for Latin text by the same pattern here, for any
+other by the library. A bounded dictionary of words spares most of the work.
 
 Null text is empty: no ids, empty decoded text. Special tokens in a text are recognised as the
 library does. Rows that share an id are encoded one by one.
@@ -20,19 +20,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_of
-from .tokens import load_tokenizer
+from .tokens import Known, in_bytes, is_latin, latin_words, load_tokenizer
 
 _CHUNK = re.compile(r"[^ \n]+")
-#: entries of the chunk dictionary of one worker
-CHUNK_ENTRIES = 400_000
+#: entries of the word dictionary of one worker
+CHUNK_ENTRIES = 600_000
 #: marks the last symbol of a word in the automaton's alphabet
 _LAST = 0x10000
 
@@ -69,8 +69,10 @@ class PrefixEncoder:
         for t, i in self.ids.items():
             self.automaton.add_word(t, i)
         self.automaton.make_automaton()
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.entries = entries
+        #: entries that their own string's encoding never gives; few or none
+        self.unsound = {i for i in self.ids.values() if not self._reachable(i)}
+        self.latin = latin_words(spec) if self.library.normalizer else None
+        self.words, self.chunks = Known(self._latin_word, entries), Known(self._chunk, entries // 4)
 
     def _key(self, token: str) -> str:
         """A token in the automaton's alphabet: its last symbol takes the end-of-word mark in."""
@@ -124,14 +126,24 @@ class PrefixEncoder:
         """Ids of one word given in the byte alphabet of the vocabulary."""
         text = word[:-1] + chr(ord(word[-1]) + _LAST) if self.suffix else word
         whole = self.ids.get(text)
-        if whole is not None and self._reachable(whole):
+        unsound, length, pairs = self.unsound, self.length, self.pairs
+        if whole is not None and whole not in unsound:
             return [whole]
         last = [-1] * (len(text) + 1)  # by the length of the prefix; -1: no encoding ends here
-        length = self.length
+        done = -1
         for end, t in self.automaton.iter(text):
+            if end == done or t in unsound:
+                continue
             start = end + 1 - length[t]
-            if last[end + 1] < 0 and self._reachable(t) and (start == 0 or last[start] >= 0 and self._compatible(last[start], t)):
-                last[end + 1] = t
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = pairs.get((before, t))
+                if not (self._compatible(before, t) if fits is None else fits):
+                    continue
+            last[end + 1] = t
+            done = end
         out, at = [], len(text)
         while at > 0:
             t = last[at]
@@ -141,7 +153,12 @@ class PrefixEncoder:
             at -= length[t]
         return out[::-1]
 
+    def _latin_word(self, word: str) -> tuple[bytes, str]:
+        ids = self.word(in_bytes(word))
+        return array("I", ids).tobytes(), self.decode(ids)
+
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
+        """A white-space-delimited chunk of any text, normalised and split by the library."""
         ids: list[int] = []
         for part in self.special_at.split(chunk) if self.special_at else [chunk]:
             if part in self.special:
@@ -149,7 +166,7 @@ class PrefixEncoder:
             elif part:
                 for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part) if self.library.normalizer else part):
                     ids += self.word(piece)
-        return np.array(ids, np.uint32).tobytes(), self.decode(ids)
+        return array("I", ids).tobytes(), self.decode(ids)
 
     def decode(self, ids) -> str:
         """The file names no decoder: the library then joins the tokens with spaces."""
@@ -157,17 +174,15 @@ class PrefixEncoder:
 
     def __call__(self, text: str) -> tuple[bytes, str]:
         """Ids (little-endian unsigned 32-bit) and decoded text of a whole text."""
-        known, ids, words = self.known, [], []
-        for c in _CHUNK.findall(text):
-            got = known.get(c)
-            if got is None:
-                got = self._chunk(c)
-                if len(known) < self.entries:
-                    known[c] = got
-            if got[0]:
-                ids.append(got[0])
-                words.append(got[1])
-        return b"".join(ids), " ".join(words)
+        if self.latin and is_latin(text):
+            got = map(self.words.__getitem__, self.latin(text))
+        else:
+            got = map(self.chunks.__getitem__, _CHUNK.findall(text))
+        got = list(got)
+        if not got:
+            return b"", ""
+        ids, words = zip(*got, strict=True)
+        return b"".join(ids), " ".join(filter(None, words))
 
 
 _encoders: dict = {}
