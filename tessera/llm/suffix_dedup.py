@@ -316,7 +316,9 @@ def repeated_windows(suffix_share: np.ndarray, lefts: list[bytes], first: np.nda
         left[by_left] = np.cumsum(np.r_[0, left_share < before])
         kind = right[own] * n + left[own]
         order = np.lexsort((rank[own], kind))
-        again = np.r_[False, kind[order][1:] == kind[order][:-1]]
+        new = np.r_[True, kind[order][1:] != kind[order][:-1]]
+        earliest = rank[own][order][new][np.cumsum(new) - 1]
+        again = rank[own][order] != earliest
         items.append(own[order[again]])
         befores.append(np.full(len(items[-1]), before))
     return (np.concatenate(items), np.concatenate(befores)) if items else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -334,8 +336,11 @@ def _spans(rows: np.ndarray, starts: np.ndarray, length: int) -> pd.DataFrame:
 
 
 def _rank(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places in the order of documents; equal for one place of a row that is there twice."""
+    order = np.lexsort((at, rows["text"], rows["id"]))
+    new = (rows["id"][order][1:] != rows["id"][order][:-1]) | (rows["text"][order][1:] != rows["text"][order][:-1]) | (at[order][1:] != at[order][:-1])
     rank = np.empty(len(rows), np.int64)
-    rank[np.lexsort((at, rows["text"], rows["id"]))] = np.arange(len(rows))
+    rank[order] = np.cumsum(np.r_[0, new])[: len(rows)]
     return rank
 
 
@@ -348,6 +353,8 @@ def suffix_runs(cut: DataFrame, borders: list[bytes], length: int) -> DataFrame:
         kept, spans, before = [], [], None
         for x in items:
             if before is not None and x[:4] == before[:4]:
+                if x[5] == before[5] and table[x[4]] == table[before[4]]:
+                    continue  # a row that is there twice
                 spans.append((table[x[4]][0], table[x[4]][1], x[5] - x[2], x[5] - x[3] + length))
             else:
                 kept.append(x)
