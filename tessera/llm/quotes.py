@@ -86,7 +86,7 @@ def link_quotes(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     (turn or null), depth, thread (turn of the first message) and position (0.. in reply order)."""
     messages = conversations.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.split(text_of(text_col), "\n", -1).alias("lines")
-    ).withColumn("own", F.trim(_own_text(F.col("lines"))))
+    ).withColumn("own", F.regexp_replace(_own_text(F.col("lines")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
     messages = messages.withColumn("row", F.xxhash64("conv", "turn", "role", F.array_join("lines", "\n")))
     found = passages(messages.where("conv is not null and turn is not null").dropDuplicates(["conv", "turn", "row"]))
     known = found.withColumn("hash", _hashed(normalised(F.col("text"))))
