@@ -109,6 +109,14 @@ class Pipeline:
         """Duplicates by columns that only unnesting makes."""
         return bool(entity.unnest and entity.drop_duplicates and (entity.drop_duplicates is True or {entity.unnest.var_name, entity.unnest.value_name} & set(entity.drop_duplicates)))
 
+    def _lost(self, entity: Entity, fk: ForeignKey) -> bool:
+        """A left link whose columns unnesting would drop again: it is made afterwards only."""
+        if not entity.unnest or fk.how != "left" or any(f.get("stage") == "after_link" for f in entity.filters):
+            return False
+        remote = self.remote(fk)
+        brings = {*fk.extra_columns, remote.id_column if remote else ""}
+        return not brings & {*entity.unnest.id_vars, *entity.unnest.value_vars}
+
     def parts(self, entity: Entity) -> DataFrame:
         if entity.type == "merged":
             known = {**self.given, **self.result.tables}
@@ -158,12 +166,12 @@ class Pipeline:
         df = apply_filters(df, entity.filters, store, "extract")
         if entity.drop_duplicates and not self._late(entity) and self._can_drop(entity, df):
             df = drop_duplicates(df, entity.drop_duplicates, self.order(entity, df))
-        df, fks = self.links(entity, df, entity.foreign_keys, False)
+        df, fks = self.links(entity, df, [fk for fk in entity.foreign_keys if not self._lost(entity, fk)], False)
         df, late = self.derive(df, late)
         df = apply_filters(df, entity.filters, store, "after_link")
         if entity.unnest:
             df = reshape.unnest(df, entity.unnest)
-            df, fks = self.links(entity, df, fks, False)
+            df, fks = self.links(entity, df, entity.foreign_keys, False)
             df, late = self.derive(df, late)
             df = apply_filters(df, entity.filters, store, "after_unnest")
         if self._late(entity):

@@ -231,7 +231,7 @@ def test_sinks(spark, tmp_path):
 def test_services(spark, raw, tmp_path):
     raw.createOrReplaceTempView("raw_view")
     assert analysis.check_query(spark, "WITH c AS (SELECT * FROM raw_view) SELECT code FROM c JOIN db.other o ON true")["tables"] == ["db.other", "raw_view"]
-    for bad in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "SELECT FROM WHERE", "", "CREATE VIEW v AS SELECT 1", "SHOW TABLES"):
+    for bad in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "SELEC x FROM y", "", "CREATE VIEW v AS SELECT 1", "SHOW TABLES"):
         assert not analysis.check_query(spark, bad)["is_valid"], bad
     out = analysis.run_query(spark, "SELECT code, ph FROM raw_view ORDER BY code", limit=2)
     assert out["truncated"]
