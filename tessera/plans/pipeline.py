@@ -28,6 +28,9 @@ from ..sources.registry import read_source
 
 log = logging.getLogger(__name__)
 
+#: place of a row among written values; dropped once ids are given
+POSITION = "__position"
+
 
 @dataclass
 class Result:
@@ -57,7 +60,10 @@ class Pipeline:
     def source_of(self, entity: Entity) -> DataFrame:
         if entity.type == "entity" and entity.source is None and entity.name in self.given:
             return self.given[entity.name]
-        return read_source(self.spark, self.project, entity, {**self.given, **self.result.tables}, self.folder)
+        df = read_source(self.spark, self.project, entity, {**self.given, **self.result.tables}, self.folder)
+        if entity.type == "fixed" and not entity.data_source and not entity.order_by:  # values are in the order they are written in
+            return df.coalesce(1).withColumn(POSITION, F.monotonically_increasing_id())
+        return df
 
     def subset(self, entity: Entity, df: DataFrame) -> DataFrame:
         """The columns that the entity's steps need, replaced and made distinct."""
@@ -68,7 +74,7 @@ class Pipeline:
             later |= set(fk.extra_columns)
         wanted = [*entity.keys, *entity.columns]
         if not wanted:
-            wanted = list(df.columns)
+            wanted = [c for c in df.columns if c != POSITION]
         for fk in entity.foreign_keys:
             wanted += fk.local_keys
         for value in entity.extra_columns.values():
@@ -80,7 +86,7 @@ class Pipeline:
         if source and source.public_id and source.public_id in wanted:
             aliases[source.public_id] = source.system_id
         wanted += [f["column"] for f in entity.filters if f.get("type") == "exists_in" and f.get("stage", "extract") == "extract" and f.get("column") in df.columns]
-        wanted += [c for c in entity.order_by if c in df.columns]
+        wanted += [c for c in (*entity.order_by, POSITION) if c in df.columns]
         wanted = [c for c in wanted if c not in later or c in df.columns and c in (*entity.keys, *entity.columns)]
         out = select_columns(df, wanted, aliases=aliases)
         known = {k: v for k, v in entity.extra_columns.items() if k not in out.columns}
@@ -90,7 +96,7 @@ class Pipeline:
                 bad = check_fd(out, entity.drop_duplicates, entity.strict_fd)
                 if bad:
                     log.warning("%s: %s does not determine the other columns, e.g. %s", entity.name, entity.drop_duplicates, bad)
-            out = drop_duplicates(out, entity.drop_duplicates, self.order(entity, out))
+            out = self.distinct(entity, out)
         if entity.replacements:
             order = self.order(entity, out)
             if any(needs_order(s) for s in entity.replacements.values()) and not order:
@@ -100,7 +106,13 @@ class Pipeline:
 
     def order(self, entity: Entity, df: DataFrame) -> list[str]:
         """What "row order" means: declared, else the business keys."""
-        return [c for c in (entity.order_by or entity.keys) if c in df.columns]
+        return [c for c in (entity.order_by or (POSITION, *entity.keys)) if c in df.columns]
+
+    def distinct(self, entity: Entity, df: DataFrame) -> DataFrame:
+        by = entity.drop_duplicates
+        if by is True and POSITION in df.columns:
+            by = [c for c in df.columns if c != POSITION]
+        return drop_duplicates(df, by, self.order(entity, df))
 
     def _can_drop(self, entity: Entity, df: DataFrame) -> bool:
         return entity.drop_duplicates is True or set(entity.drop_duplicates) <= set(df.columns)
@@ -125,12 +137,12 @@ class Pipeline:
         identity = [entity.system_id, *([entity.public_id] if entity.public_id else [])]
         parts = [own]
         for part in entity.appended():
-            df = reshape.aligned(self.source_of(part), part, list(entity.columns or own.columns), identity)
+            df = reshape.aligned(self.source_of(part).drop(POSITION), part, list(entity.columns or own.columns), identity)
             if part.align_by_position or part.column_mapping:  # its own names are gone
                 part = replace(part, columns=tuple(part.column_mapping.get(c, c) for c in part.columns) if part.column_mapping else entity.columns, keys=())
             parts.append(self.subset(part, df))
         out = reshape.union(parts)
-        return out.distinct() if entity.append and entity.append_mode == "distinct" else out
+        return out.drop(POSITION).distinct() if entity.append and entity.append_mode == "distinct" else out
 
     # one entity
 
@@ -165,7 +177,7 @@ class Pipeline:
         df, late = self.derive(self.parts(entity), entity.extra_columns)
         df = apply_filters(df, entity.filters, store, "extract")
         if entity.drop_duplicates and not self._late(entity) and self._can_drop(entity, df):
-            df = drop_duplicates(df, entity.drop_duplicates, self.order(entity, df))
+            df = self.distinct(entity, df)
         df, fks = self.links(entity, df, [fk for fk in entity.foreign_keys if not self._lost(entity, fk)], False)
         df, late = self.derive(df, late)
         df = apply_filters(df, entity.filters, store, "after_link")
@@ -175,10 +187,11 @@ class Pipeline:
             df, late = self.derive(df, late)
             df = apply_filters(df, entity.filters, store, "after_unnest")
         if self._late(entity):
-            df = drop_duplicates(df, entity.drop_duplicates, self.order(entity, df))
+            df = self.distinct(entity, df)
         if entity.drop_empty_rows:
-            df = drop_empty_rows(df, entity.drop_empty_rows)
-        df = add_system_id(df, self.order(entity, df) or [c for c in df.columns if c != entity.system_id], entity.system_id)
+            whole = [c for c in df.columns if c != POSITION]
+            df = drop_empty_rows(df, whole if entity.drop_empty_rows is True else entity.drop_empty_rows)
+        df = add_system_id(df, self.order(entity, df) or [c for c in df.columns if c != entity.system_id], entity.system_id).drop(POSITION)
         df = self.settled(add_public_id(df, entity.public_id))
         self.waiting[entity.name] = fks
         self.result.unresolved[entity.name] = late

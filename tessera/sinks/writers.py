@@ -56,6 +56,7 @@ def _one_csv(df: DataFrame, out) -> None:
 
     rows = csv.writer(out)
     rows.writerow(df.columns)
+    df = df.orderBy("system_id") if "system_id" in df.columns else df
     for row in df.toLocalIterator(prefetchPartitions=True):
         rows.writerow(["" if v is None else v for v in row])
 
