@@ -53,8 +53,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of docs, all columns, that stay: of equal texts the one with the largest id, once."""
     groups = exact_groups(docs, id_col, text_col, salts).where("kept")
-    keep = groups.select(F.col("doc_id").alias("__keep_id"), F.unhex("text_sha256").alias("__keep_digest")).distinct()
-    same = docs[id_col].eqNullSafe(keep["__keep_id"]) & (F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)) == keep["__keep_digest"])
-    rows = docs.join(keep, same, "left_semi")
-    once = Window.partitionBy(F.col(id_col), F.sha2(text_of(text_col), 256)).orderBy(F.col(text_col).desc_nulls_last())
-    return rows.withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row")
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keep = groups.select(known("doc_id").alias("__i"), F.col("doc_id").isNull().alias("__n"), F.unhex("text_sha256").alias("__d")).distinct()
+    keyed = docs.withColumns({"__i": known(id_col), "__n": F.col(id_col).isNull(), "__d": F.unhex(F.sha2(text_of(text_col), 256))})
+    # the window needs no shuffle besides the join's
+    once = Window.partitionBy("__i", "__n", "__d").orderBy(F.col(text_col).desc_nulls_last())
+    rows = keyed.join(keep, ["__i", "__n", "__d"], "left_semi")
+    return rows.withColumn("__row", F.row_number().over(once)).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,13 +5,17 @@ so that m * m tables need the minhashes of 2 * m bands only. A pair of similarit
 unless all bands of one collection miss: probability 2 * (1 - s**r)**m at most. m is the least for
 which that is `miss` or less at the threshold itself; similar pairs miss far less often.
 
-Links are confirmed on full shingle sets, and no bucket is expanded into pairs:
+Links are confirmed on full shingle sets, and no bucket is expanded into all its pairs:
 
 1. Within a slice of documents, and again within a key's shard, the members of a bucket are tied to
    its smallest id (a star), so a bucket with a third of all rows reaches a shard as one entry a slice.
-2. Stars are verified and linked into components. A bucket whose star held is one component.
-3. Buckets in which some star edge failed are expanded between their different components, and
-   those pairs are verified too: every pair that shares a key is linked, joined through others, or refuted.
+2. Star edges whose minhashes agree too seldom for the threshold (a chance of one in a million for a
+   link) are refuted by them; the others are verified on the full texts and make components.
+   A bucket whose star held lies in one component, and is done.
+3. Documents in a component that a refuted edge touches may have a link besides their stars. They get
+   longer keys (`FINE_ROWS` minhashes, as many tables as `miss` asks for), which only much more similar texts share,
+   and there different components are tested against each other, but for pairs that a bound from their
+   overlaps with a component's root rules out.
 
 Sets that are equal count as one member of a bucket; their rows are tied together by their digest.
 
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -35,9 +40,12 @@ from .common import materialize, mix64, slices, text_of, utf8
 from .components import components
 from .shingles import shared, shingle_sets
 
-#: rows of a band
-ROWS = 2
+#: minhashes of a band, and of a key in the second round
+ROWS, FINE_ROWS = 3, 10
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("set", "<u8")])
+#: as sent: the key and the row of a table of (id, set)
+SENT = np.dtype([("key", "<u8"), ("row", "<u2")])
+MEMBER = np.dtype([("id", "<i8"), ("set", "<u8")])
 #: table entries behind one shard
 SHARD_ENTRIES = 2_000_000
 
@@ -49,37 +57,62 @@ def bands_for(threshold: float, miss: float, rows: int = ROWS) -> int:
     return m
 
 
-def _keys(sets: np.ndarray, places: np.ndarray, m: int) -> np.ndarray:
-    """n x m*m table keys of texts whose sets are not empty."""
+def least_agreement(n: int, threshold: float, miss: float = 1e-6) -> int:
+    """Fewest of n minhashes in which a pair at the threshold agrees, but for a chance of `miss`."""
+    tail, k = 0.0, 0
+    while tail <= miss:
+        tail += comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
+        k += 1
+    return k - 1
+
+
+def _minhashes(sets: np.ndarray, places: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n x texts; texts have sets that are not empty."""
     first = places[:-1]
-    rng = np.random.default_rng(20240229)
-    bands = np.zeros((2 * m, len(first)), np.uint64)
-    for k in range(2 * m * ROWS):
+    rng = np.random.default_rng(seed)
+    out = np.empty((n, len(first)), np.uint64)
+    for k in range(n):
         xor, odd = rng.integers(0, 2**64, 2, np.uint64)
-        low = np.minimum.reduceat(((sets ^ xor) * (odd | np.uint64(1))) >> np.uint64(16), first)
-        bands[k // ROWS] = mix64(bands[k // ROWS] * np.uint64(0xC2B2AE3D27D4EB4F) + low + np.uint64(k // ROWS))
-    a, b = bands[:m], bands[m:]
-    return mix64(a[:, None, :] + (b * np.uint64(0x9E3779B97F4A7C15))[None, :, :]).reshape(m * m, -1).T
+        out[k] = np.minimum.reduceat(((sets ^ xor) * (odd | np.uint64(1))) >> np.uint64(16), first)
+    return out
+
+
+def _bands(minhashes: np.ndarray, rows: int) -> np.ndarray:
+    """Joins each `rows` minhashes into one 64-bit band."""
+    n = len(minhashes) // rows
+    out = np.zeros((n, minhashes.shape[1]), np.uint64)
+    for j in range(rows):
+        out = mix64(out * np.uint64(0xC2B2AE3D27D4EB4F) + minhashes[j : n * rows : rows] + np.uint64(j))
+    return mix64(out + np.arange(n, dtype=np.uint64)[:, None])
+
 
+def _tensor(bands: np.ndarray, m: int) -> np.ndarray:
+    """texts x m*m table keys, from texts x 2*m bands."""
+    a, b = bands[:, :m], bands[:, m:]
+    return mix64(a[:, :, None] + (b * np.uint64(0x9E3779B97F4A7C15))[:, None, :]).reshape(len(bands), m * m)
 
-SIGNATURE = "doc_id long, digest binary, n_shingles long, keys array<long>"
+
+SIGNATURE = "doc_id long, digest binary, n_shingles long, bands binary, sketch binary"
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, m: int) -> DataFrame:
+    """Digest and size of each row's set, its 2 * m bands, and 16 bits of each of their minhashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1, 2 << 20):
-                off, raw = utf8(batch.column(1))
-                sets, places = shingle_sets(off, raw, width)
+                sets, places = shingle_sets(*utf8(batch.column(1)), width)
                 size = np.diff(places)
                 full = size > 0
-                keys = _keys(sets, np.append(places[:-1][full], len(sets)), m) if full.any() else np.zeros((0, m * m), np.uint64)
-                ends = np.zeros(len(size) + 1, np.int32)
-                np.cumsum(full * (m * m), out=ends[1:])
+                bands, sketch = [b""] * len(size), [b""] * len(size)
+                if full.any():
+                    mins = _minhashes(sets, np.append(places[:-1][full], len(sets)), 2 * m * ROWS, 20240229)
+                    for i, x, y in zip(np.flatnonzero(full).tolist(), np.ascontiguousarray(_bands(mins, ROWS).T), np.ascontiguousarray(mix64(mins).astype(np.uint16).T), strict=True):
+                        bands[i], sketch[i] = x.tobytes(), y.tobytes()
                 digests = [hashlib.blake2b(sets[s:e].tobytes(), digest_size=16).digest() for s, e in zip(places[:-1], places[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(digests, pa.binary()), pa.array(size), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64)))],
-                    ["doc_id", "digest", "n_shingles", "keys"],
+                    [batch.column(0), pa.array(digests, pa.binary()), pa.array(size), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())],
+                    ["doc_id", "digest", "n_shingles", "bands", "sketch"],
                 )
 
     return docs.select(F.col(id_col).cast("long"), text_of(text_col)).mapInArrow(run, SIGNATURE)
@@ -110,91 +143,155 @@ def star_edges(signed: DataFrame, m: int, shards: int) -> DataFrame:
             for start in range(0, whole.num_rows, 4000):
                 batch = whole.slice(start, 4000)
                 n = batch.num_rows
-                keys = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(n, m * m)
+                keys = _tensor(np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(n, 2 * m), m)
                 digests = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(n, 2)[:, 0]
+                ids = batch.column(0).to_numpy()
                 entries = np.empty((n, m * m), ENTRY)
-                entries["key"], entries["id"], entries["set"] = keys, batch.column(0).to_numpy()[:, None], digests[:, None]
+                entries["key"], entries["id"], entries["set"] = keys, ids[:, None], digests[:, None]
                 hubs, edges = _stars(entries.reshape(-1))
                 shard = (hubs["key"] % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
                 hubs, shard = hubs[order], shard[order]
                 names, first = np.unique(shard, return_index=True)
-                parts = [hubs[s:e].tobytes() for s, e in zip(first, [*first[1:], len(hubs)], strict=True)]
+                tables, parts = [], []
+                for part in np.split(hubs, first[1:]):
+                    member = np.empty(len(part), MEMBER)
+                    member["id"], member["set"] = part["id"], part["set"]
+                    table, row = np.unique(member, return_inverse=True)
+                    sent = np.empty(len(part), SENT)
+                    sent["key"], sent["row"] = part["key"], row
+                    tables.append(table.tobytes())
+                    parts.append(sent.tobytes())
                 known = [b""] * len(parts)
                 if parts:  # edges found here ride along with some shard
                     known[start // 4000 % len(parts)] = edges.astype("<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(parts, pa.binary()), pa.array(known, pa.binary())], ["shard", "entries", "edges"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array(x, pa.binary()) for x in (tables, parts, known))], ["shard", "members", "entries", "edges"])
 
     def meet(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        _, found = _stars(np.frombuffer(b"".join(parts["entries"]), ENTRY))
+        entries = []
+        for table, blob in zip(parts["members"], parts["entries"], strict=True):
+            sent = np.frombuffer(blob, SENT)
+            member = np.frombuffer(table, MEMBER)[sent["row"]]
+            entries.append(np.empty(len(sent), ENTRY))
+            entries[-1]["key"], entries[-1]["id"], entries[-1]["set"] = sent["key"], member["id"], member["set"]
+        _, found = _stars(np.concatenate(entries))
         known = np.frombuffer(b"".join(parts["edges"]), "<i8").reshape(-1, 2)
         return pd.DataFrame(np.unique(np.concatenate([found, known]), axis=0), columns=["a", "b"])
 
-    rows = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest", "keys")
-    return rows.mapInArrow(deal, "shard int, entries binary, edges binary").groupBy("shard").applyInPandas(meet, "a long, b long").distinct()
+    rows = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest", "bands")
+    return rows.mapInArrow(deal, "shard int, members binary, entries binary, edges binary").groupBy("shard").applyInPandas(meet, "a long, b long").distinct()
+
+
+def plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(a, b, may): whether sizes and minhashes leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(n, -1) for i in (2, 3))
+            small, large = (f(batch.column(4).to_numpy(), batch.column(5).to_numpy()) for f in (np.minimum, np.maximum))
+            may = ((x == y).sum(axis=1) >= least_agreement(x.shape[1], percent / 100)) & (100 * small >= percent * large)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(may)], ["a", "b", "may"])
+
+    of = lambda c: signed.where("n_shingles > 0").select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    return rows.mapInArrow(run, "a long, b long, may boolean").groupBy("a", "b").agg(F.max("may").alias("may"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(a, b, linked): whether 100 * shared >= percent * union on the full sets of both texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).join(wanted, "id", "left_semi")
+def overlaps(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Full sets of both texts of each pair: (a, b, shared, na, nb, rest: how much of b is not in a, linked). texts: id, t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 3, 2 << 20):
                 a, at_a = shingle_sets(*utf8(batch.column(2)), width)
                 b, at_b = shingle_sets(*utf8(batch.column(3)), width)
-                linked = []
-                for i in range(batch.num_rows):
-                    x, y = a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]
-                    small, large = sorted((len(x), len(y)))
-                    fits = small > 0 and 100 * small >= percent * large
-                    both = shared(x, y) if fits else 0
-                    linked.append(fits and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    texts = materialize(texts, "candidate-texts")
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+                both = [shared(a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]) for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(np.diff(at_a)), pa.array(np.diff(at_b))], ["a", "b", "shared", "na", "nb"])
+
+    with_b = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    judged = with_both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
-    return judged.groupBy("a", "b").agg(F.max("linked").alias("linked"))
-
-
-def cross_pairs(signed: DataFrame, tested: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Untested pairs of different components in buckets where a star edge failed."""
-    failed = tested.where("not linked")
-    keyed = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "keys", "digest", "n_shingles")
-    of = lambda c: keyed.select(F.col("doc_id").alias(c), F.col("keys").alias(f"k{c}"))
-    mixed = failed.join(of("a"), "a").join(of("b"), "b").select(F.explode(F.array_intersect("ka", "kb")).alias("key")).distinct()
-    # equal sets need one member only
-    single = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    members = keyed.join(single.select("doc_id"), "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("keys").alias("key")).join(mixed, "key", "left_semi")
-    members = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
-    members = materialize(members.distinct(), "mixed")
-    groups = members.select("key", "root").distinct()
-    between = groups.alias("x").join(groups.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    between = between.select(F.col("x.key").alias("key"), F.col("x.root").alias("root"), F.col("y.root").alias("other"))
-    left = between.join(members, ["key", "root"]).select("key", F.col("other").alias("root"), F.col("doc_id").alias("p"), F.col("n_shingles").alias("np"))
-    pairs = left.join(members, ["key", "root"]).where(f"100 * least(np, n_shingles) >= {percent} * greatest(np, n_shingles)")
-    pairs = pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
+    counted = with_both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, shared long, na long, nb long")
+    linked = (F.col("shared") > 0) & (100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
+    return counted.groupBy("a", "b").agg(F.max("shared").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"), F.max(F.col("nb") - F.col("shared")).alias("rest"), F.max(linked).alias("linked"))
+
+
+def fine_keys(texts: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
+    """(key, id): long keys of texts (id, t), in as many tables as the chance of a miss asks for."""
+    tables = 1
+    while (1 - (percent / 100) ** FINE_ROWS) ** tables > miss:
+        tables += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1, 1 << 20):
+                sets, places = shingle_sets(*utf8(batch.column(1)), width)
+                if len(sets):
+                    full = np.diff(places) > 0
+                    keys = _bands(_minhashes(sets, np.append(places[:-1][full], len(sets)), tables * FINE_ROWS, 20240301), FINE_ROWS)
+                    ids = np.tile(batch.column(0).to_numpy()[full], tables)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
+
+    return texts.mapInArrow(run, "key long, id long")
+
+
+def cross_links(keys: DataFrame, roots: DataFrame, signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) links between different components that share a bucket. keys: key, id; roots: node, root.
+
+    A member x of the smaller component is compared with the root r of the larger one first. With |x & r| and, for each
+    member y of that component, |y - r| known, |x & y| is |x & r| + |y - r| at most, so that
+    x need be compared only with the members for which that leaves room. In a group of near copies with a few
+    outsiders, this spares comparing every outsider with every copy; nothing that could be a link is left out.
+    """
+    members = keys.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")).distinct()
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    members = materialize(members.join(mixed, "key", "left_semi"), "mixed")
+    sizes = members.select("root", "id").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    groups = materialize(members.select("key", "root").distinct().join(sizes, "root"), "groups")
+    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.root") > F.col("y.root")))
+    between = groups.alias("x").join(groups.alias("y"), (F.col("x.key") == F.col("y.key")) & smaller).select(
+        F.col("x.key").alias("key"), F.col("x.root").alias("root"), F.col("y.root").alias("a"), F.col("y.size").alias("size")
+    )
+    to_root = materialize(between.join(members, ["key", "root"]).select("a", F.col("id").alias("b"), "size").distinct(), "to-root")
+    alone, several = to_root.where("size = 1").select("a", "b"), to_root.where("size > 1").select("a", "b")
+    single = overlaps(plausible(alone, signed, percent).where("may"), texts, width, percent).where("linked").select("a", "b")
+    measured = materialize(overlaps(several, texts, width, percent), "measured")
+    open_ = measured.where("not linked").select(F.col("a").alias("root"), F.col("b").alias("x"), F.col("shared").alias("with_root"), F.col("nb").alias("nx"))
+    inside = members.join(open_.select("root").distinct(), "root", "left_semi").where("id != root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+    away = materialize(overlaps(inside, texts, width, percent).select(F.col("a").alias("root"), F.col("b").alias("y"), "rest", F.col("nb").alias("ny")), "away")
+    most = F.least(F.col("with_root") + F.col("rest"), "nx", "ny")
+    room = 100 * most >= percent * (F.col("nx") + F.col("ny") - most)
+    left = open_.join(members.select("key", F.col("id").alias("x")), "x").alias("l")
+    right = members.select("key", "root", F.col("id").alias("y")).join(away, ["root", "y"]).alias("r")
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.root") == F.col("r.root")) & room).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    further = overlaps(plausible(pairs, signed, percent).where("may"), texts, width, percent).where("linked").select("a", "b")
+    return single.union(measured.where("linked").select("a", "b")).union(further)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least id linked with it), kept."""
     m = bands_for(percent / 100, miss)
     signed = materialize(signatures(docs, id_col, text_col, width, m), "signatures")
     shards = max(1, -(-signed.count() * m * m // SHARD_ENTRIES))
-    stars = materialize(star_edges(signed, m, shards), "stars")
-    tested = materialize(verified(stars, docs, id_col, text_col, width, percent), "tested")
+    stars = materialize(plausible(star_edges(signed, m, shards), signed, percent), "stars")
     equal = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest")
     least = equal.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     copies = equal.join(least, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b")
+    # whole texts of all that may take part, dealt once
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct().union(copies.select("b")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
+    texts = materialize(rows.join(wanted, "id", "left_semi"), "candidate-texts")
+    tested = materialize(overlaps(stars.where("may"), texts, width, percent).select("a", "b", "linked"), "tested")
     links = tested.where("linked").select("a", "b").union(copies)
     roots = materialize(components(links), "roots")
-    if not tested.where("not linked").isEmpty():
-        more = verified(materialize(cross_pairs(signed, tested, roots, percent), "cross"), docs, id_col, text_col, width, percent).where("linked").select("a", "b")
-        more = materialize(more, "more")
+    refuted = stars.where("not may").select("a", "b").union(tested.where("not linked").select("a", "b"))
+    if not refuted.isEmpty():
+        ends = refuted.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
+        # one member of equal sets will do
+        single = least.select(F.col("rep").alias("id")).join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+        open_ = single.join(ends, "root", "left_semi").select("id")
+        keys = fine_keys(texts.join(open_, "id", "left_semi"), width, percent, miss)
+        more = materialize(cross_links(keys, roots, signed, texts, width, percent), "more")
         if not more.isEmpty():
             tied = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
             roots = materialize(components(tied.union(more)), "roots")

@@ -121,7 +121,7 @@ def _gain(bad0: int, all0: int, bad1: int, all1: int) -> float:
     return bad1 * (log2(bad1 / all1) - log2(bad0 / all0)) if bad1 else float("-inf")
 
 
-def learn_rules(rows: list[dict], cuts: int = 24, precision: float = 0.97, least: int = 4, most_tests: int = 4, most_rules: int = 16) -> list[Rule]:
+def learn_rules(rows: list[dict], cuts: int = 24, precision: float = 0.99, least: int = 4, most_tests: int = 4, most_rules: int = 16) -> list[Rule]:
     """Sequential covering. rows: statistics, `bad` (True: reject) and `grow` (False: held for pruning)."""
     names = [r[0] for r in RATIOS]
     values = {}
@@ -129,8 +129,11 @@ def learn_rules(rows: list[dict], cuts: int = 24, precision: float = 0.97, least
         values[name] = [1000 * r[top] // max(r[bottom], 1) if bottom else r[top] for r in rows]
     masks: dict[Test, int] = {}  # rows that pass, as bits
     for name in names:
-        seen = sorted(values[name])
-        for threshold in sorted({seen[len(seen) * k // cuts] for k in range(1, cuts)} | {seen[-1]}) if seen else []:
+        # quantiles of all rows, of the values that occur, and of those of bad rows: a ratio may be 0 nearly everywhere
+        places = set()
+        for seen in (sorted(values[name]), sorted(set(values[name])), sorted(v for v, r in zip(values[name], rows, strict=True) if r["bad"])):
+            places |= {seen[len(seen) * k // cuts] for k in range(cuts)} if seen else set()
+        for threshold in sorted(places):
             above = int("".join("1" if v >= threshold else "0" for v in reversed(values[name])), 2)
             masks[Test(name, True, threshold)] = above
             masks[Test(name, False, threshold)] = ((1 << len(rows)) - 1) & ~above
