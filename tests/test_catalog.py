@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
 def normal(v):
-    if v is None or v != v or str(v) in ("<NA>", "NaT"):
+    if v is None or str(v) in ("<NA>", "NaT", "nan"):
         return None
     if isinstance(v, bool | str):
         return v
