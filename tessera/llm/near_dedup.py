@@ -242,15 +242,16 @@ def cross_links(keys: DataFrame, roots: DataFrame, signed: DataFrame, texts: Dat
     member y of that component, |y - r| known, |x & y| is |x & r| + |y - r| at most, so that
     x need be compared only with the members for which that leaves room. In a group of near copies with a few
     outsiders, this spares comparing every outsider with every copy; nothing that could be a link is left out.
+    A component with one member in the mixed buckets, which need not be its root, has that member compared instead.
     """
     members = keys.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")).distinct()
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     members = materialize(members.join(mixed, "key", "left_semi"), "mixed")
-    sizes = members.select("root", "id").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    sizes = members.select("root", "id").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"))
     groups = materialize(members.select("key", "root").distinct().join(sizes, "root"), "groups")
     smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.root") > F.col("y.root")))
     between = groups.alias("x").join(groups.alias("y"), (F.col("x.key") == F.col("y.key")) & smaller).select(
-        F.col("x.key").alias("key"), F.col("x.root").alias("root"), F.col("y.root").alias("a"), F.col("y.size").alias("size")
+        F.col("x.key").alias("key"), F.col("x.root").alias("root"), F.when(F.col("y.size") == 1, F.col("y.least")).otherwise(F.col("y.root")).alias("a"), F.col("y.size").alias("size")
     )
     to_root = materialize(between.join(members, ["key", "root"]).select("a", F.col("id").alias("b"), "size").distinct(), "to-root")
     alone, several = to_root.where("size = 1").select("a", "b"), to_root.where("size > 1").select("a", "b")

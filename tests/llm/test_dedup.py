@@ -1,6 +1,7 @@
 """Exact, line, near and suffix dedup against brute force."""
 
 import hashlib
+import random
 import re
 import string
 from collections import Counter, defaultdict
@@ -105,6 +106,22 @@ def test_near_links_besides_a_refuted_star(spark):
     assert got == {1: 1, 2: 2, 3: 2, 4: 1}
 
 
+def chain_behind_foreign_hubs():
+    """r is like y and y like x, but not r like x; smaller ids that are like none of them share every key of y and x that r lacks."""
+    rng = random.Random(1)
+    y = [f"w1x{k}" for k in range(200)]
+    hubs = [y[:40] + rng.sample(y[40:160], 86) for _ in range(40)]
+    return [(i, " ".join(t)) for i, t in [(1, y[40:]), *enumerate(hubs, 2), (100, y), (101, y[:160])]]
+
+
+def test_near_link_of_a_member_other_than_the_root(spark):
+    """Of the component of r and y, y alone shares longer keys with x."""
+    rows = chain_behind_foreign_hubs()
+    want = near(rows, 1, 80)
+    assert {i: c for i, _, c, _ in want}[101] == 1
+    assert Counter(map(tuple, near_dedup.near_duplicates(made(spark, rows).coalesce(1), width=1, percent=80).collect())) == want
+
+
 def test_drop_near(docs):
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
