@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of
 
 _MARKS = r"^((?:[ \t]*>)+)[ \t]?"
-#: shortest normalised text, in characters, that may link
-LEAST = 8
 
 
 def normalised(text: Column) -> Column:
@@ -62,7 +60,7 @@ def originals(messages: DataFrame) -> DataFrame:
     """(conv, hash, first): first turn whose own text, or a paragraph or line of it, is that text."""
     paragraphs = F.split("own", r"\n[ \t]*\n", -1)
     units = F.array_distinct(F.transform(F.concat(F.array("own"), paragraphs, F.split("own", "\n", -1)), normalised))
-    rows = messages.where("conv is not null and turn is not null").select("conv", "turn", F.explode(F.filter(units, lambda x: F.length(x) >= LEAST)).alias("unit"))
+    rows = messages.where("conv is not null and turn is not null").select("conv", "turn", F.explode(F.filter(units, lambda x: F.length(x) > 0)).alias("unit"))
     return rows.select("conv", "turn", _hashed(F.col("unit")).alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("first"))
 
 

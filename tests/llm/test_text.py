@@ -124,5 +124,15 @@ def test_quotes(spark):
     assert len(clean) == 5
 
 
+def linked(spark, *texts):
+    """reply_to of each message of one conversation."""
+    df = spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    return [r.reply_to for r in quotes.link_quotes(df).orderBy("turn").collect()]
+
+
+def test_short_quotes(spark):
+    assert linked(spark, "Thanks!", "Is it 42?\n42", "> 42\nGood.", "> thanks!\nNever mind.", "好的", "> 好的\n是", ">\nEmpty", "> No\nNobody said so.") == [None, None, 1, 0, None, 4, None, None]
+
+
 def test_no_conversations(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
