@@ -3,7 +3,9 @@
 A message's lines carry quote levels (the leading `>` marks). Runs of quoted lines of one level are passages. A
 passage's normalised text (quote marks gone, white space collapsed, A-Z lower-cased) is hashed and
 looked up among the normalised own texts of the conversation: whole messages, their paragraphs and
-their lines. The first message with that text, if it is earlier, is the original. A message replies to the
+their lines. The first message with that text, if it is earlier, is the original. A passage of several
+lines or paragraphs that is no such unit is an excerpt: its original is the first message, if it is earlier, that
+holds all its pairs of successive lines (blank ones left out), or of successive paragraphs. A message replies to the
 latest original of its outermost passages; replies then order the conversation: every thread by its
 first message, and in a thread each reply after what it replies to, by depth and turn.
 
@@ -64,6 +66,33 @@ def originals(messages: DataFrame) -> DataFrame:
     return rows.select("conv", "turn", _hashed(F.col("unit")).alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("first"))
 
 
+def _pairs(items: Column) -> Column:
+    """Hashes of the distinct pairs of successive items."""
+    items = F.filter(F.transform(items, normalised), lambda x: x != "")
+    n = F.greatest(F.size(items) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(items, 1, n), F.slice(items, 2, n), lambda x, y: _hashed(F.concat(x, F.lit("\n"), y))))
+
+
+def excerpts(passages: DataFrame, messages: DataFrame) -> DataFrame:
+    """(conv, hash, first): first turn whose own text holds all pairs of lines, or of paragraphs, of a passage.
+
+    Equal passages of a conversation count once. Only the messages that hold a passage's rarest pair are looked at for its others.
+    passages: conv, hash, text; messages: conv, turn, own."""
+    kinds = lambda text: (F.split(text, "\n", -1), F.split(text, r"\n[ \t]*\n", -1))
+    each = passages.select("conv", "hash", F.posexplode(F.array(*map(_pairs, kinds(F.col("text"))))).alias("kind", "pairs"))
+    wanted = materialize(each.select("conv", "hash", "kind", F.size("pairs").alias("n"), F.explode("pairs").alias("pair")).distinct(), "excerpts")
+    known = messages.where("turn is not null").join(wanted.select("conv").distinct(), "conv", "left_semi")
+    held = known.select("conv", "turn", F.explode(F.array_distinct(F.concat(*map(_pairs, kinds(F.col("own")))))).alias("pair"))
+    held = materialize(held.join(wanted.select("conv", "pair").distinct(), ["conv", "pair"], "left_semi").distinct(), "pairs")
+    holders = held.groupBy("conv", "pair").agg(F.count(F.lit(1)).alias("holders"))
+    excerpt = ["conv", "hash", "kind", "n"]
+    rarest = wanted.join(holders, ["conv", "pair"]).groupBy(*excerpt).agg(F.min(F.struct("holders", "pair")).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    rarest = rarest.where("_n = n").select(*excerpt, F.col("_r.pair").alias("pair"))
+    maybe = rarest.join(held, ["conv", "pair"]).select(*excerpt, "turn")
+    full = maybe.join(wanted, excerpt).join(held, ["conv", "turn", "pair"]).groupBy(*excerpt, "turn").agg(F.count(F.lit(1)).alias("_n")).where("_n = n")
+    return full.groupBy("conv", "hash").agg(F.min("turn").alias("first"))
+
+
 def _roots(replies: DataFrame) -> DataFrame:
     """(conv, turn, root, depth) of messages that reply to one, by pointer doubling."""
     at = materialize(replies.select("conv", "turn", F.col("reply_to").alias("root"), F.lit(1).alias("depth")), "threads")
@@ -89,6 +118,9 @@ def link_quotes(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     found = passages(messages.where("conv is not null and turn is not null").dropDuplicates(["conv", "turn", "row"]))
     known = found.withColumn("hash", _hashed(normalised(F.col("text"))))
     linked = known.join(originals(messages), ["conv", "hash"], "left").withColumn("first", F.when(F.col("first") < F.col("turn"), F.col("first")))
+    linked = materialize(linked.withColumn("hash", _hashed(F.col("text"))), "passages")  # by its lines as they are
+    parts = excerpts(linked.where("first is null").select("conv", "hash", "text").distinct(), messages).withColumnRenamed("first", "_part")
+    linked = linked.join(parts, ["conv", "hash"], "left").withColumn("first", F.coalesce("first", F.when(F.col("_part") < F.col("turn"), F.col("_part"))))
     outer = Window.partitionBy("conv", "turn", "row")
     by_message = (
         linked.withColumn("_outer", F.min("level").over(outer))

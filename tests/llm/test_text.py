@@ -134,5 +134,11 @@ def test_short_quotes(spark):
     assert linked(spark, "Thanks!", "Is it 42?\n42", "> 42\nGood.", "> thanks!\nNever mind.", "好的", "> 好的\n是", ">\nEmpty", "> No\nNobody said so.") == [None, None, 1, 0, None, 4, None, None]
 
 
+def test_excerpts_of_lines_and_paragraphs(spark):
+    long = "one fine line\nanother line\na third line\nthe last line\n\nA second\nparagraph here\n\nA third paragraph"
+    parts = ["> another line\n> a third line\nYes.", "> A second paragraph\n> here\n>\n> A third paragraph\nNo.", "> a third line\n> another line\nNobody wrote it so."]
+    assert linked(spark, "another line", "a third line", long, *parts) == [None, None, None, 2, 2, None]
+
+
 def test_no_conversations(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
