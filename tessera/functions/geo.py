@@ -31,14 +31,27 @@ def _series() -> tuple[float, list[float], list[float]]:
     return a, forward, back
 
 
+# fixed values: codes of UTM zones are one of these and the zone's number; with false northings
+_ZONES = ((32600, 0.0), (32700, 10_000_000.0), (25800, 0.0))
+
+
 def _utm(epsg: int) -> tuple[float, float] | None:
     """(central meridian in radians, false northing) of a UTM zone's code."""
-    for base, north in ((32600, 0.0), (32700, 10_000_000.0), (25800, 0.0)):
+    for base, north in _ZONES:
         if base < epsg <= base + 60:
             return radians(6 * (epsg - base) - 183), north
     return None
 
 
+def _utm_of(code: Column) -> tuple[Column, Column]:
+    """The same of a column of codes, null for other codes."""
+    meridian, north = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for base, y in _ZONES:
+        own = (code > base) & (code <= base + 60)
+        meridian, north = F.when(own, F.radians(6 * (code - base) - 183)).otherwise(meridian), F.when(own, F.lit(y)).otherwise(north)
+    return meridian, north
+
+
 def to_lonlat(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     if epsg == WGS84:
         return x, y
@@ -47,6 +60,10 @@ def to_lonlat(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     zone = _utm(epsg)
     if zone is None:
         raise ValueError(f"no closed form for EPSG:{epsg}")
+    return _from_zone(x, y, zone)
+
+
+def _from_zone(x: Column, y: Column, zone: tuple) -> tuple[Column, Column]:
     a, _, back = _series()
     xi, eta = (y - zone[1]) / (_K0 * a), (x - 500_000) / (_K0 * a)
     xi1 = xi - sum((b * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, b in enumerate(back)), F.lit(0.0))
@@ -83,21 +100,23 @@ def _code(crs: int | str) -> int:
 
 
 def convert_crs(df: DataFrame, x: str, y: str, source: int | str, target: int | str, source_column: bool = False, suffix: str = "") -> DataFrame:
-    """x, y in another system. source_column: `source` names a column of codes; each code that occurs has its own branch."""
-    goal = _code(target)
+    """x, y in another system. source_column: `source` names a column of codes, numbers or texts like EPSG:4326.
+
+    A null code gives null coordinates; a code without a closed form fails the query."""
+    goal, a, b = _code(target), quoted(x).cast("double"), quoted(y).cast("double")
     if not source_column:
-        return df.withColumns(dict(zip((x + suffix, y + suffix), _converted(df, x, y, _code(source), goal), strict=True)))
-    codes = [r[0] for r in df.select(quoted(str(source))).where(quoted(str(source)).isNotNull()).distinct().orderBy(quoted(str(source))).limit(1000).collect()]
-    nx = ny = F.lit(None).cast("double")
-    for c in codes:
-        a, b = _converted(df, x, y, _code(c), goal)
-        nx, ny = F.when(quoted(str(source)) == c, a).otherwise(nx), F.when(quoted(str(source)) == c, b).otherwise(ny)
-    return df.withColumns({x + suffix: nx, y + suffix: ny})
-
-
-def _converted(df: DataFrame, x: str, y: str, source: int, goal: int) -> tuple[Column, Column]:
-    a, b = quoted(x).cast("double"), quoted(y).cast("double")
-    return (a, b) if source == goal else from_lonlat(*to_lonlat(a, b, source), goal)
+        made = (a, b) if _code(source) == goal else from_lonlat(*to_lonlat(a, b, _code(source)), goal)
+        return df.withColumns(dict(zip((x + suffix, y + suffix), made, strict=True)))
+    text = F.upper(F.trim(quoted(str(source)).cast("string")))
+    code = F.regexp_replace(text, "^EPSG:", "").try_cast("int")
+    zone = _utm_of(code)
+    refused = F.when(text.isNull(), F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("no closed form for "), text))).cast("double")
+    in_degrees = [
+        F.when(code == WGS84, p).when(code == WEB_MERCATOR, q).when(zone[0].isNotNull(), r).otherwise(refused)
+        for p, q, r in zip((a, b), to_lonlat(a, b, WEB_MERCATOR), _from_zone(a, b, zone), strict=True)
+    ]
+    made = [F.when(code == goal, same).otherwise(new) for same, new in zip((a, b), from_lonlat(*in_degrees, goal), strict=True)]
+    return df.withColumns(dict(zip((x + suffix, y + suffix), made, strict=True)))
 
 
 def web_mercator_of(lon: float, lat: float) -> tuple[float, float]:

@@ -162,23 +162,11 @@ def mapped(state: State, mapping: Mapping, rule: Mapping | None = None) -> Colum
     return out
 
 
-def filled(column: Column, how, order: tuple[str, ...]) -> Column:
-    """forward, backward, none, or {constant: value}."""
+def filled(column: Column, how) -> Column:
+    """none, a value, or {constant: value}. Fills from neighbouring rows are made over ranges, see below."""
     if isinstance(how, Mapping):
-        how = how.get("constant")
-        return F.coalesce(column, F.lit(how))
-    match how:
-        case None | "none":
-            return column
-        case "forward" | "ffill" | "backward" | "bfill":
-            if not order:
-                raise ReplacementError("filling needs an order of rows")
-            by = [F.col(f"`{c}`") for c in order]
-            if how in ("forward", "ffill"):
-                return F.last(column, True).over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
-            return F.first(column, True).over(Window.orderBy(*by).rowsBetween(0, Window.unboundedFollowing))
-        case _:
-            return F.coalesce(column, F.lit(how))
+        return F.coalesce(column, F.lit(how.get("constant")))
+    return column if how is None or how == "none" else F.coalesce(column, F.lit(how))
 
 
 def _blank_out(rule: Mapping, state: State, negate: bool) -> Column:
@@ -186,7 +174,7 @@ def _blank_out(rule: Mapping, state: State, negate: bool) -> Column:
     values = list(values) if isinstance(values, list | tuple | set) else [values]
     known = [_printed(v) for v in values if v is not None]
     blank = state.column.cast("string").isin(known) if known else F.lit(False)
-    return filled(coerced(F.when(~F.coalesce(blank, F.lit(False)), state.column), rule.get("coerce")), rule.get("fill", "forward"), state.order)
+    return filled(coerced(F.when(~F.coalesce(blank, F.lit(False)), state.column), rule.get("coerce")), rule.get("fill"))
 
 
 #: rule kinds; more can be added, each (rule, state, negate) -> Column
@@ -227,33 +215,24 @@ def needs_order(spec) -> bool:
 
 
 def _fill_over_ranges(df: DataFrame, name: str, column: Column, how: str, order: tuple[str, ...]) -> DataFrame:
-    """Fills in row order without bringing all rows to one task: within ranges of the order, then across their ends."""
-    forward = how in ("forward", "ffill")
-    by = [F.col(f"`{c}`") if forward else F.col(f"`{c}`").desc() for c in order]
-    ranged = df.withColumn("__v", column).repartitionByRange(*by).withColumn("__range", F.spark_partition_id())
+    """Fills in row order without bringing all rows to one task: within ranges of the order, then across their ends.
+
+    Rows are ranked once, ascending and nulls last, whatever the keys' kinds; backward fills run the same ranks the other way.
+    """
     from ..operators.shared import fixed
 
-    ranged = fixed(ranged)
-    own = Window.partitionBy("__range").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    ends = ranged.where(F.col("__v").isNotNull()).groupBy("__range").agg(F.max_by("__v", F.struct(*_ascending(order, forward, ranged))).alias("__end"))
+    forward = how in ("forward", "ffill")
+    by = [F.col(f"`{c}`").asc_nulls_last() for c in order]
+    ranged = fixed(df.withColumn("__v", column).repartitionByRange(*by).withColumns({"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}))
+    ranked = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*by, "__place")))
+    so_far, before, found = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), F.last
+    if not forward:
+        so_far, before, found = (0, Window.unboundedFollowing), (1, Window.unboundedFollowing), F.first
+    ends = ranked.where(F.col("__v").isNotNull()).groupBy("__range").agg((F.max_by if forward else F.min_by)("__v", "__n").alias("__end"))
     every = ranged.select("__range").distinct().join(ends, "__range", "left")
-    carried = every.select("__range", F.last("__end", True).over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
-    out = ranged.withColumn("__f", F.last("__v", True).over(own)).join(carried, "__range")
-    return out.withColumn(name, F.coalesce("__f", "__carry")).select(*df.columns)
-
-
-def _ascending(order: tuple[str, ...], forward: bool, df: DataFrame) -> list[Column]:
-    """Keys whose largest value is the last row of a range in filling order (numbers and times only run backwards)."""
-    keys = []
-    for c in order:
-        kind = df.schema[c].dataType
-        col = F.col(f"`{c}`")
-        if not forward:
-            if not isinstance(kind, T.NumericType | T.TimestampType | T.TimestampNTZType | T.DateType):
-                raise ReplacementError("filling backwards needs a number or time to order by")
-            col = -(col if isinstance(kind, T.NumericType) else F.unix_micros(col.cast("timestamp")))
-        keys.append(col)
-    return keys
+    carried = every.select("__range", found("__end", True).over(Window.orderBy("__range").rowsBetween(*before)).alias("__carry"))  # one row per range
+    out = ranked.withColumn("__f", found("__v", True).over(Window.partitionBy("__range").orderBy("__n").rowsBetween(*so_far))).join(carried, "__range")
+    return out.withColumn(name, F.coalesce("__f", "__carry")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def apply_replacements(df: DataFrame, replacements: Mapping[str, object], order: tuple[str, ...] = ()) -> DataFrame:
@@ -282,6 +261,29 @@ def apply_replacements(df: DataFrame, replacements: Mapping[str, object], order:
     return df
 
 
+def replaced_counts(before: DataFrame, replacements: Mapping[str, object], order: tuple[str, ...] = ()) -> DataFrame:
+    """(column, rule, kind, replaced): how many cells each rule changes, of all rows, in the order in which rules apply.
+
+    A cell counts where its text differs afterwards, becomes null or stops being null. One pass for all rules of all columns that need no
+    neighbouring rows; a rule that fills from them settles its column first.
+    """
+    counts, df, steps = [], before, 0
+    for name, spec in (replacements or {}).items():
+        if name not in df.columns or spec is None:
+            continue
+        rules = [{"map": spec}] if isinstance(spec, Mapping) else spec if is_rules(spec) else [{"blank_out": spec, "fill": "forward"}]
+        for k, rule in enumerate(rules):
+            kept = f"__before{steps}"
+            df = apply_replacements(df.withColumn(kept, F.col(f"`{name}`").cast("string")), {name: [rule]}, order)
+            df = df.withColumn(kept, ~F.col(kept).eqNullSafe(F.col(f"`{name}`").cast("string")))
+            counts.append((name, k, kind_of(rule)[0], kept))
+            steps += 1
+    if not counts:
+        return before.sparkSession.createDataFrame([], "column string, rule int, kind string, replaced long")
+    one = df.agg(*[F.count_if(F.col(c)).alias(c) for *_, c in counts])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.lit(k).alias("rule"), F.lit(kind).alias("kind"), F.col(c).alias("replaced")) for n, k, kind, c in counts])))
+
+
 def unmatched(df: DataFrame, name: str, mapping: Mapping, top: int = 10) -> DataFrame:
     """(value, count): the commonest values that a mapping does not name; ties by value."""
     known = [_printed(k) for k in mapping if k is not None]

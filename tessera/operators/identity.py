@@ -14,10 +14,8 @@ def numbered(df: DataFrame, name: str, order: list[str], start: int | F.Column =
     Ranges are settled first, so that a lost executor cannot renumber rows.
     """
     by = [quoted(c).asc_nulls_last() for c in order]
-    ranged = fixed((df.repartitionByRange(*by) if by else df).withColumn("__range", F.spark_partition_id()))
-    if not by:
-        ranged = fixed(ranged.withColumn("__place", F.monotonically_increasing_id()))
-        by = [F.col("__place")]
+    ranged = fixed((df.repartitionByRange(*by) if by else df).withColumns({"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}))
+    by.append(F.col("__place"))  # rows that the order leaves equal keep their settled places
     sizes = ranged.groupBy("__range").count()
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     sizes = sizes.select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))

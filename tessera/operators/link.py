@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config.project import Constraints, ForeignKey
-from .shared import quoted
+from .shared import fixed, quoted
 
 
 class LinkError(ValueError):
@@ -59,7 +59,7 @@ def is_lookup(fk: ForeignKey, remote: Remote) -> bool:
 
 def null_matches(fk: ForeignKey, remote: Remote) -> bool:
     """Whether null keys match null keys: said so, or else unless the link is a lookup."""
-    if fk.constraints is not None and fk.constraints.allow_null_keys is not None:
+    if fk.constraints is not None and fk.constraints.allow_null_keys is True:
         return False
     return not is_lookup(fk, remote)
 
@@ -94,7 +94,9 @@ def link(df: DataFrame, fk: ForeignKey, remote: Remote, mode: str = "strict") ->
     if absent:
         raise LinkError(f"link to {remote.name}: no column {', '.join(absent)}")
     theirs, added = _remote_side(df, fk, remote)
-    if fk.how == "cross" or not fk.local_keys:
+    if fk.how != "cross" and not fk.local_keys:
+        raise LinkError(f"link to {remote.name}: no keys to link by; all pairs are made by `how: cross` only")
+    if fk.how == "cross":
         joined = df.crossJoin(theirs.drop("__right"))
         return _finish(joined, df, fk, remote, added), None
     local = df.withColumn("__left", F.lit(True))
@@ -107,7 +109,11 @@ def link(df: DataFrame, fk: ForeignKey, remote: Remote, mode: str = "strict") ->
     joined = local.join(theirs, test, {"outer": "full"}.get(fk.how, fk.how))
     report = None
     if mode != "off" and fk.constraints is not None:
+        joined = fixed(joined)  # made once: the counts read two columns of it, the result the others
         report = check(df, fk, remote, joined, is_lookup(fk, remote))
+        grown = len(df.columns) + 1 + len(set(fk.extra_columns.values()) - set(df.columns))
+        if len(df.columns) + len(added) != grown:
+            report.issues.append(f"a link brought {len(added)} columns ({', '.join(added) or 'none'}) where {grown - len(df.columns)} were due")
         if report.violations and mode == "strict":
             code, message = report.violations[0]
             raise (NullKeys if code == "NULL_KEYS" else ConstraintViolation)(code, f"{message} (link to {remote.name})")
@@ -162,8 +168,8 @@ def check(df: DataFrame, fk: ForeignKey, remote: Remote, joined: DataFrame, look
         ("UNMATCHED_RIGHT", c.allow_unmatched_right is False and n["right_only"] > 0, f"{n['right_only']} remote rows have no match"),
     ]
     report.violations = [(code, text) for code, broken, text in tests if broken]
-    if n["rows"] != n["left_rows"] and fk.how == "left":
-        report.issues.append(f"a left link changed the number of rows from {n['left_rows']} to {n['rows']}")
+    if n["rows"] != n["left_rows"]:
+        report.issues.append(f"a {fk.how} link changed the number of rows from {n['left_rows']} to {n['rows']}")
     return report
 
 

@@ -2,23 +2,66 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+_written: list = []
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Keeps the cluster's folder of spark.checkpoint.dir; sets a temporary one only where none is set, as in tests."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named in spark.checkpoint.dir. Only local masters, as in tests, do without:
+    a temporary folder is one folder for all of their tasks."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = held.get() if held.isDefined() else None
+    if not folder:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str = "t") -> DataFrame:
+    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back, column by column where few are asked for.
+
+    A lost executor then costs a reread, not a recomputation. The files go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            removed(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """df with its rows, ids and partitions settled: written to the checkpoint folder, lineage cut."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """df with its rows and ids settled, whatever its columns are called."""
+    kinds = [f.dataType for f in df.schema.fields]
+    plain = df.toDF(*[f"c{i}" for i in range(len(kinds))])
+    stored = written(plain.select(*[F.col(f"c{i}").cast("string" if isinstance(k, T.NullType) else k).alias(f"c{i}") for i, k in enumerate(kinds)]), "fixed")
+    back = stored.select(*[F.lit(None).alias(f"c{i}") if isinstance(k, T.NullType) else F.col(f"c{i}") for i, k in enumerate(kinds)])
+    return back.toDF(*df.columns)
 
 
 def quoted(name: str) -> Column:

@@ -39,7 +39,7 @@ def translate_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(moves)
 
 
-def translation_map(fields: Sequence[Mapping], from_field: str = "arbodat_field", to_field: str = "english_column_name") -> dict[str, str]:
+def translation_map(fields: Sequence[Mapping], from_field: str, to_field: str) -> dict[str, str]:
     return {f[from_field]: f[to_field] for f in fields if f.get(from_field) and f.get(to_field)}
 
 

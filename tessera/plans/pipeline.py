@@ -213,9 +213,8 @@ class Pipeline:
             entity = self.project.entities[name]
             self.result.tables[name] = self.reorder(entity, self.build(entity))
             self.retry()
-        for _ in range(5):  # links round a cycle may wait for each other's columns
-            if not self.retry():
-                break
+        while self.retry():  # links round a cycle may wait for each other's columns; each pass makes one at least
+            pass
         self.result.unlinked = {n: [f.entity for f in fks] for n, fks in self.waiting.items() if fks}
         for n, names in self.result.unlinked.items():
             log.warning("%s is not linked to %s", n, ", ".join(names))

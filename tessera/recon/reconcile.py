@@ -38,9 +38,11 @@ def queries(df: DataFrame, field: str, properties: Mapping[str, str] | None = No
     return rows.groupBy("query").agg(F.min(F.to_json("properties")).alias("_p")).select("query", F.from_json("_p", "map<string,string>").alias("properties"))
 
 
-def local_scores(asked: DataFrame, targets: DataFrame, id_col: str, name_col: str, top: int = 5) -> DataFrame:
-    """Candidates by trigrams of normalised names: shared / union. Pairs come from a join on trigrams, never all pairs; the commonest
-    trigrams pair many names, so that each name is known by its rarest third of trigrams."""
+def local_scores(asked: DataFrame, targets: DataFrame, id_col: str, name_col: str, top: int = 5, least: float = 0.3) -> DataFrame:
+    """The `top` candidates by trigrams of normalised names, shared / union, of all that reach `least`.
+
+    Two sets of which s / union is `least` or more share one of the rarest size - ceil(least * size) + 1 trigrams of each, so that
+    pairs come from a join on these: no candidate is missed, and common trigrams pair few names."""
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         padded = F.concat(F.lit("  "), normalize_text(F.col("_t")), F.lit(" "))
@@ -51,15 +53,15 @@ def local_scores(asked: DataFrame, targets: DataFrame, id_col: str, name_col: st
     frequency = theirs.select(F.explode("_n").alias("g")).groupBy("g").count()
     rarest = lambda df, keys, c: (
         df.select(*keys, F.size(c).alias("_size"), F.explode(c).alias("g"))
-        .join(frequency, "g")
-        .withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("count", "g")))
-        .where("_r <= ceil(_size / 3.0)")
+        .join(frequency, "g", "left")
+        .withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("count", F.lit(0)), "g")))
+        .where(F.col("_r") <= F.col("_size") - F.ceil(F.lit(least) * F.col("_size") - 1e-9) + 1)
         .select(*keys, "g")
     )
     pairs = rarest(ours, ["query"], "_q").join(rarest(theirs, ["id", "name"], "_n"), "g").select("query", "id", "name").distinct()
     scored = pairs.join(ours, "query").join(theirs.select("id", "name", "_n"), ["id", "name"])
     score = F.size(F.array_intersect("_q", "_n")) / F.size(F.array_union("_q", "_n"))
-    ranked = scored.select("query", "id", "name", (100 * score).alias("score")).withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+    ranked = scored.select("query", "id", "name", (100 * score).alias("score")).where(F.col("score") >= 100 * least - 1e-9).withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("_r") <= top).drop("_r")
 
 

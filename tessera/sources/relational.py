@@ -49,12 +49,18 @@ class SqliteSource(DataSource):
 
     def schema(self) -> T.StructType:
         with self._connect() as c:
-            cursor = c.execute(f"SELECT * FROM ({self._query()}) LIMIT 1000")
-            names, rows = [d[0] for d in cursor.description], cursor.fetchall()
+            names = [d[0] for d in c.execute(f"SELECT * FROM ({self._query()}) LIMIT 0").description]
             declared = {}
             if self.options.get("dbtable"):
                 declared = {r[1]: next((k for p, k in _SQLITE_KINDS.items() if p in (r[2] or "").upper()), None) for r in c.execute(f'PRAGMA table_info("{self.options["dbtable"]}")')}
-        return T.StructType([T.StructField(n, declared.get(n) or _seen([r[i] for r in rows])) for i, n in enumerate(names)])
+            # a query's columns have no declared type: which storage classes occur is asked of all its rows, in one pass
+            asked = [n for n in names if not declared.get(n)]
+            renamed = ", ".join(f"c{i}" for i in range(len(names)))
+            kinds = [f"max(typeof(c{names.index(n)}) = '{kind}')" for n in asked for kind in _STORED]
+            seen = c.execute(f"WITH q({renamed}) AS ({self._query()}) SELECT {', '.join(kinds)} FROM q").fetchone() if asked else ()
+            for k, n in enumerate(asked):
+                declared[n] = _seen({kind for kind, there in zip(_STORED, seen[4 * k : 4 * k + 4], strict=True) if there})
+        return T.StructType([T.StructField(n, declared[n]) for n in names])
 
     def reader(self, schema):
         source, kinds = self, [f.dataType for f in schema.fields]
@@ -82,13 +88,15 @@ class SqliteSource(DataSource):
         return Reader()
 
 
-def _seen(values: list) -> T.DataType:
-    kinds = {type(v) for v in values if v is not None}
-    if kinds == {int}:
+_STORED = ("integer", "real", "blob", "text")
+
+
+def _seen(kinds: set[str]) -> T.DataType:
+    if kinds == {"integer"}:
         return T.LongType()
-    if kinds and kinds <= {int, float}:
+    if kinds and kinds <= {"integer", "real"}:
         return T.DoubleType()
-    return T.BinaryType() if kinds == {bytes} else T.StringType()
+    return T.BinaryType() if kinds == {"blob"} else T.StringType()
 
 
 def _cast(value, kind: T.DataType):
