@@ -2,63 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_written: list = []
+from ..operators.shared import shared_folder, written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a temporary one is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+__all__ = ["fresh", "materialize", "mix64", "shared_folder", "slices", "text_of", "utf8"]
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
-
-    A lost executor then costs a reread, not a recomputation. The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of materialised tables that df alone reads, once they are no longer needed."""
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles() if "/tessera-" in p}:
-        _remove(df.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
+    """Cuts the lineage: writes df as Parquet into the folder of spark.checkpoint.dir and reads it back."""
+    return written(df, name)
 
 
 def text_of(column) -> F.Column:
@@ -78,12 +37,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw[off[0] : off[-1]]
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of whole rows of about `limit` bytes of text (one row at least)."""
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many leading underscores as keep it apart from all in `taken`, whatever their case."""
+    known, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20, rows: int = 65_000) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of whole rows of about `limit` bytes of text, and of `rows` rows at most (one row at least)."""
     off, _ = utf8(batch.column(column))
     at, n = 0, batch.num_rows
     while at < n:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1), at + rows)
         yield batch.slice(at, to - at)
         at = to
 

@@ -23,7 +23,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node with an edge; root is the least id of its component. edges: a, b (long)."""
+    """(node, root) for every node with an edge; root is the least id of its component. edges: a, b (long).
+
+    Rounds grow with the logarithm of the longest chain; `most_rounds` is far beyond that, and reaching it is an error."""
     edges = materialize(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
@@ -32,5 +34,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(now) == mark:
             break
         mark = tuple(now)
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)

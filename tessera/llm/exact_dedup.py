@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, text_of
 
 
 def _winners(base: DataFrame, salts: int) -> DataFrame:
@@ -54,9 +54,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs, all columns, that stay: of equal texts the one with the largest id, once."""
     groups = exact_groups(docs, id_col, text_col, salts).where("kept")
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    keep = groups.select(known("doc_id").alias("__i"), F.col("doc_id").isNull().alias("__n"), F.unhex("text_sha256").alias("__d")).distinct()
-    keyed = docs.withColumns({"__i": known(id_col), "__n": F.col(id_col).isNull(), "__d": F.unhex(F.sha2(text_of(text_col), 256))})
+    i, n, d, row = fresh(docs.columns, "id", "null", "digest", "row")
+    keep = groups.select(known("doc_id").alias(i), F.col("doc_id").isNull().alias(n), F.unhex("text_sha256").alias(d)).distinct()
+    keyed = docs.withColumns({i: known(id_col), n: F.col(id_col).isNull(), d: F.unhex(F.sha2(text_of(text_col), 256))})
     # the window needs no shuffle besides the join's
-    once = Window.partitionBy("__i", "__n", "__d").orderBy(F.col(text_col).desc_nulls_last())
-    rows = keyed.join(keep, ["__i", "__n", "__d"], "left_semi")
-    return rows.withColumn("__row", F.row_number().over(once)).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = Window.partitionBy(i, n, d).orderBy(F.col(text_col).desc_nulls_last())
+    rows = keyed.join(keep, [i, n, d], "left_semi")
+    return rows.withColumn(row, F.row_number().over(once)).where(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,9 +13,10 @@ Links are confirmed on full shingle sets, and no bucket is expanded into all its
    link) are refuted by them; the others are verified on the full texts and make components.
    A bucket whose star held lies in one component, and is done.
 3. Documents in a component that a refuted edge touches may have a link besides their stars. They get
-   longer keys (`FINE_ROWS` minhashes, as many tables as `miss` asks for), which only much more similar texts share,
-   and there different components are tested against each other, but for pairs that a bound from their
-   overlaps with a component's root rules out.
+   longer keys (`FINE_ROWS` minhashes, as many tables as `miss` asks for), which only much more similar texts share.
+   Each bucket there that holds several components has a centre, and its members are compared by how they
+   differ from it: copies of one text differ from it in few shingles, most of them rare, so that an
+   exact prefix filter on the differences finds the links without comparing every copy with every other.
 
 Sets that are equal count as one member of a bucket; their rows are tied together by their digest.
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, slices, text_of, utf8
+from .common import fresh, materialize, mix64, slices, text_of, utf8
 from .components import components
 from .shingles import shared, shingle_sets
 
@@ -235,38 +236,96 @@ def fine_keys(texts: DataFrame, width: int, percent: int, miss: float) -> DataFr
     return texts.mapInArrow(run, "key long, id long")
 
 
-def cross_links(keys: DataFrame, roots: DataFrame, signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) links between different components that share a bucket. keys: key, id; roots: node, root.
+def centred_groups(members: DataFrame) -> DataFrame:
+    """(c, id, root): each member of a bucket with the bucket's centre. members: key, id, root.
 
-    A member x of the smaller component is compared with the root r of the larger one first. With |x & r| and, for each
-    member y of that component, |y - r| known, |x & y| is |x & r| + |y - r| at most, so that
-    x need be compared only with the members for which that leaves room. In a group of near copies with a few
-    outsiders, this spares comparing every outsider with every copy; nothing that could be a link is left out.
-    A component with one member in the mixed buckets, which need not be its root, has that member compared instead.
+    A component's centre is its member with the most company in its buckets; a bucket takes the centre of its largest component.
+    Any centre gives the same links; one amid its group leaves the smallest differences.
     """
+    company = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    scores = members.join(company, "key").groupBy("id", "root").agg(F.sum("n").alias("score"))
+    centres = scores.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("score", (-F.col("id")).alias("c"))).alias("best"))
+    of_key = members.select("key", "root").distinct().join(centres, "root").groupBy("key").agg(F.max(F.struct("size", "best")).alias("m"))
+    return members.join(of_key.select("key", (-F.col("m.best.c")).alias("c")), "key").select("c", "id", "root").distinct()
+
+
+def differences(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(c, ct, root, x, n, nc, inner, linked, delta): how the full set of x differs from that of its group's centre.
+
+    ct tells apart the texts of an id that is there several times; inner: shingles shared with the centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 4, 2 << 20):
+                centre = batch.column(3).dictionary_encode()
+                c, at_c = shingle_sets(*utf8(centre.dictionary), width)
+                ct = [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in centre.dictionary.to_pylist()]
+                k = centre.indices.to_numpy()
+                x, at_x = shingle_sets(*utf8(batch.column(4)), width)
+                delta = [np.setxor1d(c[at_c[k[i]] : at_c[k[i] + 1]], x[at_x[i] : at_x[i + 1]], assume_unique=True) for i in range(batch.num_rows)]
+                nc, n = np.diff(at_c)[k], np.diff(at_x)
+                places = np.cumsum([0, *map(len, delta)])
+                inner = (nc + n - np.diff(places)) // 2
+                linked = (inner > 0) & (100 * inner >= percent * (nc + n - inner))
+                lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(delta).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i) for i in range(3)), pa.array(np.array(ct, np.int64)[k]), pa.array(n), pa.array(nc), pa.array(inner), pa.array(linked), lists],
+                    ["c", "root", "x", "ct", "n", "nc", "inner", "linked", "delta"],
+                )
+
+    rows = groups.where("id != c").join(texts.select("id", F.col("t").alias("tx")), "id").withColumnRenamed("id", "x")
+    rows = rows.join(texts.select(F.col("id").alias("c"), F.col("t").alias("tc")), "c").select("c", "root", "x", "tc", "tx")
+    return rows.mapInArrow(run, "c long, root long, x long, ct long, n long, nc long, inner long, linked boolean, delta array<long>")
+
+
+def centred_pairs(deltas: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components whose differences from their centre leave room for a link; no link is left out.
+
+    With t(x, y) the least overlap of a link, x and y are linked just if their differences from the centre c share at
+    least k = t(x, y) + |c| - |x & c| - |y & c| shingles. Rarest first (one order for all), the two then share one in the first
+    |delta| - k + 1 of each. Documents that are both linked with c need no pair, so that one of a pair is not: it probes with
+    its beginning, and the other (of two unlinked ones that which differs less) is indexed by its own, each for the
+    least k that a partner allows. Each match is held against what the rest of both differences can still share.
+    """
+    p = percent
+    share = p / (100 + p)
+    least = lambda a, b: F.ceil((p * (F.col(a) + F.col(b))) / (100 + p))  # noqa: E731  t
+    group, own = ["c", "ct"], ["c", "ct", "x", "root", "n", "nc", "inner", "linked"]
+    each = deltas.select(*group, "row", F.explode("delta").alias("e"))
+    several = each.groupBy(*group, "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # the others come first in the order and meet nobody
+    known = each.join(several, [*group, "e"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("known"))  # one document's shingles
+    ordered = deltas.select(*own, "row", F.size("delta").alias("d")).join(known, "row")
+    # bounds of k from below; 1e-6 guards against what floats lose
+    unlinked_partner = F.floor(share * (F.col("n") - F.col("nc")) - 1e-6) + F.col("nc") - F.col("inner") + 1
+    larger_partner = F.ceil(F.col("nc") - 2 * F.col("inner") + (share + 0.5) * F.col("n") + (share - 0.5) * (100 * F.col("n") / p) - 1e-6)
+    any_partner = F.ceil(share * (F.col("n") + F.col("nc")) - 1e-6) - F.col("inner")
+    within_partner = F.ceil((2 * share - 1) * (100 * F.col("n") / p) + 2 * share * F.col("n") + F.col("nc") - 2 * F.col("inner") - 1e-6)
+    ordered = ordered.withColumns(
+        {"k_index": F.greatest(F.lit(1), unlinked_partner, F.when(~F.col("linked"), larger_partner)), "k_probe": F.greatest(F.lit(1), any_partner, within_partner), "lone": F.col("d") - F.size("known")}
+    )
+    ordered = materialize(ordered, "ordered")
+
+    def beginning(rows: DataFrame, k: str, side: str) -> DataFrame:
+        taken = F.greatest(F.lit(0), F.col("d") - F.col(k) + 1 - F.col("lone")).cast("int")
+        rows = rows.select(*own, "d", "lone", F.posexplode(F.slice("known", F.lit(1), taken)).alias("pos", "s"))
+        return rows.select(*group, F.col("s.e").alias("e"), *[F.col(c).alias(f"{c}_{side}") for c in ("x", "root", "n", "inner", "d", "linked")], "nc", (F.col("d") - F.col("lone") - F.col("pos")).alias(f"rest_{side}"))
+
+    index, probe = beginning(ordered, "k_index", "i"), beginning(ordered.where("not linked"), "k_probe", "p").drop("nc")
+    k = least("n_i", "n_p") + F.col("nc") - F.col("inner_i") - F.col("inner_p")
+    fits = (F.col("root_i") != F.col("root_p")) & (F.col("linked_i") | (F.col("d_i") <= F.col("d_p"))) & (F.least("rest_i", "rest_p") >= k)
+    return index.join(probe, [*group, "e"]).where(fits).select(F.least("x_i", "x_p").alias("a"), F.greatest("x_i", "x_p").alias("b")).distinct()
+
+
+def cross_links(keys: DataFrame, roots: DataFrame, signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) links between different components that share a bucket. keys: key, id; roots: node, root."""
     members = keys.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")).distinct()
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     members = materialize(members.join(mixed, "key", "left_semi"), "mixed")
-    sizes = members.select("root", "id").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"))
-    groups = materialize(members.select("key", "root").distinct().join(sizes, "root"), "groups")
-    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.root") > F.col("y.root")))
-    between = groups.alias("x").join(groups.alias("y"), (F.col("x.key") == F.col("y.key")) & smaller).select(
-        F.col("x.key").alias("key"), F.col("x.root").alias("root"), F.when(F.col("y.size") == 1, F.col("y.least")).otherwise(F.col("y.root")).alias("a"), F.col("y.size").alias("size")
-    )
-    to_root = materialize(between.join(members, ["key", "root"]).select("a", F.col("id").alias("b"), "size").distinct(), "to-root")
-    alone, several = to_root.where("size = 1").select("a", "b"), to_root.where("size > 1").select("a", "b")
-    single = overlaps(plausible(alone, signed, percent).where("may"), texts, width, percent).where("linked").select("a", "b")
-    measured = materialize(overlaps(several, texts, width, percent), "measured")
-    open_ = measured.where("not linked").select(F.col("a").alias("root"), F.col("b").alias("x"), F.col("shared").alias("with_root"), F.col("nb").alias("nx"))
-    inside = members.join(open_.select("root").distinct(), "root", "left_semi").where("id != root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
-    away = materialize(overlaps(inside, texts, width, percent).select(F.col("a").alias("root"), F.col("b").alias("y"), "rest", F.col("nb").alias("ny")), "away")
-    most = F.least(F.col("with_root") + F.col("rest"), "nx", "ny")
-    room = 100 * most >= percent * (F.col("nx") + F.col("ny") - most)
-    left = open_.join(members.select("key", F.col("id").alias("x")), "x").alias("l")
-    right = members.select("key", "root", F.col("id").alias("y")).join(away, ["root", "y"]).alias("r")
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.root") == F.col("r.root")) & room).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    deltas = materialize(differences(centred_groups(members), texts, width, percent).withColumn("row", F.monotonically_increasing_id()), "differences")
+    near = deltas.where("linked").select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b"))
+    pairs = centred_pairs(deltas, percent)
     further = overlaps(plausible(pairs, signed, percent).where("may"), texts, width, percent).where("linked").select("a", "b")
-    return single.union(measured.where("linked").select("a", "b")).union(further)
+    return near.union(further).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
@@ -303,5 +362,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns: one document (the least id) of each component."""
-    kept = near_duplicates(docs, id_col, text_col, width, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    (own,) = fresh(docs.columns, "kept_id")
+    kept = near_duplicates(docs, id_col, text_col, width, percent).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[own]), "left_semi")
