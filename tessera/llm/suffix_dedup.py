@@ -10,6 +10,8 @@ document) goes. Not all suffixes need sorting to find those strings:
 2. Runs. Tasks cut the suffixes at the remaining anchors (and what lies left of them), sort them, keep one of
    equal ones, and send each range of suffixes as a front-coded run: for each suffix the length of the prefix
    it shares with the one before, and the rest.
+   A range is a stretch of the order; an anchor string with more suffixes than a range holds (a line that a third of
+   all documents have) is parted by the anchor's place in the window and by the bytes that equal windows then share.
 3. Merge. A range's runs meet in a loser tree that carries common-prefix lengths: of two suffixes the one that
    shares more with the last winner is smaller, and only suffixes that share equally much are compared,
    from there on. The merge puts out the order and the common prefixes of neighbours.
@@ -27,7 +29,11 @@ than `length` stay whole; an empty table gives an empty result; extra columns ta
 from __future__ import annotations
 
 import hashlib
+import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,17 +41,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, slices, text_of, utf8
+from .common import fresh, materialize, mix64, slices, text_of, utf8
 
 NULL_ID = -(2**63)
 #: bytes of an anchor's string
 GRAM = 32
-#: bytes of a suffix that choose its range; less than GRAM, so that equal anchors meet
-PREFIX = 16
-#: characters of text behind one shard of hashes, one run and one range of suffixes
-SHARD_CHARS, RUN_BYTES, RANGE_CHARS = 48_000_000, 24 << 20, 16_000_000
-#: documents whose suffixes choose the ranges' borders (they affect balance only)
-BORDER_DOCS = 2000
+#: characters of text behind one shard of hashes
+SHARD_CHARS = 48_000_000
+#: suffixes of one run, and suffixes behind one range
+RUN_ITEMS, RANGE_ITEMS = 50_000, 60_000
+#: most borders of ranges, which every task holds; beyond that many ranges, each is dealt further by its anchors' hashes
+MOST_BORDERS = 4096
+#: sampled suffixes for each border (they affect balance only)
+BORDER_SAMPLE = 64
+#: stretches of anchor offsets that part an anchor string with more suffixes than a range holds
+STRETCHES = 4
 _BLOCK = 1 << 17
 _BYTE = np.random.default_rng(20210714).integers(0, 2**64, 256, np.uint64)
 ENTRY = np.dtype([("gram", "<u8"), ("place", "<u8")])  # 48 bits of hash and the row; position, bytes before and after
@@ -344,34 +354,61 @@ def _rank(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     return rank
 
 
-def suffix_runs(cut: DataFrame, borders: list[bytes], length: int) -> DataFrame:
+@dataclass(frozen=True)
+class Dealing:
+    """Which range an anchor's suffix goes to. Equal windows always meet; the choice affects balance only."""
+
+    borders: list[bytes]  # sorted, GRAM bytes each, so that equal anchors meet
+    parts: int  # each range is dealt to so many by the hash of the anchor
+    hot: frozenset[bytes]  # anchors with more suffixes than a range holds
+    hot_ranges: int
+
+    def targets(self, suffix: bytes, left: bytes, first: int, last: int, length: int) -> Iterator[tuple[int, int, int]]:
+        """(range, first, last): windows with an anchor offset from last to first go there.
+
+        A hot anchor's windows are parted by their offset. Those of one stretch of offsets share, if equal, more bytes around
+        the anchor, and are dealt by these.
+        """
+        anchor = suffix[:GRAM]
+        if anchor not in self.hot:
+            yield bisect_right(self.borders, anchor) * self.parts + (zlib.crc32(anchor) % self.parts if self.parts > 1 else 0), first, last
+            return
+        base, width = (len(self.borders) + 1) * self.parts, -(-(length - GRAM + 1) // STRETCHES)
+        for low in range(0, length - GRAM + 1, width):
+            high = min(low + width - 1, length - GRAM)
+            f, e = min(first, high), max(last, low)
+            if e <= f:
+                yield base + zlib.crc32(left[len(left) - low :] + suffix[: length - high], low) % self.hot_ranges, f, e
+
+
+def suffix_runs(cut: DataFrame, dealing: Dealing, length: int) -> DataFrame:
     """(range, run, known): front-coded runs by range; known has the spans of items equal to an earlier one of their own run."""
 
     def flush(items: list[tuple], table: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows = np.array(table, ROW)
         items.sort(key=lambda x: (x[0], x[1], x[2], x[3], table[x[4]], x[5]))
-        kept, spans, before = [], [], None
+        spans, before = [], None
+        by_range: dict[int, list] = {}
         for x in items:
             if before is not None and x[:4] == before[:4]:
                 if x[5] == before[5] and table[x[4]] == table[before[4]]:
                     continue  # a row that is there twice
                 spans.append((table[x[4]][0], table[x[4]][1], x[5] - x[2], x[5] - x[3] + length))
-            else:
-                kept.append(x)
-                before = x
-        by_range: dict[int, list] = {}
-        from bisect import bisect_right
-
-        for x in kept:
-            by_range.setdefault(bisect_right(borders, x[0][:PREFIX]), []).append(x)
+                continue
+            before = x
+            suffix, left, first, last, row, at = x
+            for name, f, e in dealing.targets(suffix, left, first, last, length):
+                by_range.setdefault(name, []).append(x if (f, e) == (first, last) else (suffix[: length - e], left[first - f :], f, e, row, at))
+        items.clear()
         names = list(by_range)
         known = [np.array(spans, "<i8").tobytes() if i == 0 else b"" for i in range(len(names))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int32()), pa.array([_pack(by_range[r], rows) for r in names], pa.binary()), pa.array(known, pa.binary())], ["range", "run", "known"]
-        )
+        for start in range(0, len(names), 64):
+            some = names[start : start + 64]
+            packed = [_pack(sorted(by_range.pop(r)), rows) for r in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary()), pa.array(known[start : start + 64], pa.binary())], ["range", "run", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, table, held = [], [], 0
+        items, table = [], []
         for whole in batches:
             for batch in slices(whole, 2):
                 off, raw = utf8(batch.column(2))
@@ -380,16 +417,20 @@ def suffix_runs(cut: DataFrame, borders: list[bytes], length: int) -> DataFrame:
                 flat = places.flatten().to_numpy().view(np.uint64)
                 count = np.diff(places.offsets.to_numpy())
                 row = np.repeat(np.arange(batch.num_rows), count)
-                at, first, last = (flat >> np.uint64(16)).astype(np.int64), ((flat >> np.uint64(8)) & np.uint64(255)).astype(np.int64), (flat & np.uint64(255)).astype(np.int64)
-                base = len(table)
-                table += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for r, o, a, f, e in zip((row + base).tolist(), off[row].tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True):
-                    p = o + a
-                    items.append((data[p : p - e + length], data[p - f : p], f, e, r, a))
-                held += 200 * len(flat)
-                if held > RUN_BYTES:
-                    yield from flush(items, table)
-                    items, table, held = [], [], 0
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                known = -1
+                for lo in range(0, len(flat), RUN_ITEMS):  # a long text fills several runs
+                    part = flat[lo : lo + RUN_ITEMS]
+                    at, first, last = (part >> np.uint64(16)).astype(np.int64), ((part >> np.uint64(8)) & np.uint64(255)).astype(np.int64), (part & np.uint64(255)).astype(np.int64)
+                    for r, a, f, e in zip(row[lo : lo + RUN_ITEMS].tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True):
+                        if r != known or not table:
+                            table.append((ids[r], texts[r]))
+                            known = r
+                        p = int(off[r]) + a
+                        items.append((data[p : p - e + length], data[p - f : p], f, e, len(table) - 1, a))
+                    if len(items) >= RUN_ITEMS:
+                        yield from flush(items, table)
+                        items, table = [], []
         if items:
             yield from flush(items, table)
 
@@ -426,36 +467,49 @@ def _merge(length: int):
     return meet
 
 
-def _borders(rows: DataFrame, length: int, ranges: int, documents: int) -> list[bytes]:
-    """Prefixes that part the suffixes of a sample of documents evenly."""
+def deal(rows: DataFrame, places: DataFrame, items: int) -> Dealing:
+    """Ranges of about RANGE_ITEMS of the `items` suffixes, by a bounded sample of them."""
+    ranges = max(1, -(-items // RANGE_ITEMS))
     if ranges < 2:
-        return []
-    every = max(1, documents // max(BORDER_DOCS, ranges))
+        return Dealing([], 1, frozenset(), 1)
+    parts = -(-ranges // MOST_BORDERS)
+    size = BORDER_SAMPLE * -(-ranges // parts)
+    every = max(1, items // (16 * size))  # documents; of their suffixes those that a hash chooses
+    chosen = F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0
+    some = max(1, items // every // size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2):
-                off, raw = utf8(batch.column(2))
-                at = anchors(off, raw, length)[1][::4]
-                data = raw.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([data[a : a + PREFIX] for a in at], pa.binary())], ["p"])
-
-    sample = sorted(r["p"] for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).mapInArrow(run, "p binary").collect())
-    return sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+            for batch in slices(whole, 0):
+                off, raw = utf8(batch.column(0))
+                data, flat = raw.tobytes(), batch.column(1).flatten().to_numpy().view(np.uint64)
+                start = np.repeat(off[:-1], np.diff(batch.column(1).offsets.to_numpy()))
+                at = (start + (flat >> np.uint64(16)).astype(np.int64))[mix64(flat + start.view(np.uint64)) % np.uint64(some) == 0]
+                yield pa.RecordBatch.from_arrays([pa.array([data[a : a + GRAM] for a in at.tolist()], pa.binary())], ["p"])
+
+    sampled = rows.where(chosen).join(places.where(chosen), ["id", "text"]).select("t", "places")
+    sample = sorted(bytes(r["p"]) for r in sampled.mapInArrow(run, "p binary").limit(8 * size).collect())  # about `size`; the limit is there for a document of very many
+    if not sample:
+        return Dealing([], ranges, frozenset(), 1)
+    cuts = -(-ranges // parts)
+    counted = Counter(sample)
+    hot = frozenset(p for p, n in counted.items() if n * ranges > 2 * len(sample) and n > 8)
+    hot_ranges = max(1, -(-3 * ranges * sum(counted[p] for p in hot) // len(sample)))
+    cold = [p for p in sample if p not in hot]
+    return Dealing(sorted({cold[len(cold) * k // cuts] for k in range(1, cuts)}) if cold else [], parts, hot, hot_ranges)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (id, text hash, t), and spans (id, text hash, spans as array of (lo, hi)), bytes to remove."""
     if not 2 * GRAM <= length <= 255:
         raise ValueError(f"length must be from {2 * GRAM} to 255")
-    total = docs.agg(F.sum(F.length(F.col(text_col))).alias("chars"), F.count(F.lit(1)).alias("n")).first()
-    chars = total["chars"] or 0
+    chars = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
     rows = docs.select(_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text"), text_of(text_col).alias("t"))
     long_enough = rows.where(F.octet_length("t") >= length)
     places = materialize(repeated_anchors(long_enough, length, max(1, -(-chars // SHARD_CHARS))), "anchors")
-    borders = _borders(long_enough, length, max(1, -(-chars // RANGE_CHARS)), total["n"])
+    dealing = deal(rows, places, places.agg(F.sum(F.size("places"))).first()[0] or 0)
     cut = rows.join(places, ["id", "text"]).select("id", "text", "t", "places")
-    found = suffix_runs(cut, borders, length).groupBy("range").applyInPandas(_merge(length), "id long, text long, lo long, hi long")
+    found = suffix_runs(cut, dealing, length).groupBy("range").applyInPandas(_merge(length), "id long, text long, lo long, hi long")
     return rows, found.groupBy("id", "text").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -529,6 +583,7 @@ def documents_without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col:
                     columns[i] = pa.array([old if t is None else len(t) for t, old in zip(texts, columns[i].to_pylist(), strict=True)], columns[i].type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    keyed = docs.withColumns({"__id": _key(id_col), "__text": F.xxhash64(text_of(text_col))})
-    spans = spans.select(F.col("id").alias("__id"), F.col("text").alias("__text"), F.col("spans").alias("__spans"))
-    return keyed.join(spans, ["__id", "__text"], "left").select(*names, "__spans").mapInArrow(cut, docs.schema)
+    own_id, own_text, own_spans = fresh(names, "id", "text", "spans")
+    keyed = docs.withColumns({own_id: _key(id_col), own_text: F.xxhash64(text_of(text_col))})
+    spans = spans.select(F.col("id").alias(own_id), F.col("text").alias(own_text), F.col("spans").alias(own_spans))
+    return keyed.join(spans, [own_id, own_text], "left").select(*[F.col(f"`{c}`") for c in names], own_spans).mapInArrow(cut, docs.schema)

@@ -122,6 +122,47 @@ def test_near_link_of_a_member_other_than_the_root(spark):
     assert Counter(map(tuple, near_dedup.near_duplicates(made(spark, rows).coalesce(1), width=1, percent=80).collect())) == want
 
 
+def near_copies(seed, n=240, words=120, vocabulary=None):
+    """Copies of one text with few to many edits (words replaced, dropped, put in; some from a small vocabulary), many just above or below a link."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    rows = [(1, " ".join(base))]
+    for i in range(2, n + 2):
+        text, edits = list(base), rng.choice([1, 2, 3, 4, 5, 5, 6, 6, 7, 7, 8, 9, 10, 12, 15])
+        for k in range(edits):
+            at, kind = rng.randrange(len(text)), rng.random()
+            new = f"v{rng.randrange(vocabulary)}" if vocabulary else f"n{i}x{k}"
+            text[at : at + (kind < 0.8)] = [] if kind > 0.92 else [new] if kind < 0.8 else [new, text[at]]
+        if rng.random() < 0.1:
+            text = text[: rng.randrange(60, len(text))]
+        rows.append((i, " ".join(text)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "width", "percent", "vocabulary"), [(1, 3, 85, None), (2, 5, 80, None), (3, 3, 85, 3), (4, 1, 90, 2), (5, 1, 85, None)])
+def test_near_copies_of_one_text(spark, seed, width, percent, vocabulary):
+    rows = near_copies(seed, vocabulary=vocabulary)
+    assert Counter(map(tuple, near_dedup.near_duplicates(made(spark, rows).repartition(4), width=width, percent=percent).collect())) == near(rows, width, percent)
+
+
+def test_centred_filter_leaves_out_no_link(spark):
+    """Whatever the centre, every link between documents of which not both are linked with it is a pair; few others are."""
+    rows = near_copies(7, n=150)
+    sets = {i: shingle_set(t, 3) for i, t in rows}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    texts = spark.createDataFrame(rows, "id long, t string")
+    for centre in (1, 30, 77):
+        groups = spark.createDataFrame([(centre, i, i) for i in sets], "c long, id long, root long")
+        deltas = near_dedup.differences(groups, texts, 3, 85).selectExpr("*", "monotonically_increasing_id() row").cache()
+        got = {(r.a, r.b) for r in near_dedup.centred_pairs(deltas, 85).collect()}
+        near_centre = {i for i in sets if linked(centre, i)}
+        assert {r.x for r in deltas.where("linked").collect()} == near_centre - {centre}
+        want = {(a, b) for a in sets for b in sets if a < b and centre not in (a, b) and linked(a, b) and not (a in near_centre and b in near_centre)}
+        assert want <= got
+        assert len(got) < len(sets) ** 2 // 8
+
+
 def test_drop_near(docs):
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -157,11 +198,12 @@ def repeats(corpus, length):
     return Counter((i, *out[i, t]) for i, t in corpus)
 
 
-@pytest.mark.parametrize("ranges", [16_000_000, 3_000])
-def test_suffixes(spark, corpus, empty, monkeypatch, ranges):
+@pytest.mark.parametrize(("shard_chars", "items"), [(48_000_000, 60_000), (3_000, 40)])
+def test_suffixes(spark, corpus, empty, monkeypatch, shard_chars, items):
     """Several ranges, shards and runs; rows that share an id but not the text are ordered by a hash, so they are left out here."""
-    monkeypatch.setattr(suffix_dedup, "RANGE_CHARS", ranges)
-    monkeypatch.setattr(suffix_dedup, "SHARD_CHARS", ranges)
+    monkeypatch.setattr(suffix_dedup, "SHARD_CHARS", shard_chars)
+    monkeypatch.setattr(suffix_dedup, "RANGE_ITEMS", items)
+    monkeypatch.setattr(suffix_dedup, "MOST_BORDERS", 5)
     rows = [r for r in corpus if r[0] not in (13, None)] + [(None, "no id " * 20)]
     docs = made(spark, rows).repartition(5)
     for length in (64, 100):
@@ -169,6 +211,50 @@ def test_suffixes(spark, corpus, empty, monkeypatch, ranges):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def common_line(n):
+    """Documents that all hold one line, each between texts of its own; some of them share a window around the line."""
+    rng, line = random.Random(9), "a line that every document of this table holds, of 70 bytes in all, ok"
+    letters = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    ends = [(letters(60), letters(60)) for _ in range(n // 4)]
+    rows = []
+    for i in range(n):
+        left, right = rng.choice(ends), rng.choice(ends)
+        rows.append((i, letters(rng.randrange(40)) + left[0][rng.randrange(60) :] + line + right[1][: rng.randrange(60)] + letters(rng.randrange(60))))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_an_anchor_of_all_documents_is_parted(spark, monkeypatch, hot):
+    rows = common_line(160)
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "RANGE_ITEMS", 20 if hot else 60_000)
+    deal = suffix_dedup.deal
+    monkeypatch.setattr(suffix_dedup, "deal", lambda *x: seen.append(deal(*x)) or seen[-1])
+    assert Counter(map(tuple, suffix_dedup.remove_repeats(made(spark, rows).repartition(3), digests_only=True).collect())) == repeats(rows, 100)
+    assert bool(seen[0].hot) == hot
+
+
+def test_stretches_hold_every_window_once():
+    rng = random.Random(4)
+    dealing = suffix_dedup.Dealing([], 1, frozenset([b"x" * 32]), 7)
+    for _ in range(300):
+        last = rng.randrange(69)
+        first = rng.randrange(last, 69)
+        left, suffix = bytes(rng.choices(b"ab", k=first)), b"x" * 32 + bytes(rng.choices(b"ab", k=68 - last))
+        parts = list(dealing.targets(suffix, left, first, last, 100))
+        assert sorted(o for _, f, e in parts for o in range(e, f + 1)) == list(range(last, first + 1))
+
+
+def test_batches_of_many_short_rows():
+    import pyarrow as pa
+
+    from tessera.llm.common import slices
+
+    cut = [x.num_rows for x in slices(pa.RecordBatch.from_arrays([pa.array(["a"] * 150_000)], ["t"]), 0)]
+    assert max(cut) <= 65_000
+    assert sum(cut) == 150_000
+
+
 def test_suffixes_of_one_long_document(spark):
     rng = np.random.default_rng(3)
     part = "".join(map(chr, rng.integers(97, 123, 5_000)))
@@ -180,7 +266,9 @@ def test_documents_without_repeats(spark):
     text = "é" * 80 + "".join(chr(200 + k) for k in range(100))
     rows = [(1, text), (2, "x" + text + "y"), (3, None), (4, "short")]
     out = {r.doc_id: r for r in suffix_dedup.documents_without_repeats(made(spark, rows)).collect()}
-    assert out[1].text == "é" * 80 + text[80:] or len(out[1].text) < len(text)
+    # bytes C3 A9 repeat from the third byte on, up to the C3 that the next letter begins with: that letter goes as a whole
+    assert out[1].text == "é" + text[81:]
+    assert out[1].n_chars == len(out[1].text)
     assert out[2].text == "xy"
     assert out[2].n_chars == 2
     assert out[3].text is None
