@@ -93,22 +93,62 @@ def test_blocks_alone(width):
     assert (token_files.read_block(content, head, chunks, 7) == ids[896:]).all()
 
 
-def test_plan_fills_best_fit():
-    rng = random.Random(1)
-    counts = Counter(rng.randint(1, 64) for _ in range(3000))
-    plan = packing.plan_supersteps(counts, 64)
-    used, placed = defaultdict(int), Counter()
-    for length, rank, n, sequence, offset in plan:
-        assert rank == placed[length]
-        placed[length] += n
-        for k in range(n):
-            assert used[sequence + k] == offset
-            used[sequence + k] += length
-    assert placed == counts
-    assert max(used.values()) <= 64
-    least = -(-sum(k * n for k, n in counts.items()) // 64)
-    assert len(used) <= 1.02 * least + 1
-    assert sorted(used) == list(range(len(used)))
+def best_fit_decreasing(lengths, capacity):
+    """Number of sequences when each document, longest first, goes to the fullest sequence that has room."""
+    import bisect
+
+    rooms, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(rooms, length)
+        if k < len(rooms):
+            room = rooms.pop(k)
+        else:
+            room, n = capacity, n + 1
+        if room > length:
+            bisect.insort(rooms, room - length)
+    return n
+
+
+def lengths_of(kind, rng):
+    return {
+        "even": lambda: [rng.randint(1, 1024) for _ in range(1500)],
+        "short": lambda: [rng.choice([1, 2, 3, 17, 30, 60, 100]) for _ in range(2500)],
+        "alike": lambda: [300] * 700 + [333] * 300 + [40] * 90,
+        "bimodal": lambda: [rng.randint(900, 1024) for _ in range(500)] + [rng.randint(1, 90) for _ in range(900)],
+        "middle": lambda: [rng.randint(257, 512) for _ in range(900)],
+    }[kind]()
+
+
+@pytest.mark.parametrize("kind", ["even", "short", "alike", "bimodal", "middle"])
+def test_as_few_sequences_as_best_fit_decreasing(spark, kind):
+    lengths = lengths_of(kind, random.Random(1))
+    pieces = spark.createDataFrame([(k % 50, 0, 0, n, k) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    rows = packing.place(pieces, 1024, per_group=20).collect()
+    assert sorted((r.ids_crc32, r.length) for r in rows) == list(enumerate(lengths))
+    used = defaultdict(list)
+    for r in rows:
+        used[r.sequence_id].append((r.offset, r.length))
+    for parts in used.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 1024
+    best = best_fit_decreasing(lengths, 1024)
+    print(kind, len(used), best, -(-sum(lengths) // 1024))
+    assert len(used) <= best + best // 200
+
+
+def test_sweep_counts_are_those_of_a_stack():
+    rng = random.Random(2)
+    for _ in range(50):
+        documents, offered = Counter(rng.choices(range(1, 30), k=40)), Counter(rng.choices(range(1, 30), k=30))
+        before, matched = packing.sweep_counts(documents, offered)
+        stack, height = 0, 0
+        for size in range(29, 0, -1):
+            assert before.get(size, height) == height
+            stack, height = stack + offered[size], height + offered[size] - documents[size]
+            taken = min(stack, documents[size])
+            assert matched.get(size, 0) == taken
+            stack -= taken
 
 
 def test_pack(docs, corpus, empty):
