@@ -14,7 +14,8 @@ which a third of all messages hold is one row there; no conversation is collecte
 
 Defined results: null text is empty; a message without quotes starts its own thread; a passage that no
 earlier message holds is unlinked and just left out of the body; a null conversation or turn is linked with
-nothing; of rows that share (conversation, turn), each is given out, and either may be the original; an
+nothing; of rows that share (conversation, turn), each is given out (placed by a hash of role and body), and either may be
+the original; texts of any length are read whole, quotes of any length are looked up; an
 empty table gives an empty result; extra columns take no part.
 """
 
@@ -143,16 +144,19 @@ def link_quotes(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     return _positions(placed)
 
 
-def _positions(placed: DataFrame, chunk: int = 64) -> DataFrame:
-    """Adds the 0-based place in (thread, depth, turn) order: rank within a stretch of threads, plus the stretches before."""
-    stretched = placed.withColumn("_s", F.floor(F.col("thread") / chunk))
-    sizes = stretched.groupBy("conv_id", "_s").count()
-    before = Window.partitionBy("conv_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("conv_id").alias("_c"), F.col("_s").alias("_t"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("conv_id", "_s").orderBy("thread", "depth", "turn", "role", "body")
-    ranked = stretched.withColumn("_own", F.row_number().over(own) - 1)
-    same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_s").eqNullSafe(F.col("_t"))
-    return ranked.join(sizes, same).withColumn("position", F.col("_own") + F.col("_before")).drop("_s", "_c", "_t", "_own", "_before")
+def _positions(placed: DataFrame) -> DataFrame:
+    """Adds the 0-based place in (thread, depth, turn) order: rank within a range of all rows, plus the conversation's rows in the ranges before."""
+    keyed = placed.withColumns({"_h": F.xxhash64("role", "body"), "_u": F.monotonically_increasing_id()})
+    order = ["thread", "depth", "turn", "_h", "_u"]
+    # fixes the ranges, which may part one conversation
+    ranged = materialize(keyed.repartitionByRange("conv_id", *order).withColumn("_r", F.spark_partition_id()), "positions")
+    before = Window.partitionBy("conv_id").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = ranged.groupBy("conv_id", "_r").count()
+    sizes = sizes.select(F.col("conv_id").alias("_c"), F.col("_r").alias("_t"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_r", "conv_id").orderBy(*order)
+    ranked = ranged.withColumn("_own", F.row_number().over(own) - 1)
+    same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_r") == F.col("_t"))
+    return ranked.join(sizes, same).withColumn("position", F.col("_own") + F.col("_before")).select(*placed.columns, "position")
 
 
 def conversations_without_quotes(conversations: DataFrame, **columns: str) -> DataFrame:

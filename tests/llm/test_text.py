@@ -1,7 +1,8 @@
 """Quality rules, URL filters, quotation linking."""
 
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -140,5 +141,125 @@ def test_excerpts_of_lines_and_paragraphs(spark):
     assert linked(spark, "another line", "a third line", long, *parts) == [None, None, None, 2, 2, None]
 
 
+MARKS = re.compile(r"((?:[ \t]*>)+)[ \t]?")
+
+
+def plain(text):
+    out = re.sub(r"[\x20\x09-\x0D]+", " ", text).strip(" ")
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in out)
+
+
+def pairs_of(items):
+    items = [x for x in map(plain, items) if x]
+    return set(zip(items, items[1:], strict=False))
+
+
+def brute_links(rows):
+    """(conv, turn, role, body, n_quotes, n_linked, reply_to, depth, thread) of each row, by looking at every earlier message."""
+    seen = []
+    for conv, turn, role, text in rows:
+        lines = (text or "").split("\n")
+        body = "\n".join(x for x in lines if not MARKS.match(x)).strip(" \t\n\x0b\x0c\r")
+        found, last = [], None
+        for at, line in enumerate(lines):
+            mark = MARKS.match(line)
+            if mark:
+                level, rest = mark[1].count(">"), line[mark.end() :]
+                if last == (at - 1, level):
+                    found[-1][1].append(rest)
+                else:
+                    found.append((level, [rest]))
+                last = (at, level)
+        seen.append((conv, turn, role, body, [(n, "\n".join(x)) for n, x in found]))
+    units, held = defaultdict(set), defaultdict(set)
+    for conv, turn, _, body, _ in seen:
+        if conv is not None and turn is not None:
+            paragraphs = re.split(r"\n[ \t]*\n", body)
+            units[conv, turn] |= {plain(u) for u in (body, *paragraphs, *body.split("\n"))} - {""}
+            held[conv, turn] |= pairs_of(body.split("\n")) | pairs_of(paragraphs)
+    turns = defaultdict(list)
+    for conv, turn in units:
+        turns[conv].append(turn)
+
+    def whole(conv, wanted):
+        """First turn of which one row alone need not hold all: rows that share a turn count together."""
+        return min((t for t in turns[conv] if wanted(units[conv, t], held[conv, t])), default=None)
+
+    out, reply = [], {}
+    for conv, turn, _, _, found in seen:
+        originals = []
+        for level, text in found if conv is not None and turn is not None else ():
+            first = whole(conv, lambda u, h: plain(text) in u) if plain(text) else None  # noqa: B023
+            if first is None or first >= turn:
+                kinds = [pairs_of(text.split("\n")), pairs_of(re.split(r"\n[ \t]*\n", text))]
+                parts = [whole(conv, lambda u, h: k <= h) for k in kinds if k]  # noqa: B023
+                first = min((t for t in parts if t is not None), default=None)
+            originals.append((level, first if first is not None and first < turn else None))
+        outer = min((n for n, _ in originals), default=None)
+        own = max((t for n, t in originals if n == outer and t is not None), default=None)
+        if own is None:
+            own = max((t for _, t in originals if t is not None), default=None)
+        out.append((len(originals), sum(t is not None for _, t in originals), own))
+        if own is not None:
+            reply[conv, turn] = max(own, reply.get((conv, turn), own))
+    rows = []
+    for (conv, turn, role, body, _), (quotes_, linked_, own) in zip(seen, out, strict=True):
+        depth, at = 0, turn
+        while (conv, at) in reply:
+            depth, at = depth + 1, reply[conv, at]
+        rows.append((conv, turn, role, body, quotes_, linked_, own, depth, at))
+    return rows
+
+
+def talk(seed):
+    """Conversations that quote whole messages, lines, paragraphs and excerpts at several levels, with repeated lines, rows and turns, and nulls."""
+    rng = random.Random(seed)
+    say = lambda: " ".join(rng.choice(["yes", "No", "the", "plan", "on", "Friday", "a", "long", "report", "好的"]) for _ in range(rng.randint(1, 5)))
+    rows = []
+    for conv in (1, 2, 3, None):
+        said = []
+        for turn in range(14):
+            parts = []
+            for _ in range(rng.randint(0, 2)):
+                if said:
+                    lines = rng.choice(said).split("\n")
+                    a = rng.randrange(len(lines))
+                    mark = rng.choice(["> ", ">", ">> ", " > > "])
+                    parts += [mark + x for x in lines[a : a + rng.randint(1, 4)]] + [""] * rng.randint(0, 1)
+            parts += [rng.choice(["", say(), say(), say() + "  " + say()]) for _ in range(rng.randint(0, 4))]
+            text = "\n".join(parts)
+            said.append(text)
+            rows.append((conv, None if rng.random() < 0.05 else turn, rng.choice(["user", "assistant"]), None if rng.random() < 0.05 else text))
+            if rng.random() < 0.1:
+                rows.append(rows[-1])
+            if rng.random() < 0.1:
+                rows.append((conv, turn, "user", say()))
+    rows += [(4, t, "user", ("> " + f"message {t - 1}\n" if t else "") + f"message {t}") for t in range(40)]  # one long thread
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quotes_are_those_of_a_search_through_all_messages(spark, seed):
+    rows = talk(seed)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' level", "1 row", "2 _h", "3 _r").repartition(5)
+    got = quotes.link_quotes(df).collect()
+    fields = ["conv_id", "turn", "role", "body", "n_quotes", "n_linked", "reply_to", "depth", "thread"]
+    assert Counter(tuple(r[f] for f in fields) for r in got) == Counter(brute_links(rows))
+    by_conv = defaultdict(list)
+    for r in got:
+        by_conv[r.conv_id].append((r.position, *((x is not None, x or 0) for x in (r.thread, r.depth, r.turn))))
+    for parts in by_conv.values():
+        parts.sort()
+        assert [p[0] for p in parts] == list(range(len(parts)))
+        assert [p[1:] for p in parts] == sorted(p[1:] for p in parts)
+    assert sum(r.n_linked for r in got) > 40
+
+
+def test_long_messages_are_read_whole(spark):
+    long = "\n".join(f"line {k} of a message of two megabytes or so, with some words to fill it" for k in range(30_000))
+    quote = "\n".join("> " + x for x in long.split("\n")[-3:])
+    assert linked(spark, long, quote + "\nI agree.", "> line 7 of a message of two megabytes or so, with some words to fill it") == [None, 0, 0]
+
+
 def test_no_conversations(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
