@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 from .config.project import ForeignKey, Project, Unnest
 from .functions import geo
 from .functions.predicate import compile_predicate
-from .functions.replace import apply_replacements, unmatched
+from .functions.replace import apply_replacements, replaced_counts, unmatched
 from .functions.text import normalize_text
 from .ingest import submission as eav
 from .operators.extra_columns import add_extra_columns
 from .operators.filters import apply_filters
 from .operators.identity import add_system_id
-from .operators.link import Remote, check, indicator, link, map_to_remote
-from .operators.reshape import union, unnest
+from .operators.link import Remote, link, map_to_remote
+from .operators.reshape import unnest
 from .operators.shared import fixed
 from .operators.subset import drop_duplicates, drop_empty_rows, fd_violations, select_columns, translate_columns
 from .plans.pipeline import duplicate_keys, normalize
-from .quality.validators import orphans
+from .quality.validators import orphans, validate
 from .recon import reconcile
 from .service import analysis
 from .sinks.writers import table_shapes
@@ -149,12 +149,12 @@ def filter_drop_empty_rows(spark, sf_dir):
 
 
 def _customer_nation(how: str):
-    """Only some nations, so that both sides have rows without a partner."""
+    """Some nations are left out, and some customers have one that is not there, so that both sides have rows without a partner."""
 
     def run(spark, sf_dir):
         nation = _remote(spark, sf_dir, "nation", "n_nationkey", "nation_id")
         some = Remote("nation", nation.df.where("n_nationkey >= 5"), "system_id", "nation_id")
-        customer = select_columns(table(spark, sf_dir, "customer").where("c_nationkey < 20"), ["c_custkey", "c_nationkey"])
+        customer = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") < 20, F.col("c_nationkey")).otherwise(F.col("c_nationkey") + 100).alias("c_nationkey"))
         fk = ForeignKey.of({"entity": "nation", "local_keys": ["c_nationkey"], "remote_keys": ["n_nationkey"], "how": how, "extra_columns": {"nation_name": "n_name"}})
         return link(customer, fk, some)[0]
 
@@ -164,7 +164,7 @@ def _customer_nation(how: str):
 for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
     QUERIES[f"fk_{_how}"] = _customer_nation(_how)
     ORACLES[f"fk_{_how}"] = (
-        f"SELECT c_custkey, c_nationkey, nation_id, n_name AS nation_name FROM (SELECT * FROM customer WHERE c_nationkey < 20) c"
+        f"SELECT c_custkey, c_nationkey, nation_id, n_name AS nation_name FROM (SELECT c_custkey, c_nationkey + CASE WHEN c_nationkey < 20 THEN 0 ELSE 100 END AS c_nationkey FROM customer) c"
         f" {_join} (SELECT * FROM {_NATION} WHERE n_nationkey >= 5) n ON c_nationkey = n_nationkey"
     )
 
@@ -223,9 +223,10 @@ def fk_composite(spark, sf_dir):
     " FROM customer FULL JOIN orders ON c_custkey = o_custkey) GROUP BY 1"
 )
 def fk_merge_indicator(spark, sf_dir):
-    left = table(spark, sf_dir, "customer").select("c_custkey", F.lit(True).alias("__left"))
-    right = table(spark, sf_dir, "orders").select("o_custkey", F.lit(True).alias("__right"))
-    return left.join(right, F.col("c_custkey") == F.col("o_custkey"), "full").select(indicator().alias("_merge")).groupBy("_merge").agg(F.count(F.lit(1)).alias("n_rows"))
+    remote = Remote("order", table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("system_id"), "o_custkey"), "system_id", "order_id")
+    fk = ForeignKey.of({"entity": "order", "local_keys": ["c_custkey"], "remote_keys": ["o_custkey"], "how": "outer"})
+    linked, _ = link(table(spark, sf_dir, "customer").select("c_custkey"), fk, remote, merge_indicator="_merge")
+    return linked.groupBy("_merge").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(
@@ -238,9 +239,7 @@ def constraint_report(spark, sf_dir):
     orders = select_columns(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey"])
     remote = _remote(spark, sf_dir, "customer", "c_custkey", "customer_id")
     fk = ForeignKey.of({"entity": "customer", "local_keys": ["o_custkey"], "remote_keys": ["c_custkey"], "how": "outer", "constraints": {"cardinality": "many_to_one"}})
-    theirs = remote.df.select(F.col("c_custkey").alias("__key0"), F.lit(True).alias("__right"))
-    joined = orders.withColumn("__left", F.lit(True)).join(theirs, F.col("o_custkey") == F.col("__key0"), "full")
-    counts = check(orders, fk, remote, joined, False).counts
+    counts = link(orders, fk, remote, "warn")[1].counts
     return spark.range(1).select(*[F.lit(counts[k]).cast("long").alias(k) for k in ("left_rows", "left_repeats", "right_rows", "left_only", "right_only")])
 
 
@@ -265,6 +264,121 @@ def orphan_keys(spark, sf_dir):
     return orphans(table(spark, sf_dir, "labels"), ["doc_id"], table(spark, sf_dir, "documents").where("lang = 'en'"), ["doc_id"])
 
 
+#: case -> (how, constraints, rows of the remote side); customers are linked to their orders
+_CONSTRAINED = {
+    "one_to_one": ("left", {"cardinality": "one_to_one"}, "true"),
+    "many_to_one": ("left", {"cardinality": "many_to_one"}, "true"),
+    "one_to_many": ("inner", {"cardinality": "one_to_many"}, "o_orderkey % 97 = 1"),
+    "many_to_many": ("left", {"cardinality": "many_to_many"}, "true"),
+    "unmatched_left": ("left", {"allow_unmatched_left": False}, "o_orderkey % 97 = 1"),
+    "unmatched_right": ("outer", {"allow_unmatched_right": False}, "true"),
+    "row_decrease": ("inner", {"allow_row_decrease": False}, "o_orderkey % 97 = 1"),
+    "unique_left": ("left", {"require_unique_left": True}, "true"),
+    "unique_right": ("left", {"require_unique_right": True}, "true"),
+    "null_keys": ("inner", {"allow_null_keys": False}, "true"),
+}
+
+
+def _constrained_sql() -> str:
+    """Each case's counts, and which of the rules they break."""
+    cases = []
+    for name, (how, _, rows) in _CONSTRAINED.items():
+        join = {"left": "LEFT", "inner": "INNER", "outer": "FULL"}[how]
+        cases.append(
+            f"SELECT '{name}' AS c, (SELECT count(*) FROM customer) AS l, count(*) AS n, sum(CASE WHEN o IS NULL THEN 1 ELSE 0 END) AS lonely_l, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) AS lonely_r,"
+            f" (SELECT count(o_custkey) - count(DISTINCT o_custkey) FROM orders WHERE {rows}) AS rep_r, (SELECT count(*) FROM orders WHERE o_custkey IS NULL AND {rows}) AS nulls"
+            f" FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT -c_custkey FROM customer WHERE c_custkey % 5 = 0) {join} JOIN (SELECT o_custkey AS o FROM orders WHERE {rows}) ON k = o"
+        )
+    broken = {
+        "NOT_UNIQUE_RIGHT": "c IN ('one_to_one', 'many_to_one', 'unique_right') AND rep_r > 0",
+        "NOT_ONE_TO_ONE": "c = 'one_to_one' AND n <> l",
+        "NOT_MANY_TO_ONE": "c = 'many_to_one' AND n > l",
+        "NOT_ONE_TO_MANY": "c = 'one_to_many' AND n < l",
+        "UNMATCHED_LEFT": "c = 'unmatched_left' AND lonely_l > 0",
+        "UNMATCHED_RIGHT": "c = 'unmatched_right' AND lonely_r > 0",
+        "ROWS_LOST": "c = 'row_decrease' AND n < l",
+        "NOT_UNIQUE_LEFT": "c = 'unique_left' AND false",  # customers' keys are unique
+        "NULL_KEYS": "nulls > 0",
+        "ISSUE": "n <> l",
+    }
+    return "WITH x AS (" + " UNION ALL ".join(cases) + ") " + " UNION ALL ".join(f"SELECT c AS rule, '{code}' AS code FROM x WHERE {test}" for code, test in broken.items())
+
+
+@query(_constrained_sql())
+def link_constraints(spark, sf_dir):
+    """What each constraint of a link reports, and the soft issue of rows that a link adds or loses. Some customers' keys are none."""
+    key = F.when(F.col("c_custkey") % 5 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    customers, orders = table(spark, sf_dir, "customer").select(key.alias("k")), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("system_id"), "o_custkey")
+    found = []
+    for name, (how, constraints, rows) in _CONSTRAINED.items():
+        fk = ForeignKey.of({"entity": "order", "local_keys": ["k"], "remote_keys": ["o_custkey"], "how": how, "constraints": constraints})
+        report = link(customers, fk, Remote("order", orders.where(rows.replace("o_orderkey", "system_id")), "system_id", "order_id"), "warn")[1]
+        found += [(name, code) for code, _ in report.violations] + [(name, "ISSUE") for _ in report.issues]
+    return spark.createDataFrame(found, "rule string, code string")
+
+
+@query("SELECT c_custkey, c_name, nation_id, n_name AS c_name_nation FROM customer JOIN " + _NATION + " ON c_nationkey = n_nationkey")
+def fk_suffix(spark, sf_dir):
+    """A remote column whose name is taken gets the remote entity's name at its end."""
+    fk = ForeignKey.of({"entity": "nation", "local_keys": ["c_nationkey"], "remote_keys": ["n_nationkey"], "extra_columns": {"c_name": "n_name"}})
+    df = select_columns(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey"])
+    return link(df, fk, _remote(spark, sf_dir, "nation", "n_nationkey", "nation_id"))[0].drop("c_nationkey")
+
+
+@query(
+    "SELECT c_custkey, balance, row_number() OVER (ORDER BY c_custkey) AS account_id, row_number() OVER (ORDER BY c_custkey) AS holder_id, row_number() OVER (ORDER BY c_custkey) AS by_balance_id"
+    " FROM (SELECT c_custkey, c_acctbal AS balance FROM customer)"
+)
+def fk_cycle(spark, sf_dir):
+    """Customers and accounts link to each other; the deferred link waits until both are built, and its extra column is a third entity's key."""
+    holder = {"source": "raw", "public_id": "holder_id", "keys": ["c_custkey"], "columns": ["c_name"]}
+    account = {"source": "raw", "public_id": "account_id", "keys": ["number"], "columns": ["number", "c_acctbal"]}
+    spec = {
+        "holder": {**holder, "foreign_keys": [{"entity": "account", "local_keys": ["c_custkey"], "remote_keys": ["number"], "extra_columns": {"balance": "c_acctbal"}, "defer_dependency": True}]},
+        "account": {**account, "foreign_keys": [{"entity": "holder", "local_keys": ["number"], "remote_keys": ["c_custkey"]}, {"entity": "ledger", "local_keys": ["number"], "remote_keys": ["entry"]}]},
+        "ledger": {"source": "raw", "public_id": "by_balance_id", "keys": ["entry"], "columns": ["entry"]},
+    }
+    raw = table(spark, sf_dir, "customer").withColumns({"number": F.col("c_custkey"), "entry": F.col("c_custkey")})
+    made = normalize(spark, Project.of({"entities": spec}), None, {"raw": raw}).tables
+    return made["holder"].select("c_custkey", "account_id", "balance").join(made["account"].select(F.col("number").alias("c_custkey"), "holder_id", "by_balance_id"), "c_custkey")
+
+
+@query(
+    "SELECT c_custkey, n_name, measure, amount FROM (SELECT c_custkey, n_name, CAST(c_acctbal AS DOUBLE) AS balance, CAST(c_nationkey AS DOUBLE) AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey"
+    " WHERE c_custkey % 2 = 0 AND n_name > 'E') UNPIVOT INCLUDE NULLS (amount FOR measure IN (balance, nation)) WHERE amount > 5"
+)
+def filter_stages(spark, sf_dir):
+    """Filters before linking, on what a link brought in, and on what unnesting made."""
+    nation = {"source": "raw_nation", "public_id": "nation_id", "keys": ["n_nationkey"], "columns": ["n_name"]}
+    customer = {
+        "source": "raw_customer", "keys": ["c_custkey"], "columns": ["c_custkey", "parity", "balance", "nation"],
+        "filters": [{"type": "query", "query": "parity == 0"}, {"type": "query", "query": "n_name > 'E'", "stage": "after_link"}, {"type": "query", "query": "amount > 5", "stage": "after_unnest"}],
+        "foreign_keys": [{"entity": "nation", "local_keys": ["nation"], "remote_keys": ["n_nationkey"], "extra_columns": {"n_name": "n_name"}}],
+        "unnest": {"id_vars": ["c_custkey", "n_name"], "value_vars": ["balance", "nation"], "var_name": "measure", "value_name": "amount"},
+    }
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 2).alias("parity"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
+    made = normalize(spark, Project.of({"entities": {"nation": nation, "customer": customer}}), ["customer"], {"raw_nation": table(spark, sf_dir, "nation"), "raw_customer": c})
+    return made.tables["customer"].select("c_custkey", "n_name", "measure", F.col("amount").cast("double").alias("amount"))
+
+
+@query(
+    "SELECT 'NON_UNIQUE_KEYS' AS code, 'talk' AS entity WHERE (SELECT count(*) > count(DISTINCT conv_id) FROM conversations) UNION ALL SELECT 'COLUMN_NOT_FOUND', 'talk' UNION ALL SELECT 'FK_LOCAL_COLUMN_MISSING', 'talk'"
+    " UNION ALL SELECT 'FK_TYPE_MISMATCH', 'label' UNION ALL SELECT 'FK_DATA_INTEGRITY', 'label' WHERE EXISTS (SELECT 1 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en'))"
+    " UNION ALL SELECT 'EMPTY_RESULT', 'none'"
+)
+def data_checks(spark, sf_dir):
+    """Codes of all data checks over a project with a fault of each kind."""
+    spec = {
+        "talk": {"source": "x", "keys": ["conv_id"], "columns": ["role", "mood"], "foreign_keys": [{"entity": "doc", "local_keys": ["nowhere"], "remote_keys": ["doc_id"]}]},
+        "label": {"source": "x", "keys": ["doc_id"], "foreign_keys": [{"entity": "doc", "local_keys": ["doc_id"], "remote_keys": ["doc_id"]}, {"entity": "doc", "local_keys": ["doc_id"], "remote_keys": ["lang"]}]},
+        "doc": {"source": "x", "keys": ["doc_id"], "columns": ["lang"]},
+        "none": {"source": "x", "columns": ["doc_id"]},
+    }
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    tables = {"talk": table(spark, sf_dir, "conversations").select("conv_id", "role"), "label": table(spark, sf_dir, "labels").select("doc_id"), "doc": docs.where("lang = 'en'"), "none": docs.where("false").select("doc_id")}
+    return spark.createDataFrame([(i.code, i.entity) for i in validate(Project.of({"entities": spec}), tables)], "code string, entity string")
+
+
 # duplicates, dependencies
 
 
@@ -394,6 +508,34 @@ QUERIES["blank_out_constant"] = _replaced("events", "event_id", "event_type", [{
 ORACLES["blank_out_constant"] = f"SELECT event_id, coalesce(v, 'none') AS r FROM ({_BLANK})"
 
 
+@query(
+    "SELECT o_orderkey, CASE lower(trim(o_orderpriority)) WHEN '1-urgent' THEN 'now' WHEN '5-low' THEN 'later' ELSE o_orderpriority END AS o_orderpriority,"
+    " CASE o_custkey % 4 WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE CAST(o_custkey % 4 AS VARCHAR) || '.0' END AS kind FROM orders"
+)
+def replace_map_shaped(spark, sf_dir):
+    """Maps whose keys are compared after normalising, and after coercing (the text 1.0 is the number 1)."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.concat((F.col("o_custkey") % 4).cast("string"), F.lit(".0")).alias("kind"))
+    return apply_replacements(df, {"o_orderpriority": [{"map": {" 1-Urgent": "now", "5-LOW": "later"}, "normalize": ["strip", "lower"]}], "kind": [{"map": {"1": "one", 2: "two"}, "coerce": "int"}]})
+
+
+@query(
+    "SELECT 'o_orderstatus' AS column, 0 AS rule, 'map' AS kind, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS replaced"
+    " UNION ALL SELECT 'o_orderpriority', 0, 'startswith', (SELECT count(*) FROM orders WHERE starts_with(o_orderpriority, '1'))"
+    " UNION ALL SELECT 'o_orderpriority', 1, 'equals', (SELECT count(*) FROM orders WHERE starts_with(o_orderpriority, '1') OR o_orderpriority = '5-LOW')"
+)
+def replaced_cells(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority")
+    rules = [{"match": "startswith", "from": "1", "to": "5-LOW"}, {"match": "equals", "from": "5-LOW", "to": None}]
+    return replaced_counts(df, {"o_orderstatus": {"F": "done"}, "o_orderpriority": rules})
+
+
+@query("SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY k DESC NULLS FIRST, event_id DESC) AS r FROM (SELECT event_id, CASE WHEN event_type <> 'click' THEN event_type END AS v, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id AS VARCHAR) END AS k FROM events)")
+def blank_out_backward_by_text(spark, sf_dir):
+    """Backward in the order of a text key, nulls last."""
+    df = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_id").cast("string")).alias("k"), "event_type")
+    return apply_replacements(df, {"event_type": [{"blank_out": ["click"], "fill": "backward"}]}, ("k", "event_id")).select("event_id", F.col("event_type").alias("r"))
+
+
 @query("SELECT p_brand AS value, count(*) AS count FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def top_unmatched(spark, sf_dir):
     """The report's top 5: the limit is the feature."""
@@ -435,6 +577,20 @@ def eav_export(spark, sf_dir):
     return eav.export_eav(spark, _submission(spark, sf_dir)).recordvalues.select("system_id", "column_name", "fk_system_id", "fk_public_id", "column_value")
 
 
+@query(
+    "SELECT s_suppkey AS system_id, CAST(NULL AS BIGINT) AS supplier_id, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 7 ELSE s_nationkey END AS nation_id, 'tbl_suppliers' AS table_name FROM supplier"
+    " UNION ALL SELECT DISTINCT n, n, NULL, n, 'tbl_nations' FROM (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 7 ELSE s_nationkey END AS n FROM supplier)"
+)
+def ingest_policies(spark, sf_dir):
+    """A missing primary key column, a default foreign key, a missing table that becomes its referenced keys, integer widths, system ids."""
+    s = _submission(spark, sf_dir)
+    nation = F.when(F.col("system_id") % 3 != 0, F.col("nation_id")).cast("string")
+    s.tables = {"tbl_suppliers": s.tables["tbl_suppliers"].drop("supplier_id").withColumn("nation_id", nation)}
+    s = eav.apply_policies(s, {"update_missing_foreign_key": {"tbl_suppliers": {"nation_id": 7}}})
+    own = s.tables["tbl_suppliers"].select("system_id", "supplier_id", "s_name", "nation_id", F.lit("tbl_suppliers").alias("table_name"))
+    return own.unionByName(s.tables["tbl_nations"].select("system_id", F.col("nation_id").alias("supplier_id"), F.lit(None).cast("string").alias("s_name"), "nation_id", F.lit("tbl_nations").alias("table_name")))
+
+
 @query("SELECT DISTINCT s_nationkey AS key FROM supplier WHERE s_nationkey IS NOT NULL")
 def referenced_keys(spark, sf_dir):
     return eav.referenced_keys(_submission(spark, sf_dir), "tbl_nations")
@@ -462,6 +618,17 @@ def geo_split(spark, sf_dir):
     return geo.geo_split(df, "pos").select("c_custkey", "pos_lat", "pos_lon")
 
 
+@query(
+    "SELECT c_custkey, round(CASE c_custkey % 3 WHEN 0 THEN radians(CAST(c_nationkey AS DOUBLE)) * 6378137.0 WHEN 1 THEN CAST(c_nationkey AS DOUBLE) END, 3) AS x,"
+    " round(CASE c_custkey % 3 WHEN 0 THEN ln(tan(radians(c_custkey % 80) / 2 + pi() / 4)) * 6378137.0 WHEN 1 THEN CAST(c_custkey % 80 AS DOUBLE) END, 3) AS y FROM customer"
+)
+def geo_convert_by_column(spark, sf_dir):
+    """Each row's own system, as a number or as text with a prefix; a row without one has no coordinates."""
+    code = F.when(F.col("c_custkey") % 3 == 0, "EPSG:4326").when(F.col("c_custkey") % 3 == 1, "3857")
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("x"), (F.col("c_custkey") % 80).cast("double").alias("y"), code.alias("crs"))
+    return geo.convert_crs(df, "x", "y", "crs", 3857, source_column=True).select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query(
     "SELECT c_custkey, round(radians(CAST(c_nationkey AS DOUBLE)) * 6378137.0, 3) AS x, round(ln(tan(radians(c_custkey % 80) / 2 + pi() / 4)) * 6378137.0, 3) AS y FROM customer"
 )
@@ -470,23 +637,30 @@ def geo_convert_crs(spark, sf_dir):
     return geo.convert_crs(df, "x", "y", 4326, 3857).select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS system_id, o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
 def preview_limit(spark, sf_dir):
     """A preview of 50 rows: the limit is the feature."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").limit(50)
+    project = Project.of({"entities": {"order": {"source": "raw", "keys": ["o_orderkey"], "columns": ["o_custkey", "o_totalprice"]}}})
+    return analysis.Previews(spark).preview(project, "order", 50, given={"raw": table(spark, sf_dir, "orders")}).select("system_id", "o_orderkey", "o_custkey", "o_totalprice")
 
 
-_ADHOC = "SELECT n_name, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
-
-
-@query(_ADHOC)
+@query(
+    "SELECT n_name, count(*) AS n_orders, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS n_filled FROM orders, customer, nation"
+    " WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 0"
+)
 def adhoc_sql(spark, sf_dir):
-    for name in ("orders", "customer", "nation"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    checked = analysis.check_query(spark, _ADHOC)
+    """A user's statement, checked first, over the tables of a project that were built and registered as views."""
+    sources = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "customer": ["c_custkey", "c_nationkey"], "nation": ["n_nationkey", "n_name"]}
+    project = Project.of({"entities": {f"my_{n}": {"source": n, "keys": c[:1], "columns": c[1:]} for n, c in sources.items()}})
+    normalize(spark, project, None, {n: table(spark, sf_dir, n) for n in sources}).views()
+    mine = (
+        "WITH located AS (SELECT c_custkey, n_name FROM my_customer JOIN my_nation ON c_nationkey = n_nationkey)"
+        " SELECT n_name, count(*) AS n_orders, count_if(o_orderstatus = 'F') AS n_filled FROM my_orders JOIN located ON o_custkey = c_custkey GROUP BY n_name"
+    )
+    checked = analysis.check_query(spark, mine)
     if not checked["is_valid"]:
         raise ValueError(checked["errors"])
-    return spark.sql(_ADHOC)
+    return spark.sql(mine)
 
 
 @query(
@@ -498,8 +672,10 @@ def event_windows(spark, sf_dir):
 
 @query("SELECT DISTINCT value FROM (SELECT c_mktsegment AS value FROM customer UNION ALL SELECT o_orderpriority FROM orders)")
 def union_distinct(spark, sf_dir):
-    parts = [table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("value")), table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("value"))]
-    return drop_duplicates(union(parts), True)
+    """append_mode: distinct of an entity."""
+    project = Project.of({"entities": {"value": {"source": "c", "keys": ["value"], "columns": ["value"], "append_mode": "distinct", "append": [{"source": "o", "columns": ["value"]}]}}})
+    given = {"c": table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("value")), "o": table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("value"))}
+    return normalize(spark, project, ["value"], given).tables["value"].select("value")
 
 
 # a whole project

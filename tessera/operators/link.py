@@ -84,8 +84,9 @@ def _remote_side(df: DataFrame, fk: ForeignKey, remote: Remote) -> tuple[DataFra
     return remote.df.select(*columns, *[c.alias(n) for n, c in out], F.lit(True).alias("__right")), [n for n, _ in out]
 
 
-def link(df: DataFrame, fk: ForeignKey, remote: Remote, mode: str = "strict") -> tuple[DataFrame, LinkReport | None]:
-    """df with the remote id (and extra columns). mode: off, warn, or strict (violations raise).
+def link(df: DataFrame, fk: ForeignKey, remote: Remote, mode: str = "strict", merge_indicator: str | None = None) -> tuple[DataFrame, LinkReport | None]:
+    """df with the remote id (and extra columns). mode: off, warn, or strict (violations raise). merge_indicator names a column that
+    tells where a row comes from: both, left_only or right_only.
 
     The join is declared only; Spark chooses broadcast, hash or sort-merge from sizes it knows. Counts
     are taken, in one aggregate for each side, only where constraints need them.
@@ -97,8 +98,8 @@ def link(df: DataFrame, fk: ForeignKey, remote: Remote, mode: str = "strict") ->
     if fk.how != "cross" and not fk.local_keys:
         raise LinkError(f"link to {remote.name}: no keys to link by; all pairs are made by `how: cross` only")
     if fk.how == "cross":
-        joined = df.crossJoin(theirs.drop("__right"))
-        return _finish(joined, df, fk, remote, added), None
+        joined = df.crossJoin(theirs).withColumn("__left", F.lit(True))
+        return _finish(joined, df, fk, remote, added, merge_indicator), None
     local = df.withColumn("__left", F.lit(True))
     nulls = null_matches(fk, remote)
     test = None
@@ -121,12 +122,12 @@ def link(df: DataFrame, fk: ForeignKey, remote: Remote, mode: str = "strict") ->
         for i, k in enumerate(fk.local_keys):
             if k == fk.remote_keys[i]:
                 joined = joined.withColumn(k, F.when(F.col("__left"), quoted(k)).otherwise(F.col(f"__key{i}")))
-    return _finish(joined, df, fk, remote, added), report
+    return _finish(joined, df, fk, remote, added, merge_indicator), report
 
 
-def _finish(joined: DataFrame, df: DataFrame, fk: ForeignKey, remote: Remote, added: list[str]) -> DataFrame:
+def _finish(joined: DataFrame, df: DataFrame, fk: ForeignKey, remote: Remote, added: list[str], merge_indicator: str | None) -> DataFrame:
     drop = {remote.id_column} if fk.drop_remote_id and fk.extra_columns and remote.id_column in added else set()
-    return joined.select(*[quoted(c) for c in [*df.columns, *added] if c not in drop])
+    return joined.select(*[quoted(c) for c in [*df.columns, *added] if c not in drop], *([indicator().alias(merge_indicator)] if merge_indicator else []))
 
 
 def indicator() -> Column:

@@ -56,6 +56,8 @@ class Workbook:
     """Reads an .xlsx file's sheets from its XML parts, a row at a time."""
 
     def __init__(self, path: str):
+        if not zipfile.is_zipfile(path.removeprefix("file://")):
+            raise SourceError(f"{path} is no workbook of zipped XML: only .xlsx files are read, an .xls file must be saved as one")
         self.zip = zipfile.ZipFile(path.removeprefix("file://"))
         book = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
         links = ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))

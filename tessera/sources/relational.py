@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -200,6 +200,48 @@ def sqlite_tables(filename: str, count: bool = False) -> dict[str, TableInfo]:
     return out
 
 
+def tables_of(tables: Sequence[dict], described: Callable[[str], tuple], counted: Callable[[str], int | None]) -> dict[str, TableInfo]:
+    """From rows as a database's metadata gives them: tables, and for each its columns, primary keys and foreign keys."""
+    out = {}
+    for name in sorted(t["TABLE_NAME"] for t in tables):
+        columns, keys, fks = described(name)
+        known = tuple(ColumnInfo(c["COLUMN_NAME"], c["TYPE_NAME"], c["NULLABLE"] != 0, c["COLUMN_NAME"] in keys) for c in columns)
+        out[name] = TableInfo(name, known, tuple(keys), tuple(fks), counted(name))
+    return out
+
+
+def jdbc_tables(spark: SparkSession, driver: str, options: dict, schema: str | None = None, count: bool = False) -> dict[str, TableInfo]:
+    """Tables and views of a database, their columns, keys and (if asked for) row counts, by its JDBC driver's own metadata."""
+    said = jdbc_options(driver, options)
+    login = spark._jvm.java.util.Properties()
+    for k in ("user", "password"):
+        if k in said:
+            login.setProperty(k, said[k])
+    if "driver" in said:
+        spark._jvm.java.lang.Class.forName(said["driver"], True, spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    connection = spark._jvm.java.sql.DriverManager.getConnection(said["url"], login)
+    try:
+        meta = connection.getMetaData()
+
+        def rows(found, *columns: str) -> list[dict]:
+            out = []
+            while found.next():
+                out.append({c: found.getString(c) for c in columns})
+            found.close()
+            return out
+
+        def described(table: str) -> tuple:
+            columns = [{**c, "NULLABLE": int(c["NULLABLE"])} for c in rows(meta.getColumns(None, schema, table, None), "COLUMN_NAME", "TYPE_NAME", "NULLABLE")]
+            keys = sorted(rows(meta.getPrimaryKeys(None, schema, table), "COLUMN_NAME", "KEY_SEQ"), key=lambda r: int(r["KEY_SEQ"]))
+            fks = rows(meta.getImportedKeys(None, schema, table), "FKCOLUMN_NAME", "PKTABLE_NAME", "PKCOLUMN_NAME")
+            return columns, [k["COLUMN_NAME"] for k in keys], [(f["FKCOLUMN_NAME"], f["PKTABLE_NAME"], f["PKCOLUMN_NAME"]) for f in fks]
+
+        found = [t for t in rows(meta.getTables(None, schema, None, None), "TABLE_NAME", "TABLE_TYPE") if t["TABLE_TYPE"] in ("TABLE", "BASE TABLE", "VIEW")]
+        return tables_of(found, described, lambda t: read_table(spark, driver, options, f'"{schema}"."{t}"' if schema else f'"{t}"').count() if count else None)
+    finally:
+        connection.close()
+
+
 def catalog_tables(spark: SparkSession, names: Sequence[str] | None = None, count: bool = False) -> dict[str, TableInfo]:
     """Tables and views that Spark knows."""
     out = {}

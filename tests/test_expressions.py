@@ -1,5 +1,7 @@
 """Formulas, interpolation, predicates, replacements, names."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,67 @@ def test_patterns():
     assert patterns.java_replacement(r"\1-\g<2>$") == r"$1-$2\$"
 
 
+_AXIS, _E = 6378137.0, (1 / 298.257223563 * (2 - 1 / 298.257223563)) ** 0.5
+
+
+def arc(phi):
+    """Length of the meridian from the equator, by numerical integration; also for complex latitudes."""
+    import numpy as np
+
+    x, w = np.polynomial.legendre.leggauss(60)
+    return _AXIS * (1 - _E**2) * phi / 2 * np.sum(w / (1 - (_E * np.sin(phi * (x + 1) / 2)) ** 2) ** 1.5)
+
+
+def transverse_mercator(lon, lat, meridian):
+    """(easting, northing) without any series: the meridian's arc length continued to complex latitudes."""
+    import numpy as np
+
+    isometric = lambda phi: np.arctanh(np.sin(phi)) - _E * np.arctanh(_E * np.sin(phi))
+    wanted = isometric(np.radians(lat)) + 1j * np.radians(lon - meridian)
+    phi = complex(np.radians(lat))
+    for _ in range(30):  # Newton
+        phi -= (isometric(phi) - wanted) * (1 - (_E * np.sin(phi)) ** 2) * np.cos(phi) / (1 - _E**2)
+    return 500_000 + 0.9996 * arc(phi).imag, 0.9996 * arc(phi).real
+
+
+def test_utm_to_a_millimetre(spark):
+    """Published: the meridian's quarter is 10,001,965.729 m long, and its arc up to 45 degrees 4,984,944.378 m."""
+    assert abs(arc(math.pi / 2) - 10_001_965.729) < 0.001
+    assert abs(arc(math.pi / 4) - 4_984_944.378) < 0.001
+    places = [(12.5, 0.1), (15.0, 45.0), (17.9, 83.0), (16.25, 59.3), (13.0, 30.0)]
+    there = geo.convert_crs(spark.createDataFrame(places, "x double, y double"), "x", "y", 4326, 25833, suffix="_m").collect()
+    for r in there:
+        east, north = transverse_mercator(r.x, r.y, 15)
+        assert abs(r.x_m - east) < 0.001
+        assert abs(r.y_m - north) < 0.001
+
+
+def test_every_code_of_a_column_is_converted(spark):
+    """All UTM zones of both halves and the two others in one column, more distinct spellings than any list would hold."""
+    codes = [c for base in (32600, 32700) for c in range(base + 1, base + 61)]
+    rows = [(k, f"{'EPSG:' if k % 2 else ''}{' ' * (k % 40)}{codes[k % len(codes)]}".strip() + " " * (k // 120), 500_000.0, 5_000_000.0) for k in range(2400)]
+    df = spark.createDataFrame([(*r[:1], r[1].replace("EPSG: ", "EPSG:").replace(" ", "") + " " * (r[0] // 120), *r[2:]) for r in rows] + [(-1, None, 1.0, 2.0), (-2, "4326", 15.0, 50.0)], "k int, crs string, x double, y double")
+    assert df.select("crs").distinct().count() > 1000
+    got = {r.k: r for r in geo.convert_crs(df, "x", "y", "crs", 4326, source_column=True).collect()}
+    assert (got[-1].x, got[-1].y, got[-2].x, got[-2].y) == (None, None, 15.0, 50.0)
+    for k in range(2400):
+        code = codes[k % len(codes)]
+        assert abs(got[k].x - (6 * (code % 100) - 183)) < 1e-9
+        assert (got[k].y > 0) == (code < 32700)
+    with pytest.raises(Exception, match="no closed form for EPSG:3006"):
+        geo.convert_crs(spark.createDataFrame([("EPSG:3006", 1.0, 2.0)], "crs string, x double, y double"), "x", "y", "crs", 4326, source_column=True).collect()
+
+
+def test_fills_go_by_any_key_nulls_last(spark):
+    rows = [(None, "z"), ("b", None), ("a", None), ("c", "x"), (None, None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v string").repartition(3)
+    forward = replace.apply_replacements(df, {"v": [{"blank_out": ["none"], "fill": "forward"}]}, ("k",))
+    assert {r.v for r in forward.where("k in ('a', 'b')").collect()} == {None}
+    assert {r.v for r in forward.where("k in ('c', 'd')").collect()} == {"x"}
+    backward = replace.apply_replacements(df, {"v": [{"blank_out": ["none"], "fill": "backward"}]}, ("k",))
+    assert {r.k: r.v for r in backward.where("k is not null").collect()} == {"a": "x", "b": "x", "c": "x", "d": "z"}
+
+
 def test_geo(spark):
     df = spark.createDataFrame([("59.3, 18.1",), (None,)], "p string")
     out = geo.geo_split(df, "p").collect()
@@ -189,8 +252,9 @@ def test_geo(spark):
         geo.geo_split(spark.createDataFrame([("59",)], "p string"), "p").collect()
     xy = spark.createDataFrame([(18.06324, 59.334591)], "x double, y double")
     there = geo.convert_crs(xy, "x", "y", "EPSG:4326", 32633).first()
-    assert abs(there.x - 674196) < 60
-    assert abs(there.y - 6580950) < 600
+    east, north = transverse_mercator(18.06324, 59.334591, 15)
+    assert abs(there.x - east) < 0.001
+    assert abs(there.y - north) < 0.001
     back = geo.convert_crs(geo.convert_crs(xy, "x", "y", 4326, 32634), "x", "y", 32634, 4326).first()
     assert (round(back.x, 7), round(back.y, 7)) == (18.06324, 59.334591)
     mercator = geo.convert_crs(xy, "x", "y", 4326, 3857).first()

@@ -312,7 +312,7 @@ def test_reconciliation(spark):
     asked = reconcile.queries(df, "taxon", {"type": "kind", "gone": "gone"})
     assert {r.query: r.properties for r in asked.collect()} == {"Betula pendula": {"type": "tree"}, "betula pendulla": {"type": ""}, "Quercus": {"type": "tree"}}
     targets = spark.createDataFrame([("http://t/11", "Betula pendula"), ("http://t/12/", "Betula nana"), ("http://t/x", "Salix")], "uri string, name string")
-    found = reconcile.classify(asked, reconcile.local_scores(asked, targets, "uri", "name"))
+    found = reconcile.classify(asked, reconcile.local_scores(asked, targets, "uri", "name"))  # by the default threshold
     got = {r.source_value: (r.target_id, r.status) for r in found.collect()}
     assert got == {"Betula pendula": (11, "accepted"), "betula pendulla": (11, "review"), "Quercus": (None, "unmatched")}
     mapping = found.withColumn("notes", found.status).select(*reconcile.MAPPING)
