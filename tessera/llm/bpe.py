@@ -12,7 +12,8 @@ Words come from the file's own normaliser and splitting pattern: for Latin text
 other by the library. A bounded dictionary of words spares most of the work.
 
 Null text is empty: no ids, empty decoded text. Special tokens in a text are recognised as the
-library does. Rows that share an id are encoded one by one.
+library does. Rows that share an id are encoded one by one; texts of any length are encoded as a whole. An empty table
+gives an empty table. Extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations

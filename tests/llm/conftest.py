@@ -2,12 +2,14 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, shard int, row string"
+#: extra columns whose names operators use inside
+INSIDE = ["key", "shard", "row", "id", "digest", "spans", "kept_id", "null", "_id", "__i", "__n", "__d", "__row", "__id", "__text", "__spans", "_row", "_c", "size", "kind", "start", "length"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in INSIDE)
 
 
 def made(spark, rows):
-    """Documents with extra columns whose names operators use inside."""
-    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "k", 1, "r") for i, t in rows], SCHEMA)
+    """Documents with extra columns, each of them holding a text of its row."""
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), *[f"{n} of {i}" for n in INSIDE]) for i, t in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

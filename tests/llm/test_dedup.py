@@ -11,7 +11,7 @@ import pytest
 
 from tessera.llm import components, exact_dedup, line_dedup, near_dedup, shingles, suffix_dedup
 
-from .conftest import made
+from .conftest import INSIDE, made
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 low = lambda i: -(2**63) if i is None else i
@@ -26,10 +26,15 @@ def test_exact_groups(docs, corpus, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def assert_extra_columns_untouched(rows):
+    assert all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in INSIDE)
+
+
 def test_exact_keeps_one_row_of_each_text(docs, corpus, empty):
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns
     rows = kept.collect()
+    assert_extra_columns_untouched(rows)
     assert Counter(r.text or "" for r in rows) == Counter(dict.fromkeys({t or "" for _, t in corpus}, 1))
     assert exact_dedup.drop_exact_duplicates(empty).columns == empty.columns
 
@@ -166,6 +171,7 @@ def test_centred_filter_leaves_out_no_link(spark):
 def test_drop_near(docs):
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
+    assert_extra_columns_untouched(kept.collect())
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in near_dedup.near_duplicates(docs).where("kept").collect()}
 
 
@@ -266,6 +272,7 @@ def test_documents_without_repeats(spark):
     text = "é" * 80 + "".join(chr(200 + k) for k in range(100))
     rows = [(1, text), (2, "x" + text + "y"), (3, None), (4, "short")]
     out = {r.doc_id: r for r in suffix_dedup.documents_without_repeats(made(spark, rows)).collect()}
+    assert_extra_columns_untouched(out.values())
     # bytes C3 A9 repeat from the third byte on, up to the C3 that the next letter begins with: that letter goes as a whole
     assert out[1].text == "é" + text[81:]
     assert out[1].n_chars == len(out[1].text)

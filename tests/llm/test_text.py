@@ -9,7 +9,7 @@ import pytest
 from tessera.llm import quality, quotes, url_filters
 from tessera.llm.queries import URL_RULES
 
-from .conftest import made
+from .conftest import INSIDE, made
 
 
 def brute_statistics(text):
@@ -43,6 +43,14 @@ def test_learned_rules_hold_out(spark):
     rows = quality.keep_good(docs, labels)
     assert rows.columns == docs.columns
     assert {r.doc_id for r in rows.collect()} == kept
+    assert all(r[n] == f"{n} of {r.doc_id}" for r in rows.collect() for n in INSIDE)
+
+
+def test_repeated_ids_count_once_in_the_sample(spark):
+    """The sample's bound holds for rows, whichever ids repeat."""
+    docs = made(spark, [(1, f"{k} " + "word " * 60) for k in range(50)] + [(2, f"w{k} " * 60) for k in range(3)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, quality int")
+    assert len(quality.labelled_sample(docs, labels, "doc_id", "text", 20_000)) <= 2
 
 
 def test_without_labels_only_base_rules_reject(docs, corpus, spark):
