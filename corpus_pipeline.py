@@ -4,6 +4,10 @@ Each stage is written as Parquet and read again as the next one's documents, so
 costs a reread. All but the last return the columns of `documents`. Whether a stage can be written in SQL
 is told by its operator; MinHash, learned rules and suffixes cannot, so that there is no SQL for the
 whole (ORACLE_SQL is None) and the tests hold it against a brute-force version.
+
+Defined results: a document with a null, empty or blank text fails the base rules of the first stage; labels may be missing or of one
+kind only, then the base rules alone decide there; rows that share an id are judged one by one, stay or go together in near dedup,
+and are ordered by a hash of their texts when repeats are removed; texts of any length go through whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
