@@ -191,16 +191,14 @@ class Pipeline:
         if entity.drop_empty_rows:
             whole = [c for c in df.columns if c != POSITION]
             df = drop_empty_rows(df, whole if entity.drop_empty_rows is True else entity.drop_empty_rows)
+        given = entity.system_id in df.columns
         df = add_system_id(df, self.order(entity, df) or [c for c in df.columns if c != entity.system_id], entity.system_id).drop(POSITION)
-        df = self.settled(add_public_id(df, entity.public_id))
+        df = add_public_id(df, entity.public_id)
+        df = fixed(df) if given else df  # numbering has written its rows already; ids must not change once others link to them
         self.waiting[entity.name] = fks
         self.result.unresolved[entity.name] = late
         return df
 
-    def settled(self, df: DataFrame) -> DataFrame:
-        """Ids must not change once others link to them."""
-        return fixed(df)
-
     def reorder(self, entity: Entity, df: DataFrame) -> DataFrame:
         fk_ids = [r.id_column for fk in entity.foreign_keys if (r := self.remote(fk))]
         return df.select(*[quoted(c) for c in canonical_order(df.columns, entity.system_id, entity.public_id, fk_ids, list(entity.extra_columns))])
