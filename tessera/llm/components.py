@@ -22,18 +22,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is the centre of a star or a leaf of one; the centre, the lesser end of its edges, is then the root."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(0).alias("below")).union(edges.select("b", F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("below").alias("below"), F.count(F.lit(1)).alias("edges")).where("below > 0 and edges > 1").isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node with an edge; root is the least id of its component. edges: a, b (long).
 
     Rounds grow with the logarithm of the longest chain; `most_rounds` is far beyond that, and reaching it is an error."""
     edges = materialize(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    mark = None
     for _ in range(most_rounds):
-        edges = materialize(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if tuple(now) == mark:
+        if _settled(edges):
             break
-        mark = tuple(now)
+        edges = materialize(_star(_star(edges, True), False), "edges")
     else:
         raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
