@@ -240,6 +240,20 @@ def filters(project: Project, e: Entity) -> list[str]:
     return out
 
 
+@register
+def sql_columns(project: Project, e: Entity) -> list[str]:
+    """What a query's named columns must fulfil, as far as that shows without running it."""
+    if e.type not in ("sql", "sqlite", "postgres", "postgresql", "access", "ucanaccess", "jdbc"):
+        return []
+    columns = e.raw.get("columns") or []
+    out = ["columns repeat a name"] if isinstance(columns, list) and len(columns) != len(set(columns)) else []
+    if e.raw.get("auto_detect_columns", True) is False:
+        lacking = [k for k in e.keys if k not in e.columns]
+        out += ["no columns are named, and none are detected"] if not e.columns else []
+        out += [f"keys {', '.join(lacking)} are not among the named columns"] if lacking else []
+    return out
+
+
 @register
 def materialized(project: Project, e: Entity) -> list[str]:
     state = e.raw.get("source_state")
