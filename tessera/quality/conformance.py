@@ -6,6 +6,8 @@ import html
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ..config.project import Project
 from .validators import Issue
 
@@ -175,3 +177,17 @@ def documentation(model: TargetModel, form: str = "markdown") -> str:
         if t.foreign_keys:
             out += ["", "Links: " + ", ".join(f"{k.entity}{' via ' + k.via if k.via else ''}{' (required)' if k.required else ''}" for k in t.foreign_keys)]
     return "\n".join(out) + "\n"
+
+
+def documentation_tables(spark: SparkSession, model: TargetModel) -> dict[str, DataFrame]:
+    """The model as tables `entities`, `columns` and `links`: written by any sink, as a workbook one sheet each."""
+    entities, columns, links = [], [], []
+    for n, t in sorted(model.entities.items()):
+        entities.append((n, t.role, t.public_id, bool(t.required), ", ".join(t.domains), ", ".join(t.identity_columns), t.description))
+        columns += [(n, c, s.get("type"), bool(s.get("required")), s.get("description")) for c, s in t.columns.items()]
+        links += [(n, k.entity, k.via, bool(k.required)) for k in t.foreign_keys]
+    return {
+        "entities": spark.createDataFrame(entities, "entity string, role string, public_id string, required boolean, domains string, identity string, description string"),
+        "columns": spark.createDataFrame(columns, "entity string, column string, type string, required boolean, description string"),
+        "links": spark.createDataFrame(links, "entity string, other string, via string, required boolean"),
+    }

@@ -141,6 +141,14 @@ def test_conformance():
     assert conformance.compare_models(model, model, Project.of(SAMPLES))["only_first"] == []
 
 
+def test_model_documentation_as_a_workbook(spark, tmp_path):
+    model = conformance.TargetModel.of(MODEL)
+    writers.write("xlsx", str(tmp_path / "model.xlsx"), conformance.documentation_tables(spark, model))
+    book = files.Workbook(str(tmp_path / "model.xlsx"))
+    assert {s: len(book.table(s)[1]) for s in book.sheets} == {"columns": 2, "entities": 8, "links": 4}
+    assert ["site", "place", "site_place", True] in book.table("links")[1]
+
+
 def test_directives(tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "part.yml").write_text("a: [x, y]\nmore: '@include: deeper.yml'\n")
