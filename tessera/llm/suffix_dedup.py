@@ -144,8 +144,9 @@ def repeated_anchors(rows: DataFrame, length: int, shards: int) -> DataFrame:
                     part["gram"][real] = (part["gram"][real] & ~np.uint64(0xFFFF)) | new.astype(np.uint64)
                     rows_of.append(table[used].tobytes())
                     blobs.append(part.tobytes())
+                rider = zlib.crc32(table[:1].tobytes()) % max(1, len(blobs))  # places known already ride along with one shard, another one for each slice
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int32()), pa.array(rows_of, pa.binary()), pa.array(blobs, pa.binary()), pa.array([known.tobytes() if i == 0 else b"" for i in range(len(blobs))], pa.binary())],
+                    [pa.array(names, pa.int32()), pa.array(rows_of, pa.binary()), pa.array(blobs, pa.binary()), pa.array([known.tobytes() if i == rider else b"" for i in range(len(blobs))], pa.binary())],
                     ["shard", "table", "entries", "known"],
                 )
 
@@ -401,7 +402,8 @@ def suffix_runs(cut: DataFrame, dealing: Dealing, length: int) -> DataFrame:
                 by_range.setdefault(name, []).append(x if (f, e) == (first, last) else (suffix[: length - e], left[first - f :], f, e, row, at))
         items.clear()
         names = list(by_range)
-        known = [np.array(spans, "<i8").tobytes() if i == 0 else b"" for i in range(len(names))]
+        rider = zlib.crc32(rows[:1].tobytes()) % max(1, len(names))  # the spans ride along with one range, another one for each run
+        known = [np.array(spans, "<i8").tobytes() if i == rider else b"" for i in range(len(names))]
         for start in range(0, len(names), 64):
             some = names[start : start + 64]
             packed = [_pack(sorted(by_range.pop(r)), rows) for r in some]
