@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, near_dedup, packing, quality, quotes, suffix_dedup, token_files, url_filters
+from . import bpe, exact_dedup, language, line_dedup, near_dedup, packing, periodic_runs, quality, quotes, spelling, suffix_dedup, token_files, url_filters
 
 
 def tokenizer(name: str) -> str:
@@ -63,7 +63,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100, digests_only=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_line_dedup, op3_url_filters, op4_best_fit_packing, op5_bpe_prefix_dp, op6_quality_rules, op7_bit_plane_files, op8_minhash_near_dedup, op9_exact_dedup, op10_suffix_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(_table(spark, sf_dir, "documents"))
+    return periodic_runs.find_runs(docs, least_words=6, least_periods=4, digests_only=True).drop("n_words")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.with_damaged_words(spelling.lower_runs(_table(spark, sf_dir, "documents")))
+    return spelling.group_variants(spelling.vocabulary(runs, min_length=5, min_count=3), ratio=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_line_dedup, op3_url_filters, op4_best_fit_packing, op5_bpe_prefix_dp, op6_quality_rules, op7_bit_plane_files, op8_minhash_near_dedup, op9_exact_dedup, op10_suffix_dedup, op11_periodic_runs, op12_language_id, op13_spelling_variants)}
 
 ORACLES = {
     "op2_line_dedup": r"""
