@@ -285,7 +285,7 @@ def test_variants(spark, corpus):
     got = spelling.group_variants(vocabulary).select(*VARIANTS).collect()
     want = brute_variants(words)
     assert Counter(map(tuple, got)) == want
-    assert sum(r[1] is not None for r in want) > 50
+    assert sum(r[1] is not None for r in want) > 10
     assert len(want) > 200
 
 
