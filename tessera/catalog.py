@@ -637,6 +637,49 @@ def geo_convert_crs(spark, sf_dir):
     return geo.convert_crs(df, "x", "y", 4326, 3857).select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+#: conic and transverse Mercator formulas over GRS 80, from the isometric latitude psi
+_GRS80 = "WITH g AS (SELECT 6378137.0 AS a, 1 / 298.257222101 AS f), k AS (SELECT a, sqrt(f * (2 - f)) AS e, f / (2 - f) AS n FROM g)"
+
+
+@query(
+    _GRS80 + ", m AS (SELECT *, cos(radians(49)) / sqrt(1 - (e * sin(radians(49))) ** 2) AS m1, cos(radians(44)) / sqrt(1 - (e * sin(radians(44))) ** 2) AS m2,"
+    " atanh(sin(radians(49))) - e * atanh(e * sin(radians(49))) AS p1, atanh(sin(radians(44))) - e * atanh(e * sin(radians(44))) AS p2,"
+    " atanh(sin(radians(46.5))) - e * atanh(e * sin(radians(46.5))) AS p0 FROM k),"
+    " c AS (SELECT e, ln(m1 / m2) / (p2 - p1) AS w, a * m1 * exp(ln(m1 / m2) / (p2 - p1) * p1) / (ln(m1 / m2) / (p2 - p1)) AS s, p0 FROM m),"
+    " q AS (SELECT c_custkey, radians(-4 + c_custkey % 120 / 10.0) AS lon, radians(42 + c_nationkey * 0.35) AS lat FROM customer),"
+    " r AS (SELECT c_custkey, w * (lon - radians(3)) AS d, s * exp(-w * (atanh(sin(lat)) - e * atanh(e * sin(lat)))) AS rho, s * exp(-w * p0) AS rho0 FROM q, c)"
+    " SELECT c_custkey, round(700000 + rho * sin(d), 2) AS x, round(6600000 + rho0 - rho * cos(d), 2) AS y FROM r"
+)
+def geo_convert_table(spark, sf_dir):
+    """A whole table from longitude and latitude to a conic with two parallels."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", (-4 + F.col("c_custkey") % 120 / 10.0).alias("x"), (42 + F.col("c_nationkey") * 0.35).alias("y"))
+    return geo.convert_crs(df, "x", "y", 4258, 2154).select("c_custkey", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+@query(
+    _GRS80 + ", z(code, lat0, lon0, scale, x0, y0) AS (VALUES (0, 0, 15, 0.9996, 500000, 0), (1, 0, 18, 1.0, 150000, 0), (2, 53.5, -8, 0.99982, 600000, 750000), (3, 0, 173, 0.9996, 1600000, 10000000)),"
+    " b AS (SELECT z.*, k.*, scale * a / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS size, asin(tanh(atanh(sin(radians(lat0))) - e * atanh(e * sin(radians(lat0))))) AS w FROM z, k),"
+    " o AS (SELECT *, y0 - size * (w + (n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180) * sin(2 * w) + (13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440) * sin(4 * w)"
+    " + (61 * n ** 3 / 240 - 103 * n ** 4 / 140) * sin(6 * w) + 49561 * n ** 4 / 161280 * sin(8 * w)) AS y1 FROM b),"
+    " p AS (SELECT c_custkey, o.*, ((c_nationkey * 9000.0 + 50000) - x0) / size AS u, ((c_custkey % 500) * 900.0 + CASE c_custkey % 4 WHEN 3 THEN 5200000 WHEN 2 THEN 600000 ELSE 6200000 END - y1) / size AS v"
+    " FROM customer JOIN o ON code = c_custkey % 4),"
+    " h AS (SELECT *, n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 - n ** 4 / 360 AS b1, n ** 2 / 48 + n ** 3 / 15 - 437 * n ** 4 / 1440 AS b2, 17 * n ** 3 / 480 - 37 * n ** 4 / 840 AS b3, 4397 * n ** 4 / 161280 AS b4 FROM p),"
+    " s AS (SELECT *, v - b1 * sin(2 * v) * cosh(2 * u) - b2 * sin(4 * v) * cosh(4 * u) - b3 * sin(6 * v) * cosh(6 * u) - b4 * sin(8 * v) * cosh(8 * u) AS xi,"
+    " u - b1 * cos(2 * v) * sinh(2 * u) - b2 * cos(4 * v) * sinh(4 * u) - b3 * cos(6 * v) * sinh(6 * u) - b4 * cos(8 * v) * sinh(8 * u) AS eta FROM h),"
+    " t AS (SELECT *, asin(sin(xi) / cosh(eta)) AS chi FROM s)"
+    " SELECT c_custkey, round(lon0 + degrees(atan2(sinh(eta), cos(xi))), 7) AS lon, round(degrees(chi + (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3 + 116 * n ** 4 / 45) * sin(2 * chi)"
+    " + (7 * n ** 2 / 3 - 8 * n ** 3 / 5 - 227 * n ** 4 / 45) * sin(4 * chi) + (56 * n ** 3 / 15 - 136 * n ** 4 / 35) * sin(6 * chi) + 4279 * n ** 4 / 630 * sin(8 * chi)), 7) AS lat FROM t"
+)
+def geo_convert_projected(spark, sf_dir):
+    """Rows in four national systems, each named in its row, to longitude and latitude."""
+    which = F.col("c_custkey") % 4
+    code = F.when(which == 0, "EPSG:3006").when(which == 1, "3011").when(which == 2, "epsg:2157").otherwise("2193")
+    north = (F.col("c_custkey") % 500) * 900.0 + F.when(which == 3, 5200000).when(which == 2, 600000).otherwise(6200000)
+    df = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") * 9000.0 + 50000).alias("x"), north.alias("y"), code.alias("crs"))
+    out = geo.convert_crs(df, "x", "y", "crs", 4258, source_column=True, names=("lon", "lat"))
+    return out.select("c_custkey", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) AS system_id, o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
 def preview_limit(spark, sf_dir):
     """A preview of 50 rows: the limit is the feature."""

@@ -1,4 +1,4 @@
-"""Coordinates: splitting "lat,lon" and converting between reference systems by closed forms."""
+"""Coordinates: splitting "lat,lon" and converting between reference systems."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from math import atan, log, pi, radians, sinh, tan
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.shared import quoted
+from . import crs
 
-WGS84, WEB_MERCATOR = 4326, 3857
+WGS84 = 4326
 _RADIUS = 6378137.0
-# fixed values: the GRS80 / WGS84 ellipsoid and the transverse Mercator scale of UTM
-_A, _F, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
 
 
 def geo_split(df: DataFrame, column: str, sep: str = ",", lat: str = "_lat", lon: str = "_lon") -> DataFrame:
@@ -22,101 +22,84 @@ def geo_split(df: DataFrame, column: str, sep: str = ",", lat: str = "_lat", lon
     return df.withColumns({column + lat: F.trim(F.get(checked, 0)).cast("double"), column + lon: F.trim(F.get(checked, 1)).cast("double")})
 
 
-def _series() -> tuple[float, list[float], list[float]]:
-    """Coefficients of the transverse Mercator series in the third flattening, forwards and back."""
-    n = _F / (2 - _F)
-    a = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    forward = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
-    back = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
-    return a, forward, back
-
-
-# fixed values: codes of UTM zones are one of these and the zone's number; with false northings
-_ZONES = ((32600, 0.0), (32700, 10_000_000.0), (25800, 0.0))
-
-
-def _utm(epsg: int) -> tuple[float, float] | None:
-    """(central meridian in radians, false northing) of a UTM zone's code."""
-    for base, north in _ZONES:
-        if base < epsg <= base + 60:
-            return radians(6 * (epsg - base) - 183), north
-    return None
-
-
-def _utm_of(code: Column) -> tuple[Column, Column]:
-    """The same of a column of codes, null for other codes."""
-    meridian, north = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for base, y in _ZONES:
-        own = (code > base) & (code <= base + 60)
-        meridian, north = F.when(own, F.radians(6 * (code - base) - 183)).otherwise(meridian), F.when(own, F.lit(y)).otherwise(north)
-    return meridian, north
-
-
-def to_lonlat(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
-    if epsg == WGS84:
-        return x, y
-    if epsg == WEB_MERCATOR:
-        return F.degrees(x / _RADIUS), F.degrees(F.atan(F.sinh(y / _RADIUS)))
-    zone = _utm(epsg)
-    if zone is None:
-        raise ValueError(f"no closed form for EPSG:{epsg}")
-    return _from_zone(x, y, zone)
-
-
-def _from_zone(x: Column, y: Column, zone: tuple) -> tuple[Column, Column]:
-    a, _, back = _series()
-    xi, eta = (y - zone[1]) / (_K0 * a), (x - 500_000) / (_K0 * a)
-    xi1 = xi - sum((b * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, b in enumerate(back)), F.lit(0.0))
-    eta1 = eta - sum((b * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, b in enumerate(back)), F.lit(0.0))
-    n = _F / (2 - _F)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    d = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
-    phi = chi + sum((c * F.sin(2 * (j + 1) * chi) for j, c in enumerate(d)), F.lit(0.0))
-    return F.degrees(zone[0] + F.atan2(F.sinh(eta1), F.cos(xi1))), F.degrees(phi)
-
-
-def from_lonlat(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
-    if epsg == WGS84:
-        return lon, lat
-    if epsg == WEB_MERCATOR:
-        return F.radians(lon) * _RADIUS, F.log(F.tan(F.radians(lat) / 2 + pi / 4)) * _RADIUS
-    zone = _utm(epsg)
-    if zone is None:
-        raise ValueError(f"no closed form for EPSG:{epsg}")
-    a, forward, _ = _series()
-    n = _F / (2 - _F)
-    e = 2 * n**0.5 / (1 + n)
-    phi = F.radians(lat)
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    delta = F.radians(lon) - zone[0]
-    xi, eta = F.atan2(t, F.cos(delta)), F.atanh(F.sin(delta) / F.sqrt(1 + t * t))
-    easting = eta + sum((c * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, c in enumerate(forward)), F.lit(0.0))
-    northing = xi + sum((c * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, c in enumerate(forward)), F.lit(0.0))
-    return 500_000 + _K0 * a * easting, zone[1] + _K0 * a * northing
-
-
-def _code(crs: int | str) -> int:
-    return int(str(crs).upper().removeprefix("EPSG:"))
-
-
-def convert_crs(df: DataFrame, x: str, y: str, source: int | str, target: int | str, source_column: bool = False, suffix: str = "") -> DataFrame:
-    """x, y in another system. source_column: `source` names a column of codes, numbers or texts like EPSG:4326.
-
-    A null code gives null coordinates; a code without a closed form fails the query."""
-    goal, a, b = _code(target), quoted(x).cast("double"), quoted(y).cast("double")
+def _prefix(df: DataFrame) -> str:
+    """What no column's name begins with."""
+    prefix = "__crs_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def _staged(df: DataFrame, steps: list[dict[str, Column]]) -> DataFrame:
+    for step in steps:
+        df = df.withColumns(step)
+    return df
+
+
+def _by_kind(kind: Column, made: dict[str, list[dict[str, Column]]]) -> list[dict[str, Column]]:
+    """Steps of several projections beside each other, each for its own rows."""
+    out: list[dict[str, Column]] = [{} for _ in range(max(map(len, made.values())))]
+    for name, steps in made.items():
+        for at, step in enumerate(steps):
+            out[at] |= {column: F.when(kind == name, value) for column, value in step.items()}
+    return out
+
+
+def _moves(source: crs.System, target: crs.System) -> bool:
+    """Whether datums differ by a known shift."""
+    return source.datum != target.datum and (source.shifted or target.shifted)
+
+
+def convert_crs(
+    df: DataFrame, x: str, y: str, source: int | str, target: int | str, source_column: bool = False, suffix: str = "", names: tuple[str, str] | None = None, known: dict[str, str] | None = None
+) -> DataFrame:
+    """x, y (easting or longitude first) in another system, as columns x + suffix and y + suffix, or `names`.
+
+    Systems are EPSG codes (3006, "EPSG:3006") or definitions ("+proj=tmerc +lon_0=15 ..."). source_column: `source` names a column of
+    codes, or of labels that `known` maps to codes or definitions; each row then goes by its own. A null label gives null coordinates; a
+    system without a closed form fails the query. Datums are shifted where a definition says how (towgs84). Coordinates of rows that
+    are in the target system already stay as they are."""
+    goal, out, t = crs.system(target), names or (x + suffix, y + suffix), _prefix(df)
+    a, b = quoted(x).cast("double"), quoted(y).cast("double")
+    c = dict(goal.constants)
+    place = lambda p: (F.col(t + p + "lon"), F.col(t + p + "lat"))
     if not source_column:
-        made = (a, b) if _code(source) == goal else from_lonlat(*to_lonlat(a, b, _code(source)), goal)
-        return df.withColumns(dict(zip((x + suffix, y + suffix), made, strict=True)))
-    text = F.upper(F.trim(quoted(str(source)).cast("string")))
-    code = F.regexp_replace(text, "^EPSG:", "").try_cast("int")
-    zone = _utm_of(code)
-    refused = F.when(text.isNull(), F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("no closed form for "), text))).cast("double")
-    in_degrees = [
-        F.when(code == WGS84, p).when(code == WEB_MERCATOR, q).when(zone[0].isNotNull(), r).otherwise(refused)
-        for p, q, r in zip((a, b), to_lonlat(a, b, WEB_MERCATOR), _from_zone(a, b, zone), strict=True)
-    ]
-    made = [F.when(code == goal, same).otherwise(new) for same, new in zip((a, b), from_lonlat(*in_degrees, goal), strict=True)]
-    return df.withColumns(dict(zip((x + suffix, y + suffix), made, strict=True)))
+        own = crs.system(source)
+        if own == goal:
+            return df.withColumns(dict(zip(out, (a, b), strict=True)))
+        s = dict(own.constants)
+        made = _staged(df, crs.inverse(own.kind, s, a, b, t + "s"))
+        at = place("s")
+        if _moves(own, goal):
+            made, at = _staged(made, crs.shift(s, c, *at, t + "m")), place("m")
+        same = None
+    else:
+        text = F.upper(F.trim(quoted(str(source)).cast("string")))
+        bare = F.regexp_replace(text, r"^EPSG:\s*", "")
+        systems = {str(code): one for code, one in crs.every_code().items()} | {k.strip().upper(): crs.system(v) for k, v in (known or {}).items()}
+        fields = ["key", "kind", "moves", "same", *crs.NAMES]
+        rows = [(key, one.kind, _moves(one, goal), one == goal, *[v for _, v in one.constants]) for key, one in systems.items()]
+        schema = T.StructType([T.StructField(t + f, {"key": T.StringType(), "kind": T.StringType(), "moves": T.BooleanType(), "same": T.BooleanType()}.get(f, T.DoubleType())) for f in fields])
+        table = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # a row for each code that is known here
+        made = df.withColumn(t + "label", F.coalesce(bare.try_cast("int").cast("string"), text if known is None else F.when(text.isin([k.strip().upper() for k in known]), text).otherwise(bare)))
+        made = made.join(table, F.col(t + "label") == F.col(t + "key"), "left")
+        refused = F.raise_error(F.concat(F.lit("no closed form for "), text)).cast("boolean")
+        made = made.withColumn(t + "same", F.when(F.col(t + "label").isNotNull() & F.col(t + "key").isNull(), refused).otherwise(F.col(t + "same")))
+        s = {name: F.col(t + name) for name in crs.NAMES}
+        kinds = sorted({one.kind for one in systems.values()})
+        made = _staged(made, _by_kind(F.col(t + "kind"), {k: crs.inverse(k, s, a, b, f"{t}{k}_") for k in kinds}))
+        made = made.withColumns({t + "slon": F.coalesce(*[F.col(f"{t}{k}_lon") for k in kinds]), t + "slat": F.coalesce(*[F.col(f"{t}{k}_lat") for k in kinds])})
+        moved = [{k: F.when(F.col(t + "moves"), v) for k, v in step.items()} for step in crs.shift(s, c, *place("s"), t + "m")]
+        made = _staged(made, moved)
+        at = tuple(F.when(F.col(t + "moves"), m).otherwise(p) for m, p in zip(place("m"), place("s"), strict=True))
+        same = F.col(t + "same")
+        made = made.withColumns({t + "lon": at[0], t + "lat": at[1]})
+        at = place("")
+    made = _staged(made, crs.forward(goal.kind, c, *at, t + "o"))
+    new = F.col(t + "ox"), F.col(t + "oy")
+    if same is not None:
+        new = tuple(F.when(same, kept).otherwise(n) for kept, n in zip((a, b), new, strict=True))
+    return made.withColumns(dict(zip(out, new, strict=True))).select(*[quoted(c) for c in dict.fromkeys([*df.columns, *out])])
 
 
 def web_mercator_of(lon: float, lat: float) -> tuple[float, float]:
