@@ -214,50 +214,73 @@ def needs_order(spec) -> bool:
     return True
 
 
-def _fill_over_ranges(df: DataFrame, name: str, column: Column, how: str, order: tuple[str, ...]) -> DataFrame:
-    """Fills in row order without bringing all rows to one task: within ranges of the order, then across their ends.
+def _fill_over_ranges(df: DataFrame, fills: Mapping[str, tuple[Column, bool]], order: tuple[str, ...]) -> DataFrame:
+    """Fills columns (name -> value with gaps, whether forward) in row order without bringing all rows to one task: within ranges
+    of the order, then across their ends.
 
-    Rows are ranked once, ascending and nulls last, whatever the keys' kinds; backward fills run the same ranks the other way.
+    Rows are ranked once for all columns, ascending and nulls last, whatever the keys' kinds; backward fills run the same ranks the other way.
     """
-    from ..operators.shared import fixed
+    from ..operators.shared import fixed, fresh
 
-    forward = how in ("forward", "ffill")
+    part, place, n = (fresh(x, df.columns) for x in ("__range", "__place", "__n"))
+    inner = {name: (fresh(f"__v{i}", df.columns), fresh(f"__end{i}", df.columns)) for i, name in enumerate(fills)}
     by = [F.col(f"`{c}`").asc_nulls_last() for c in order]
-    ranged = fixed(df.withColumn("__v", column).repartitionByRange(*by).withColumns({"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}))
-    ranked = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*by, "__place")))
-    so_far, before, found = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), F.last
-    if not forward:
-        so_far, before, found = (0, Window.unboundedFollowing), (1, Window.unboundedFollowing), F.first
-    ends = ranked.where(F.col("__v").isNotNull()).groupBy("__range").agg((F.max_by if forward else F.min_by)("__v", "__n").alias("__end"))
-    every = ranged.select("__range").distinct().join(ends, "__range", "left")
-    carried = every.select("__range", found("__end", True).over(Window.orderBy("__range").rowsBetween(*before)).alias("__carry"))  # one row per range
-    out = ranked.withColumn("__f", found("__v", True).over(Window.partitionBy("__range").orderBy("__n").rowsBetween(*so_far))).join(carried, "__range")
-    return out.withColumn(name, F.coalesce("__f", "__carry")).select(*[F.col(f"`{c}`") for c in df.columns])
+    gaps = df.withColumns({inner[name][0]: value for name, (value, _) in fills.items()})
+    ranged = fixed(gaps.repartitionByRange(*by).withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()}))
+    ranked = ranged.withColumn(n, F.row_number().over(Window.partitionBy(part).orderBy(*by, place)))
+    ends, carry, filled = [], [], {}
+    for name, (_, forward) in fills.items():
+        value, end = inner[name]
+        so_far, before, found = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), F.last
+        if not forward:
+            so_far, before, found = (0, Window.unboundedFollowing), (1, Window.unboundedFollowing), F.first
+        at = F.when(F.col(value).isNotNull(), F.col(n))
+        ends.append((F.max_by if forward else F.min_by)(value, at).alias(end))
+        carry.append(found(end, True).over(Window.orderBy(part).rowsBetween(*before)).alias(end))
+        filled[name] = F.coalesce(found(value, True).over(Window.partitionBy(part).orderBy(n).rowsBetween(*so_far)), F.col(end))
+    carried = ranked.groupBy(part).agg(*ends).select(part, *carry)  # one row per range
+    return ranked.join(F.broadcast(carried), part).withColumns(filled).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _steps(spec) -> list[Mapping]:
+    if isinstance(spec, Mapping):
+        return [{"map": spec}]
+    return list(spec) if is_rules(spec) else [{"blank_out": spec, "fill": "forward"}]
+
+
+_FORWARD, _BACKWARD = ("forward", "ffill"), ("backward", "bfill")
+
+
+def _replaced(df: DataFrame, todo: dict[str, list[Mapping]], order: tuple[str, ...]) -> DataFrame:
+    """Applies the rules of several columns, each column's in turn; columns that wait for a fill are filled together."""
+    while any(todo.values()):
+        fills = {}
+        for name, rules in todo.items():
+            while rules and name not in fills:
+                rule = rules.pop(0)
+                kind, negate = kind_of(rule)
+                if kind not in RULES:
+                    raise ReplacementError(f"{name}: unknown rule {kind}")
+                state = State(F.col(f"`{name}`"), df.schema[name].dataType, order)
+                how = rule.get("fill", "forward") if kind == "blank_out" else None
+                if how in (*_FORWARD, *_BACKWARD):
+                    if not order:
+                        raise ReplacementError(f"{name}: filling needs an order of rows")
+                    fills[name] = _blank_out({**rule, "fill": None}, state, False), how in _FORWARD
+                else:
+                    df = df.withColumn(name, RULES[kind](rule, state, negate))
+        if fills:
+            df = _fill_over_ranges(df, fills, order)
+    return df
 
 
 def apply_replacements(df: DataFrame, replacements: Mapping[str, object], order: tuple[str, ...] = ()) -> DataFrame:
     """The replacements of each column, in turn; columns that are not there are skipped."""
-    for name, spec in (replacements or {}).items():
-        if name not in df.columns or spec is None:
-            continue
-        if isinstance(spec, Mapping):
-            steps = [{"map": spec}]
-        elif is_rules(spec):
-            steps = spec
-        else:
-            steps = [{"blank_out": spec, "fill": "forward"}]
-        for rule in steps:
-            kind, negate = kind_of(rule)
-            if kind not in RULES:
-                raise ReplacementError(f"{name}: unknown rule {kind}")
-            state = State(F.col(f"`{name}`"), df.schema[name].dataType, order)
-            how = rule.get("fill", "forward") if kind == "blank_out" else None
-            if how in ("forward", "ffill", "backward", "bfill"):
-                if not order:
-                    raise ReplacementError(f"{name}: filling needs an order of rows")
-                df = _fill_over_ranges(df, name, _blank_out({**rule, "fill": None}, state, False), how, order)
-            else:
-                df = df.withColumn(name, RULES[kind](rule, state, negate))
+    todo = {name: _steps(spec) for name, spec in (replacements or {}).items() if name in df.columns and spec is not None}
+    if not set(todo) & set(order):
+        return _replaced(df, todo, order)
+    for name, rules in todo.items():  # a column that rows are ordered by changes before the columns after it are filled
+        df = _replaced(df, {name: rules}, order)
     return df
 
 
@@ -267,13 +290,14 @@ def replaced_counts(before: DataFrame, replacements: Mapping[str, object], order
     A cell counts where its text differs afterwards, becomes null or stops being null. One pass for all rules of all columns that need no
     neighbouring rows; a rule that fills from them settles its column first.
     """
+    from ..operators.shared import fresh
+
     counts, df, steps = [], before, 0
     for name, spec in (replacements or {}).items():
         if name not in df.columns or spec is None:
             continue
-        rules = [{"map": spec}] if isinstance(spec, Mapping) else spec if is_rules(spec) else [{"blank_out": spec, "fill": "forward"}]
-        for k, rule in enumerate(rules):
-            kept = f"__before{steps}"
+        for k, rule in enumerate(_steps(spec)):
+            kept = fresh(f"__before{steps}", before.columns)
             df = apply_replacements(df.withColumn(kept, F.col(f"`{name}`").cast("string")), {name: [rule]}, order)
             df = df.withColumn(kept, ~F.col(kept).eqNullSafe(F.col(f"`{name}`").cast("string")))
             counts.append((name, k, kind_of(rule)[0], kept))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fixed, quoted
+from .shared import fixed, fresh, quoted
 
 
 def numbered(df: DataFrame, name: str, order: list[str], start: int | F.Column = 1) -> DataFrame:
@@ -15,13 +15,14 @@ def numbered(df: DataFrame, name: str, order: list[str], start: int | F.Column =
     numbers are a sum that needs no further shuffle. Rows that the order leaves equal keep the places they were written at.
     """
     by = [quoted(c).asc_nulls_last() for c in order]
-    ranged = fixed((df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).withColumn("__place", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("__range", F.shiftright("__place", 33))  # fixed value: the upper bits are the partition, the lower ones the row's place in it
-    sizes = ranged.groupBy("__range").count()
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    sizes = sizes.select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    out = ranged.join(F.broadcast(sizes), "__range")  # as many rows as there were partitions
-    return out.withColumn(name, F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + start).drop("__range", "__before", "__place")
+    place, part, before = (fresh(x, [*df.columns, name]) for x in ("__place", "__range", "__before"))
+    ranged = fixed((df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).withColumn(place, F.monotonically_increasing_id()))
+    ranged = ranged.withColumn(part, F.shiftright(place, 33))  # fixed value: the upper bits are the partition, the lower ones the row's place in it
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(before))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = sizes.select(part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    out = ranged.join(F.broadcast(sizes), part)  # as many rows as there were partitions
+    return out.withColumn(name, F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(before) + start).drop(part, before, place)
 
 
 def add_system_id(df: DataFrame, order: list[str] | None = None, name: str = "system_id") -> DataFrame:

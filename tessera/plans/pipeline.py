@@ -21,7 +21,7 @@ from ..operators import reshape
 from ..operators.extra_columns import add_extra_columns, sources_of
 from ..operators.filters import apply_filters
 from ..operators.identity import add_public_id, add_system_id, canonical_order
-from ..operators.link import LinkReport, Remote, is_linked, link, map_to_remote
+from ..operators.link import LinkReport, Remote, is_linked, keeps_rows, key_counts, link, map_to_remote, missing_columns
 from ..operators.shared import fixed, quoted
 from ..operators.subset import check_fd, drop_duplicates, drop_empty_rows, select_columns, translate_columns
 from ..sources.registry import read_source
@@ -153,16 +153,32 @@ class Pipeline:
         e = self.project.entities.get(fk.entity)
         return Remote(fk.entity, tables[fk.entity], e.system_id if e else "system_id", e.public_id if e else None)
 
-    def links(self, entity: Entity, df: DataFrame, fks: Sequence[ForeignKey], final: bool) -> tuple[DataFrame, list[ForeignKey]]:
-        waiting = []
-        for fk in fks:
+    def counted(self, df: DataFrame, fks: Sequence[ForeignKey]) -> dict[int, dict[str, int]]:
+        """Counts of the links up to the last constrained one, by one job, from the rows as they are before the first link."""
+        places = [i for i, fk in enumerate(fks) if fk.constraints is not None]
+        if self.mode == "off" or not places:
+            return {}
+        due = {}
+        for i, fk in enumerate(fks[: places[-1] + 1]):
+            remote = self.remote(fk)
+            if remote is None or fk.how == "cross" or not fk.local_keys or missing_columns(df, fk, remote) or is_linked(df, fk, remote.id_column):
+                continue
+            due[i] = (df, fk, remote)
+        return dict(zip(due, key_counts(list(due.values())), strict=True)) if due else {}
+
+    def links(self, entity: Entity, df: DataFrame, fks: Sequence[ForeignKey]) -> tuple[DataFrame, list[ForeignKey]]:
+        waiting, counts, same = [], self.counted(df, fks), True  # same: links so far gave each row once, so that the counts still hold
+        for i, fk in enumerate(fks):
             remote = self.remote(fk)
             if remote is not None and is_linked(df, fk, remote.id_column):
                 continue
             if remote is None or any(k not in df.columns for k in fk.local_keys):
                 waiting.append(fk)  # not built yet, or its keys come with unnesting
                 continue
-            df, report = link(df, fk, remote, self.mode)
+            known = counts.get(i) if same else None
+            df, report = link(df, fk, remote, self.mode, counts=known)
+            known = report.counts if report else known
+            same = same and known is not None and keeps_rows(fk, known)
             if report:
                 self.result.reports[entity.name, fk.entity] = report
                 for text in [*[m for _, m in report.violations], *report.issues]:
@@ -178,12 +194,12 @@ class Pipeline:
         df = apply_filters(df, entity.filters, store, "extract")
         if entity.drop_duplicates and not self._late(entity) and self._can_drop(entity, df):
             df = self.distinct(entity, df)
-        df, fks = self.links(entity, df, [fk for fk in entity.foreign_keys if not self._lost(entity, fk)], False)
+        df, fks = self.links(entity, df, [fk for fk in entity.foreign_keys if not self._lost(entity, fk)])
         df, late = self.derive(df, late)
         df = apply_filters(df, entity.filters, store, "after_link")
         if entity.unnest:
             df = reshape.unnest(df, entity.unnest)
-            df, fks = self.links(entity, df, entity.foreign_keys, False)
+            df, fks = self.links(entity, df, entity.foreign_keys)
             df, late = self.derive(df, late)
             df = apply_filters(df, entity.filters, store, "after_unnest")
         if self._late(entity):
@@ -228,7 +244,7 @@ class Pipeline:
             entity, df = self.project.entities[name], self.result.tables.get(name)
             if df is None:
                 continue
-            new, left = self.links(entity, df, fks, True)
+            new, left = self.links(entity, df, fks)
             if len(left) < len(fks):
                 moved = True
                 new, late = self.derive(new, self.result.unresolved.get(name, {}))

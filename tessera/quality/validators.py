@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from ..config.project import Entity, ForeignKey, Project
 from ..operators.extra_columns import sources_of
 from ..operators.reshape import after_unnest
-from ..operators.shared import quoted
+from ..operators.shared import fresh, quoted
 
 
 @dataclass(frozen=True)
@@ -42,36 +43,81 @@ def orphans(local: DataFrame, local_keys: list[str], remote: DataFrame, remote_k
     return ours.join(theirs, [f"k{i}" for i in range(len(local_keys))], "left_anti").select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(local_keys)])
 
 
-def non_unique_keys(entity: Entity, df: DataFrame, samples: int = 5) -> list[Issue]:
+@dataclass(frozen=True)
+class Probe:
+    """A question to the data: a frame of a few rows (n, sample), and what its rows say."""
+
+    rows: DataFrame
+    issues: Callable[[list[tuple[int | None, tuple | None]]], list[Issue]]
+
+
+def _asked(df: DataFrame, n, sample=None) -> DataFrame:
+    return df.select(n.cast("long").alias("n"), (F.lit(None) if sample is None else sample).cast("string").alias("sample"))
+
+
+def _shown(columns: list[str]) -> F.Column:
+    return F.to_json(F.struct(*[quoted(c).alias(f"k{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"})
+
+
+def answers(probes: list[Probe]) -> list[list[tuple[int | None, tuple | None]]]:
+    """The rows of all probes, read by one job."""
+    out: list[list] = [[] for _ in probes]
+    whole = None
+    for i, probe in enumerate(probes):
+        part = probe.rows.withColumn("at", F.lit(i))
+        whole = part if whole is None else whole.unionByName(part)
+    for row in whole.collect() if whole is not None else ():  # a few rows for each probe
+        out[row["at"]].append((row["n"], None if row["sample"] is None else tuple(json.loads(row["sample"]).values())))
+    return out
+
+
+def _is_there(df: DataFrame, none: Issue) -> Probe:
+    return Probe(_asked(df.limit(1), F.lit(1)), lambda rows: [] if rows else [none])
+
+
+def non_unique_keys(entity: Entity, df: DataFrame, samples: int = 5) -> list[Probe]:
     keys = [k for k in entity.keys if k in df.columns]
     if not keys or len(keys) < len(entity.keys):
         return []
-    repeated = df.groupBy(*[quoted(k) for k in keys]).count().where("count > 1")
-    found = repeated.orderBy(F.desc("count"), *[quoted(k) for k in keys]).limit(samples).collect()
-    return [Issue("NON_UNIQUE_KEYS", entity.name, f"keys {', '.join(keys)} repeat, e.g. {[tuple(r)[:-1] for r in found]}", suggestion="drop duplicates")] if found else []
+    count = fresh("count", keys)
+    repeated = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1)
+    found = repeated.orderBy(F.desc(count), *[quoted(k) for k in keys]).limit(samples)
+
+    def issues(rows):
+        rows = sorted(rows, key=lambda r: (-r[0], str(r[1])))
+        return [Issue("NON_UNIQUE_KEYS", entity.name, f"keys {', '.join(keys)} repeat, e.g. {[r[1] for r in rows]}", suggestion="drop duplicates")] if rows else []
+
+    return [Probe(_asked(found, F.col(count), _shown(keys)), issues)]
 
 
 def _numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
-def foreign_key_issues(entity: Entity, fk: ForeignKey, df: DataFrame, remote: DataFrame) -> list[Issue]:
+def foreign_key_issues(entity: Entity, fk: ForeignKey, df: DataFrame, remote: DataFrame) -> tuple[list[Issue], list[Probe]]:
+    """What the columns say at once, else what to ask the data."""
     out = [Issue("FK_LOCAL_COLUMN_MISSING", entity.name, f"foreign key to {fk.entity}: no column {c}", column=c) for c in fk.local_keys if c not in df.columns]
     if out or any(c not in remote.columns for c in fk.remote_keys):
-        return out
+        return out, []
     for a, b in zip(fk.local_keys, fk.remote_keys, strict=True):
         if _numeric(df.schema[a].dataType) != _numeric(remote.schema[b].dataType):
             out.append(Issue("FK_TYPE_MISMATCH", entity.name, f"{a} is {df.schema[a].dataType.simpleString()}, {fk.entity}.{b} is {remote.schema[b].dataType.simpleString()}", "warning", a))
     if out:
-        return out
-    if remote.isEmpty():
-        return [Issue("FK_REMOTE_EMPTY", entity.name, f"{fk.entity} has no rows", "warning")]
-    lost = orphans(df, list(fk.local_keys), remote, list(fk.remote_keys))
-    n = lost.count()
-    if n:
-        sample = [tuple(r) for r in lost.orderBy(*[quoted(k) for k in fk.local_keys]).limit(5).collect()]
-        out.append(Issue("FK_DATA_INTEGRITY", entity.name, f"{n} keys are not in {fk.entity}, e.g. {sample}"))
-    return out
+        return out, []
+    keys = list(fk.local_keys)
+    lost = orphans(df, keys, remote, list(fk.remote_keys))
+    some = _asked(lost.orderBy(*[quoted(k) for k in keys]).limit(5), F.lit(None), _shown(keys))
+    there = _asked(remote.limit(1), F.lit(-1))
+    count = _asked(lost.agg(F.count(F.lit(1)).alias("c")), F.col("c"))
+
+    def issues(rows):
+        if not any(n == -1 for n, _ in rows):
+            return [Issue("FK_REMOTE_EMPTY", entity.name, f"{fk.entity} has no rows", "warning")]
+        n = sum(n for n, _ in rows if n is not None and n > 0)
+        shown = sorted((s for _, s in rows if s is not None), key=str)
+        return [Issue("FK_DATA_INTEGRITY", entity.name, f"{n} keys are not in {fk.entity}, e.g. {shown}")] if n else []
+
+    return [], [Probe(count.unionByName(some).unionByName(there), issues)]
 
 
 def unresolved_columns(entity: Entity, df: DataFrame) -> list[Issue]:
@@ -84,7 +130,8 @@ def unresolved_columns(entity: Entity, df: DataFrame) -> list[Issue]:
 
 
 def validate(project: Project, tables: Mapping[str, DataFrame], strategy: str = "full", preview: int = 1000) -> list[Issue]:
-    """All checks of all tables. strategy preview looks at the first `preview` rows only (a feature of the report, not of the data)."""
+    """All checks of all tables, with one job for each table. strategy preview looks at the first `preview` rows only (a feature of
+    the report, not of the data)."""
     found = []
     for name, whole in tables.items():
         entity = project.entities.get(name)
@@ -92,14 +139,14 @@ def validate(project: Project, tables: Mapping[str, DataFrame], strategy: str =
             continue
         df = whole.limit(preview) if strategy == "preview" else whole
         try:
-            found += missing_columns(entity, df) + unresolved_columns(entity, df)
-            if df.isEmpty():
-                found.append(Issue("EMPTY_RESULT", name, "no rows", "warning"))
-                continue
-            found += non_unique_keys(entity, df)
+            own, due = [], [_is_there(df, Issue("EMPTY_RESULT", name, "no rows", "warning")), *non_unique_keys(entity, df)]
             for fk in entity.foreign_keys:
                 if fk.entity in tables and fk.how != "cross":
-                    found += foreign_key_issues(entity, fk, df, tables[fk.entity])
+                    at_once, later = foreign_key_issues(entity, fk, df, tables[fk.entity])
+                    own, due = own + at_once, due + later
+            said = [probe.issues(rows) for probe, rows in zip(due, answers(due), strict=True)]
+            found += missing_columns(entity, df) + unresolved_columns(entity, df)
+            found += said[0] or [*own, *[issue for issues in said[1:] for issue in issues]]  # an empty table has no further faults
         except Exception as e:  # noqa: BLE001  one table's failure is reported, the others are still checked
             found.append(Issue("VALIDATION_FAILED", name, str(e).splitlines()[0]))
     return found
