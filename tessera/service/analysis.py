@@ -21,6 +21,7 @@ from ..operators.shared import quoted
 from ..plans.pipeline import Result, normalize
 from ..quality.specifications import can_materialize
 from ..sources.relational import TableInfo
+from .snapshots import Snapshots, addresses
 
 # ad-hoc SQL
 
@@ -124,48 +125,55 @@ def table_page(df: DataFrame, limit: int = 100, offset: int = 0, order: Sequence
 # preview
 
 
-def config_hash(project: Project, name: str) -> str:
-    """Changes when the entity or anything it needs changes."""
-    parts = {n: dict(project.entities[n].raw) for n in sorted(closure(project, [name]))}
-    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
-
-
 @dataclass
 class Previews:
-    """Previews with a cache of plans by configuration; entries expire, and change with what they depend on."""
+    """Previews over snapshots of built tables. What did not change, upstream or since an earlier preview, is read and not built again."""
 
     spark: SparkSession
     seconds: float = 300
     most: int = 64
-    kept: dict[str, tuple[float, DataFrame]] = field(default_factory=dict)
-
-    def table(self, project: Project, name: str, given: Mapping[str, DataFrame] | None = None) -> DataFrame:
-        key = config_hash(project, name)
-        found = self.kept.get(key)
-        if found and time.time() - found[0] < self.seconds:
-            return found[1]
-        result = normalize(self.spark, project, [name], given, constraints="warn")
-        for n, df in result.tables.items():
-            self.kept[config_hash(project, n)] = (time.time(), df)
-        while len(self.kept) > self.most:
-            del self.kept[min(self.kept, key=lambda k: self.kept[k][0])]
-        return self.kept[key][1]
-
-    def preview(self, project: Project, name: str, limit: int | None = 50, override: Mapping | None = None, given: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    folder: str | None = None
+    project_folder: str = "."
+    built: list[str] = field(default_factory=list)  # entities built so far, in order
+
+    def __post_init__(self) -> None:
+        self.kept = Snapshots(self.spark, self.folder, self.seconds, self.most)
+
+    def tables(self, project: Project, names: Sequence[str], given: Mapping[str, DataFrame] | None = None, versions: Mapping[str, object] | None = None) -> dict[str, DataFrame]:
+        """The named tables; one run builds those that have no snapshot, from the snapshots of those that have."""
+        at = addresses(self.spark, project, list(names), given, versions, self.project_folder)
+        known = {n: df for n, address in at.items() if n not in (given or {}) and (df := self.kept.get(address)) is not None}
+        missing = [n for n in names if n not in known and n not in (given or {})]
+        if missing:
+            result = normalize(self.spark, project, missing, {**known, **(given or {})}, constraints="warn", folder=self.project_folder)
+            for n, df in result.tables.items():
+                if n in at and n not in known and n not in (given or {}):
+                    self.built.append(n)
+                    known[n] = self.kept.put(at[n], df)
+        self.kept.sweep({at[n] for n in names})
+        return {n: (given or {})[n] if n in (given or {}) else known[n] for n in names}
+
+    def table(self, project: Project, name: str, given: Mapping[str, DataFrame] | None = None, versions: Mapping[str, object] | None = None) -> DataFrame:
+        return self.tables(project, [name], given, versions)[name]
+
+    def preview(
+        self, project: Project, name: str, limit: int | None = 50, override: Mapping | None = None, given: Mapping[str, DataFrame] | None = None, versions: Mapping[str, object] | None = None
+    ) -> DataFrame:
         if override:
             project = project.with_entity(name, {**project.entities[name].raw, **override})
-        df = self.table(project, name, given)
+        return self._page(project, name, self.table(project, name, given, versions), limit)
+
+    def batch(self, project: Project, names: Sequence[str], limit: int | None = 50, given: Mapping[str, DataFrame] | None = None, versions: Mapping[str, object] | None = None) -> dict[str, DataFrame]:
+        """Several previews from one run."""
+        return {n: self._page(project, n, df, limit) for n, df in self.tables(project, names, given, versions).items()}
+
+    def _page(self, project: Project, name: str, df: DataFrame, limit: int | None) -> DataFrame:
         order = project.entities[name].system_id
         df = df.orderBy(quoted(order)) if order in df.columns else df
         return df if limit is None else df.limit(limit)
 
-    def batch(self, project: Project, names: Sequence[str], limit: int | None = 50, given: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-        """Several previews from one run."""
-        result = normalize(self.spark, project, names, given, constraints="warn")
-        return {n: result.tables[n] if limit is None else result.tables[n].orderBy(quoted(project.entities[n].system_id)).limit(limit) for n in names}
-
-    def forget(self, project: Project, name: str) -> None:
-        self.kept.pop(config_hash(project, name), None)
+    def forget(self, project: Project, name: str, given: Mapping[str, DataFrame] | None = None, versions: Mapping[str, object] | None = None) -> None:
+        self.kept.forget(addresses(self.spark, project, [name], given, versions, self.project_folder)[name])
 
 
 def column_info(project: Project, name: str, df: DataFrame) -> list[dict]:

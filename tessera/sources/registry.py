@@ -62,10 +62,8 @@ def checked_options(name: str, given: Mapping) -> dict:
     return out
 
 
-def read_source(spark: SparkSession, project: Project, entity: Entity, tables: Mapping[str, DataFrame], folder: str = ".") -> DataFrame:
-    """Data source driver, else the type's reader, else a table built before (or the default entity)."""
-    from . import files, relational, values  # noqa: F401  they register themselves
-
+def source_options(project: Project, entity: Entity, folder: str = ".") -> tuple[str, dict]:
+    """The name of an entity's reader, and its options with file names resolved."""
     if entity.data_source:
         source = project.data_sources.get(entity.data_source)
         if source is None:
@@ -73,9 +71,17 @@ def read_source(spark: SparkSession, project: Project, entity: Entity, tables: M
         name, options = source.driver, {**source.options, **entity.options}
     else:
         name, options = entity.type, dict(entity.options)
+    if name in DRIVERS and options.get("filename"):
+        options["filename"] = managed_path(options["filename"], options.pop("location", None), folder, project.options.get("data_folder", folder))
+    return name, options
+
+
+def read_source(spark: SparkSession, project: Project, entity: Entity, tables: Mapping[str, DataFrame], folder: str = ".") -> DataFrame:
+    """Data source driver, else the type's reader, else a table built before (or the default entity)."""
+    from . import files, relational, values  # noqa: F401  they register themselves
+
+    name, options = source_options(project, entity, folder)
     if name in DRIVERS:
-        if options.get("filename"):
-            options["filename"] = managed_path(options["filename"], options.pop("location", None), folder, project.options.get("data_folder", folder))
         return DRIVERS[name].read(spark, entity, checked_options(name, options))
     for table in (entity.source, project.options.get("default_entity")):
         if table and table in tables:

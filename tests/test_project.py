@@ -249,9 +249,9 @@ def test_services(spark, raw, tmp_path):
     previews = analysis.Previews(spark)
     first = previews.preview(project, "sample", 2, given={"raw": raw})
     assert [r.system_id for r in first.collect()] == [1, 2]
-    assert previews.table(project, "sample") is previews.table(project, "sample")
+    assert previews.table(project, "sample", {"raw": raw}) is previews.table(project, "sample", {"raw": raw})
     assert previews.preview(project, "site", override={"values": [["x"]]}).count() == 1
-    info = {c["name"]: c for c in analysis.column_info(project, "sample", previews.table(project, "sample"))}
+    info = {c["name"]: c for c in analysis.column_info(project, "sample", previews.table(project, "sample", {"raw": raw}))}
     assert info["code"]["is_key"]
     assert info["label"]["is_derived"]
     assert info["site_id"]["nullable"]
