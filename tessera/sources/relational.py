@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+import re
 import sqlite3
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -34,8 +39,24 @@ def checked_columns(df: DataFrame, entity: Entity) -> DataFrame:
 _SQLITE_KINDS = {"INT": T.LongType(), "REAL": T.DoubleType(), "FLOA": T.DoubleType(), "DOUB": T.DoubleType(), "NUM": T.DoubleType(), "DEC": T.DoubleType(), "BOOL": T.BooleanType(), "BLOB": T.BinaryType()}
 
 
+def mentioned(entity: Entity, names: Sequence[str]) -> list[str]:
+    """Of a result's columns those that the entity's configuration names anywhere; all, where it declares none."""
+    if not (entity.keys or entity.columns) or not entity.auto_detect_columns and entity.query:
+        return list(names)
+    text = json.dumps({k: v for k, v in entity.raw.items() if k != "query"}, default=str, ensure_ascii=False)
+    return [n for n in names if re.search(rf"(?<!\w){re.escape(n)}(?!\w)", text)] or list(names)
+
+
+def _name(column: str) -> str:
+    return '"' + column.replace('"', '""') + '"'
+
+
 class SqliteSource(DataSource):
-    """Spark data source `sqlite`: a query, cut into partitions by rowid ranges where a table is named."""
+    """Spark data source `sqlite`: a query or a table, by some of its columns, cut into partitions at places of a sorted key.
+
+    Options: filename, query or dbtable, columns (a JSON list), key and numPartitions, page ("limit,offset"), where (SQL).
+    Filters of the plan are not taken over: Spark 4.1 keeps what a Python source accepts with the relation, so that another use of the
+    same frame, with other filters or none, would read those rows only."""
 
     @classmethod
     def name(cls) -> str:
@@ -44,45 +65,74 @@ class SqliteSource(DataSource):
     def _connect(self):
         return sqlite3.connect(f"file:{self.options['filename']}?mode=ro", uri=True)
 
-    def _query(self) -> str:
-        return self.options.get("query") or f'SELECT * FROM "{self.options["dbtable"]}"'
+    def _from(self) -> str:
+        return f"({self.options['query']})" if self.options.get("query") else _name(self.options["dbtable"])
+
+    def _columns(self, c: sqlite3.Connection) -> list[str]:
+        names = [d[0] for d in c.execute(f"SELECT * FROM {self._from()} LIMIT 0").description]
+        wanted = json.loads(self.options.get("columns") or "null")
+        return [n for n in names if wanted is None or n in wanted]
+
+    def _key(self, c: sqlite3.Connection) -> str | None:
+        """What partitions and pages go by: the key named, or a table's rowid if it has one."""
+        if self.options.get("key"):
+            return _name(self.options["key"])
+        if self.options.get("dbtable"):
+            try:
+                c.execute(f"SELECT rowid FROM {self._from()} LIMIT 0")
+            except sqlite3.OperationalError:
+                return None
+            return "rowid"
+        return None
 
     def schema(self) -> T.StructType:
         with self._connect() as c:
-            names = [d[0] for d in c.execute(f"SELECT * FROM ({self._query()}) LIMIT 0").description]
+            names = self._columns(c)
             declared = {}
             if self.options.get("dbtable"):
-                declared = {r[1]: next((k for p, k in _SQLITE_KINDS.items() if p in (r[2] or "").upper()), None) for r in c.execute(f'PRAGMA table_info("{self.options["dbtable"]}")')}
+                declared = {r[1]: next((k for p, k in _SQLITE_KINDS.items() if p in (r[2] or "").upper()), None) for r in c.execute(f"PRAGMA table_info({self._from()})")}
             # a query's columns have no declared type: which storage classes occur is asked of all its rows, in one pass
             asked = [n for n in names if not declared.get(n)]
-            renamed = ", ".join(f"c{i}" for i in range(len(names)))
-            kinds = [f"max(typeof(c{names.index(n)}) = '{kind}')" for n in asked for kind in _STORED]
-            seen = c.execute(f"WITH q({renamed}) AS ({self._query()}) SELECT {', '.join(kinds)} FROM q").fetchone() if asked else ()
+            kinds = [f"max(typeof({_name(n)}) = '{kind}')" for n in asked for kind in _STORED]
+            seen = c.execute(f"SELECT {', '.join(kinds)} FROM {self._from()}").fetchone() if asked else ()
             for k, n in enumerate(asked):
                 declared[n] = _seen({kind for kind, there in zip(_STORED, seen[4 * k : 4 * k + 4], strict=True) if there})
         return T.StructType([T.StructField(n, declared[n]) for n in names])
 
     def reader(self, schema):
-        source, kinds = self, [f.dataType for f in schema.fields]
+        source = self
 
         class Reader(DataSourceReader):
             def partitions(self):
-                table, n = source.options.get("dbtable"), int(source.options.get("numpartitions", "1"))
-                if not table or n < 2:
-                    return [InputPartition(None)]
+                n = int(source.options.get("numpartitions", "1"))
                 with source._connect() as c:
-                    lo, hi = c.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
-                if lo is None:
-                    return [InputPartition(None)]
-                step = -(-(hi - lo + 1) // n)
-                return [InputPartition((a, min(a + step - 1, hi))) for a in range(lo, hi + 1, step)]
+                    key = source._key(c)
+                    if key is None or n < 2 or source.options.get("page"):
+                        return [InputPartition(None)]
+                    ranks = f"SELECT {key} AS k, ntile({n}) OVER (ORDER BY {key}) AS t FROM {source._from()} WHERE {key} IS NOT NULL"
+                    ends = [r[0] for r in c.execute(f"SELECT max(k) FROM ({ranks}) GROUP BY t ORDER BY t")]
+                ends = list(dict.fromkeys(ends))[:-1]
+                return [InputPartition((key, a, b)) for a, b in zip([None, *ends], [*ends, None], strict=True)]
 
             def read(self, partition):
-                query = source._query()
+                tests, values = [f"({source.options['where']})"] if source.options.get("where") else [], []
                 if partition.value:
-                    query += " WHERE rowid BETWEEN {} AND {}".format(*partition.value)
+                    key, a, b = partition.value
+                    if a is not None:
+                        tests.append(f"{key} > ?")
+                        values.append(a)
+                    if b is not None:
+                        tests.append(f"({key} <= ?{' OR ' + key + ' IS NULL' if a is None else ''})")
+                        values.append(b)
                 with source._connect() as c:
-                    for row in c.execute(query):
+                    names = [f.name for f in schema.fields]
+                    query = f"SELECT {', '.join(map(_name, names)) or '1'} FROM {source._from()}"
+                    query += f" WHERE {' AND '.join(tests)}" if tests else ""
+                    if source.options.get("page"):
+                        limit, offset = map(int, source.options["page"].split(","))
+                        query += f" ORDER BY {source._key(c) or ', '.join(map(_name, names))} LIMIT {limit} OFFSET {offset}"
+                    kinds = [f.dataType for f in schema.fields]
+                    for row in c.execute(query, values):
                         yield tuple(_cast(v, k) for v, k in zip(row, kinds, strict=True))
 
         return Reader()
@@ -111,15 +161,29 @@ def _cast(value, kind: T.DataType):
 
 def _sqlite_reader(spark: SparkSession, options: dict):
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").option("filename", options["filename"])
+    reader = spark.read.format("sqlite").option("filename", options["filename"])
+    for k in ("numPartitions", "key", "where"):
+        reader = reader.option(k, options[k]) if options.get(k) else reader
+    return reader
 
 
 _SQLITE_FILE = Option("filename", "path", True, None, ("database", "dbname", "path"))
+_SPLIT = (Option("key", aliases=("partitionColumn",)), Option("numPartitions", "integer"))
 
 
-@register("sqlite", options=(_SQLITE_FILE,), category="database", help="SQLite file")
+@register("sqlite", options=(_SQLITE_FILE, *_SPLIT), category="database", help="SQLite file")
 def read_sqlite(spark: SparkSession, entity: Entity, options: dict) -> DataFrame:
-    return checked_columns(_sqlite_reader(spark, options).option("query", _query(entity, options)).load(), entity)
+    """A query or, with its declared types, a table (dbtable); only columns that the entity names are read."""
+    if not options.get("key") and options.get("numPartitions") and not options.get("dbtable"):
+        options = {**options, "key": entity.keys[0] if entity.keys else None}
+    whole = bool(options.get("dbtable")) and not (entity.query or options.get("query"))
+    reader = _sqlite_reader(spark, options)
+    reader = reader.option("dbtable", options["dbtable"]) if whole else reader.option("query", _query(entity, options))
+    with sqlite3.connect(f"file:{options['filename']}?mode=ro", uri=True) as c:
+        names = [d[0] for d in c.execute(f"SELECT * FROM {_name(options['dbtable']) if whole else '(' + _query(entity, options) + ')'} LIMIT 0").description]
+    if options.get("key") and options["key"] not in names:
+        raise SourceError(f"{entity.name}: no column {options['key']} to split by")
+    return checked_columns(reader.option("columns", json.dumps(mentioned(entity, names))).load(), entity)
 
 
 def _query(entity: Entity, options: dict) -> str:
@@ -140,18 +204,58 @@ def jdbc_options(driver: str, options: dict) -> dict[str, str]:
         out = {"url": f"jdbc:ucanaccess://{options['filename']};memory=false;ignoreCase=true", "driver": "net.ucanaccess.jdbc.UcanaccessDriver"}
     else:
         out = {"url": options["url"], **({"driver": options["driver_class"]} if options.get("driver_class") else {})}
-    for k in ("user", "password", "partitionColumn", "lowerBound", "upperBound", "numPartitions", "fetchsize"):
+    bounded = all(options.get(k) is not None for k in ("partitionColumn", "lowerBound", "upperBound"))
+    for k in ("user", "password", "fetchsize", *(("partitionColumn", "lowerBound", "upperBound", "numPartitions") if bounded else ())):
         if options.get(k) is not None:
             out[k] = str(options[k])
     return out
 
 
+def _literal(value) -> str:
+    """A number, date or time as JDBC drivers read it."""
+    if isinstance(value, datetime.datetime):
+        return "{ts '" + value.isoformat(" ") + "'}"
+    if isinstance(value, datetime.date):
+        return "{d '" + value.isoformat() + "'}"
+    return str(value) if isinstance(value, int | Decimal) else repr(float(value))
+
+
+def range_tests(column: str, ends: Sequence) -> list[str]:
+    """SQL tests of which each value, null included, passes one: up to the first end, between ends, beyond the last."""
+    if not ends:
+        return ["1 = 1"]
+    said = [_literal(e) for e in ends]
+    middle = [f"{column} > {a} AND {column} <= {b}" for a, b in zip(said, said[1:], strict=False)]
+    return [f"({column} <= {said[0]} OR {column} IS NULL)", *middle, f"{column} > {said[-1]}"]
+
+
+def split_jdbc(spark: SparkSession, said: dict[str, str], table: str, key: str | None, n: int) -> DataFrame:
+    """A table or query (in brackets, with a name), read by n connections at once where it has a key that is a number, date or time.
+
+    Where to cut is found once: the key column alone is sorted into n ranges of about as many rows by the executors, and the
+    ranges' ends become predicates. Texts are sorted otherwise by some databases and are not cut."""
+    whole = spark.read.format("jdbc").options(**said).option("dbtable", table).load()
+    known = {c.lower(): c for c in whole.columns}
+    if n < 2 or key is None or key.lower() not in known:
+        return whole
+    key = known[key.lower()]
+    if not isinstance(whole.schema[key].dataType, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType):
+        return whole
+    keys = whole.select(F.col(f"`{key}`").alias("k")).where(F.col("k").isNotNull())
+    found = keys.repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.max("k").alias("k")).collect()  # n rows
+    ends = sorted(r["k"] for r in found)[:-1]
+    login = {k: v for k, v in said.items() if k not in ("url", "partitionColumn", "lowerBound", "upperBound", "numPartitions")}
+    return spark.read.jdbc(said["url"], table, predicates=range_tests(_name(key), ends), properties=login)
+
+
 def _jdbc(driver: str):
     def read(spark: SparkSession, entity: Entity, options: dict) -> DataFrame:
-        reader = spark.read.format("jdbc").options(**jdbc_options(driver, options))
-        if options.get("partitionColumn"):  # Spark partitions subqueries, not queries
-            return checked_columns(reader.option("dbtable", f"({_query(entity, options)}) q").load(), entity)
-        return checked_columns(reader.option("query", _query(entity, options)).load(), entity)
+        said = jdbc_options(driver, options)
+        table = f"({_query(entity, options)}) q"
+        if "partitionColumn" in said:
+            return checked_columns(spark.read.format("jdbc").options(**said).option("dbtable", table).load(), entity)
+        key = options.get("key") or options.get("partitionColumn") or (entity.keys[0] if entity.keys else None)
+        return checked_columns(split_jdbc(spark, said, table, key, int(options.get("numPartitions") or 1)), entity)
 
     return read
 
@@ -161,12 +265,22 @@ register("ucanaccess", "access", options=(Option("filename", "path", True),), ca
 register("jdbc", options=(Option("url", required=True), Option("driver_class")), category="database", help="any JDBC database")(_jdbc("jdbc"))
 
 
-def read_table(spark: SparkSession, driver: str, options: dict, table: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+def read_table(
+    spark: SparkSession, driver: str, options: dict, table: str, limit: int | None = None, offset: int = 0, columns: Sequence[str] | None = None, order: Sequence[str] = ()
+) -> DataFrame:
+    """A table, or a page of it in a stable order: by `order`, else by SQLite's rowid, else by all columns."""
     if driver == "sqlite":
-        reader = _sqlite_reader(spark, options).option("dbtable", table)
-        df = (reader.option("numPartitions", options["numPartitions"]) if options.get("numPartitions") else reader).load()
+        reader = _sqlite_reader(spark, {**options, "key": order[0]} if len(order) == 1 else options).option("dbtable", table)
+        reader = reader if columns is None else reader.option("columns", json.dumps(list(columns)))
+        if len(order) < 2:
+            return (reader.option("page", f"{-1 if limit is None else limit},{offset}") if limit is not None or offset else reader).load()
+        df = reader.load()
     else:
-        df = spark.read.format("jdbc").options(**jdbc_options(driver, options)).option("dbtable", table).load()
+        said = jdbc_options(driver, options)
+        df = spark.read.format("jdbc").options(**said).option("dbtable", table).load() if "partitionColumn" in said else split_jdbc(spark, said, table, options.get("key"), int(options.get("numPartitions") or 1))
+        df = df if columns is None else df.select(*[F.col(f"`{c}`") for c in columns])
+    if limit is not None or offset:
+        df = df.orderBy(*[F.col(f"`{c}`") for c in order or df.columns])
     df = df.offset(offset) if offset else df
     return df if limit is None else df.limit(limit)
 
