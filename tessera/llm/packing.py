@@ -23,7 +23,7 @@ are packed one by one. An empty table gives an empty result. Extra columns take
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +67,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
 PLACED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
-def length_classes(capacity: int) -> list[tuple[int, int]]:
-    """(low, high): lengths over low, up to high, longest first. Sequences hold 1, 2, 3, 4 to 7, 8 to 15, ..., 64 or more documents of a class."""
+#: where pieces have no more lengths than these, each has supersteps of its own
+FEW_LENGTHS = 32
+
+
+def length_classes(capacity: int, lengths: Collection[int]) -> list[tuple[int, int]]:
+    """(low, high): lengths over low, up to high, longest first. Sequences hold 1, 2, 3, 4 to 7, 8 to 15, ..., 64 or more documents of a
+    class. Few lengths are a class each, but for those of which only one fits: neighbours may then fill sequences that they could not share."""
+    if len(lengths) <= FEW_LENGTHS:
+        return [(capacity // 2, capacity), *((n - 1, n) for n in sorted(lengths, reverse=True) if n <= capacity // 2)]
     out, least = [], 1
     while least <= capacity:
         most = least if least < 4 else 2 * least - 1 if least < 64 else capacity
@@ -206,7 +213,7 @@ def place(pieces: DataFrame, capacity: int, per_group: int = 1_000_000) -> DataF
     columns = pieces.columns
     pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = _counts(pieces, "length")
-    classes = length_classes(capacity)
+    classes = length_classes(capacity, counts)
     # of the longest class each begins a sequence, which takes the number of its row; later ones count down from -1
     first = pieces.where(F.col("length") > classes[0][0]).withColumn("sequence_id", F.col("row"))
     gaps = first.where(F.col("length") < capacity).select("sequence_id", (F.lit(capacity) - F.col("length")).alias("room"))

@@ -137,6 +137,22 @@ def test_as_few_sequences_as_best_fit_decreasing(spark, kind):
     assert len(used) <= best + best // 200
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_few_lengths_take_no_more_sequences_than_best_fit_decreasing(spark, seed):
+    """Lengths beside the places where one more document fits, and random ones."""
+    rng = random.Random(seed)
+    kinds = [204, 205, 256, 257, 340, 341, 342, 511, 512] if seed == 0 else rng.sample(range(100, 900), 8)
+    lengths = [rng.choice(kinds) for _ in range(3000)]
+    pieces = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    rows = packing.place(pieces, 1024, per_group=500).collect()
+    used = Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert sum(used.values()) == sum(lengths)
+    assert max(used.values()) <= 1024
+    assert len(used) <= best_fit_decreasing(lengths, 1024)
+
+
 def test_sweep_counts_are_those_of_a_stack():
     rng = random.Random(2)
     for _ in range(50):
