@@ -302,16 +302,15 @@ def write_eav(eav: Eav, folder: str) -> None:
 
 def submission_from_workbook(spark: SparkSession, schema: Schema, path: str) -> Submission:
     """All sheets that the schema knows, by sheet or table name."""
-    from ..sources.files import Workbook
-    from ..sources.values import table_of
+    from ..sources.files import Workbook, sheet_frame
 
     book = Workbook(path)
     out = Submission(schema)
     for t in schema.tables.values():
         sheet = next((x for x in (t.excel_sheet, t.name) if x in book.sheets), None)
         if sheet:
-            names, rows = book.table(sheet)
-            out.tables[t.name] = table_of(spark, rows, [str(n) for n in names])
+            names, rows = sheet_frame(spark, path, sheet)
+            out.tables[t.name] = rows.toDF(*map(str, names))
     return out
 
 
