@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import shutil
 import sqlite3
 import tempfile
-import zipfile
 from collections.abc import Callable, Mapping
 from pathlib import Path
 from xml.sax.saxutils import escape
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.shared import quoted
+from .fragments import SingleFile, cell, insert_texts, local_path
 
 Tables = Mapping[str, DataFrame]
 SINKS: dict[str, Callable[[str, Tables], None]] = {}
@@ -50,32 +51,29 @@ def to_csv(target: str, tables: Tables) -> None:
         df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{target}/{name}")
 
 
-def _one_csv(df: DataFrame, out) -> None:
-    """Streams a table's rows into one CSV, a partition at a time."""
-    import csv
+def _ordered(df: DataFrame) -> DataFrame:
+    return df.orderBy("system_id") if "system_id" in df.columns else df
 
-    rows = csv.writer(out)
-    rows.writerow(df.columns)
-    df = df.orderBy("system_id") if "system_id" in df.columns else df
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        rows.writerow(["" if v is None else v for v in row])
+
+def _header(df: DataFrame) -> str:
+    out = io.StringIO(newline="")
+    csv.writer(out).writerow(df.columns)
+    return out.getvalue()
 
 
 @register("single_csv")
 def to_single_csv(target: str, tables: Tables) -> None:
-    """One file for each table, for exports that people read; rows pass the driver one partition at a time."""
-    Path(target).mkdir(parents=True, exist_ok=True)
+    """One file for each table, for exports that people read; tasks write its parts."""
     for name, df in tables.items():
-        with open(Path(target) / f"{name}.csv", "w", encoding="utf-8", newline="") as f:
-            _one_csv(df, f)
+        with SingleFile(f"{local_path(target)}/{name}.csv") as f:
+            f.joined([f.text(_header(df), False), *f.parts(_ordered(df), "csv", False)])
 
 
 @register("zipcsv")
 def to_zipped_csv(target: str, tables: Tables) -> None:
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, df in sorted(tables.items()):
-            with z.open(f"{name}.csv", "w", force_zip64=True) as raw, io.TextIOWrapper(raw, "utf-8", newline="") as f:
-                _one_csv(df, f)
+    """One zip file with a CSV for each table; tasks write and pack its parts."""
+    with SingleFile(target) as f:
+        f.zipped([(f"{name}.csv", [f.text(_header(df), True), *f.parts(_ordered(df), "csv", True)]) for name, df in sorted(tables.items())])
 
 
 def sheet_name(name: str, taken: set[str]) -> str:
@@ -87,14 +85,6 @@ def sheet_name(name: str, taken: set[str]) -> str:
     return out
 
 
-def _letters(n: int) -> str:
-    out = ""
-    while n:
-        n, r = divmod(n - 1, 26)
-        out = chr(65 + r) + out
-    return out
-
-
 MAX_SHEET_ROWS = 1_048_576
 
 # fixed values: cell styles of the styled sink (0 plain, 1 header, 2 id column, 3 foreign id)
@@ -108,53 +98,37 @@ def _style_of(column: str, position: int) -> int:
 
 
 def to_workbook(target: str, tables: Tables, styled: bool = False) -> None:
-    """One sheet for each table, by name, times without zones, calculation set to manual. Streams rows; a sheet holds 1,048,576."""
+    """One sheet for each table, by name, times without zones, calculation set to manual. Tasks write and pack the sheets' rows; a
+    sheet holds 1,048,576 rows."""
     taken: set[str] = set()
     names = [(sheet_name(n, taken), tables[n]) for n in sorted(tables)]
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
-        z.writestr(
-            "[Content_Types].xml",
-            '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
-            '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>' + kinds + "</Types>",
-        )
-        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        sheets = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="s{i}"/>' for i, (n, _) in enumerate(names, 1))
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{rel}"><sheets>{sheets}</sheets><calcPr calcMode="manual" fullCalcOnLoad="0"/></workbook>')
-        links = "".join(f'<Relationship Id="s{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}<Relationship Id="st" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
-        fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in _FILLS)
-        z.writestr(
-            "xl/styles.xml",
-            '<?xml version="1.0"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fonts count="1"><font/></fonts>'
-            f'<fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>'
-            '<cellXfs count="4"><xf/>' + "".join(f'<xf fillId="{k}" applyFill="1"/>' for k in (2, 3, 4)) + "</cellXfs></styleSheet>",
-        )
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1))
+    sheets = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="s{i}"/>' for i, (n, _) in enumerate(names, 1))
+    links = "".join(f'<Relationship Id="s{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
+    fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in _FILLS)
+    styles = "".join(f'<xf fillId="{k}" applyFill="1"/>' for k in (2, 3, 4))
+    frames = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{kinds}</Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{sheets}</sheets><calcPr calcMode="manual" fullCalcOnLoad="0"/></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships">{links}<Relationship Id="st" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="1"><font/></fonts><fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills>'
+        f'<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/>{styles}</cellXfs></styleSheet>',
+    }
+    declared = '<?xml version="1.0" encoding="UTF-8"?>'
+    with SingleFile(target) as f:
+        members = [(name, [f.text(declared + text, True)]) for name, text in frames.items()]
         for i, (name, df) in enumerate(names, 1):
-            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as raw, io.TextIOWrapper(raw, "utf-8") as f:
-                f.write('<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
-                f.write('<row r="1">' + "".join(_cell(c, _letters(k + 1), 1, _style_of(c, k) if styled else 0) for k, c in enumerate(df.columns)) + "</row>")
-                for n, row in enumerate(df.toLocalIterator(), 2):
-                    if n > MAX_SHEET_ROWS:
-                        raise ValueError(f"{name} has more rows than a sheet holds")
-                    f.write(f'<row r="{n}">' + "".join(_cell(v, _letters(k + 1), n) for k, v in enumerate(row)) + "</row>")
-                f.write("</sheetData></worksheet>")
-
-
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
-
-
-def _cell(value, letters: str, row: int, style: int = 0) -> str:
-    if value is None:
-        return ""
-    s = f' s="{style}"' if style else ""
-    if isinstance(value, bool):
-        return f'<c r="{letters}{row}" t="b"{s}><v>{int(value)}</v></c>'
-    if isinstance(value, int | float) and value == value and abs(value) != float("inf"):
-        return f'<c r="{letters}{row}"{s}><v>{value!r}</v></c>'
-    text = value.replace(tzinfo=None).isoformat(" ") if hasattr(value, "tzinfo") else str(value)
-    return f'<c r="{letters}{row}" t="inlineStr"{s}><is><t xml:space="preserve">{escape(_CONTROL.sub("", text))}</t></is></c>'
+            head = "<row>" + "".join(cell(c, _style_of(c, k) if styled else 0) for k, c in enumerate(df.columns)) + "</row>"
+            rows = f.parts(df, "sheet", True)
+            if 1 + sum(p.rows for p in rows) > MAX_SHEET_ROWS:
+                raise ValueError(f"{name} has more rows than a sheet holds")
+            members.append((f"xl/worksheets/sheet{i}.xml", [f.text(f'{declared}<worksheet xmlns="{main}"><sheetData>{head}', True), *rows, f.text("</sheetData></worksheet>", True)]))
+        f.zipped(members)
 
 
 register("xlsx")(to_workbook)
@@ -234,22 +208,22 @@ def zip_folder(folder: str) -> str:
         return shutil.move(made, f"{folder}.zip")
 
 
+def _insert(table: str, df: DataFrame, batch: int) -> dict:
+    return {"table": table, "columns": ", ".join(f'"{c}"' for c in df.columns), "batch": batch}
+
+
 def insert_statements(table: str, df: DataFrame, batch: int = 500) -> str:
-    """INSERT statements for a (small) lookup table."""
-
-    def printed(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).upper()
-        return str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
-
-    columns, out, rows = ", ".join(f'"{c}"' for c in df.columns), [], []
-    for row in df.toLocalIterator():
-        rows.append("(" + ", ".join(map(printed, row)) + ")")
-        if len(rows) == batch:
-            out.append(f"INSERT INTO {table} ({columns}) VALUES\n" + ",\n".join(rows) + ";")
-            rows = []
-    if rows:
-        out.append(f"INSERT INTO {table} ({columns}) VALUES\n" + ",\n".join(rows) + ";")
-    return "\n".join(out)
+    """INSERT statements of a small lookup table as one text."""
+    return "".join(text for text, _ in insert_texts(df.toLocalIterator(), _insert(table, df, batch))).rstrip("\n")
+
+
+def to_insert_script(target: str, table: str, df: DataFrame, batch: int = 500) -> None:
+    """A script of INSERT statements; tasks write its parts."""
+    with SingleFile(target) as f:
+        f.joined(f.parts(_ordered(df), "insert", False, **_insert(table, df, batch)))
+
+
+@register("sql")
+def to_insert_scripts(target: str, tables: Tables) -> None:
+    for name, df in tables.items():
+        to_insert_script(f"{local_path(target)}/{name}.sql", f'"{name}"', df)

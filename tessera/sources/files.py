@@ -159,10 +159,12 @@ class Workbook:
 
     def _row(self, row) -> dict[int, tuple[str, str]]:
         out: dict[int, tuple[str, str]] = {}
+        at = 0
         for c in row:
             value, place = _cell_of(c), _CELL.match(c.get("r", ""))
+            at = _column_number(place[1]) if place else at + 1
             if value is not None:
-                out[_column_number(place[1]) if place else len(out) + 1] = value
+                out[at] = value
         return out
 
     def rows(self, sheet: str, start: int = 0, end: int | None = None):
