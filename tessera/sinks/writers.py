@@ -8,6 +8,7 @@ import re
 import shutil
 import sqlite3
 import tempfile
+import uuid
 from collections.abc import Callable, Mapping
 from pathlib import Path
 from xml.sax.saxutils import escape
@@ -162,14 +163,77 @@ def to_sqlite(target: str, tables: Tables, batch: int = 10_000) -> None:
 
 
 def to_jdbc(tables: Tables, url: str, properties: Mapping[str, str], schema: str | None = None) -> None:
-    """Each table replaced by Spark's own parallel writer (no transaction over all of them)."""
+    """Each table replaced, with its columns, by Spark's own parallel writer; a table at a time."""
     for name, df in tables.items():
         df.write.jdbc(url, f"{schema}.{name}" if schema else name, mode="overwrite", properties=dict(properties))
 
 
+#: table of a database that tells how far a run has come
+JOURNAL = "tessera_journal"
+
+
+def _connected(spark: SparkSession, url: str, properties: Mapping[str, str]):
+    login = spark._jvm.java.util.Properties()
+    for k, v in properties.items():
+        login.setProperty(k, v)
+    if "driver" in properties:
+        spark._jvm.java.lang.Class.forName(properties["driver"], True, spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    return spark._jvm.java.sql.DriverManager.getConnection(url, login)
+
+
+def _state(spark: SparkSession, url: str, properties: Mapping[str, str], run: str) -> str | None:
+    held = spark.read.jdbc(url, JOURNAL, properties=dict(properties))
+    found = held.where(F.col("run") == run).select("state").collect()
+    return found[0]["state"] if found else None
+
+
+def to_jdbc_together(tables: Tables, url: str, properties: Mapping[str, str], run: str, schema: str | None = None) -> None:
+    """The rows of all tables replaced, or of none. `run` names the attempt: the same one again goes on where it stopped.
+
+    Executors fill a staging table beside each table, which may fail or be repeated at any point. Then one transaction on the driver
+    empties the tables and fills them from their staging tables within the database, so that keys, grants and indexes stay; the
+    journal's state changes in it too. Tables that do not exist are made first; those that do must have the columns."""
+    if not tables:
+        return
+    spark, properties = next(iter(tables.values())).sparkSession, dict(properties)
+    named = lambda n: f'{schema}."{n}"' if schema else f'"{n}"'
+    spark.createDataFrame([], "run string, state string").write.option("createTableColumnTypes", "run VARCHAR(200), state VARCHAR(20)").jdbc(url, JOURNAL, mode="append", properties=properties)
+    state = _state(spark, url, properties, run)
+    if state == "done":
+        return
+    stages = {name: f"{name}_stage" for name in tables}
+    if state != "staged":
+        for name, df in tables.items():
+            df.write.jdbc(url, named(stages[name]), mode="overwrite", properties=properties)
+            df.limit(0).write.jdbc(url, named(name), mode="append", properties=properties)
+        spark.createDataFrame([(run, "staged")], "run string, state string").coalesce(1).write.jdbc(url, JOURNAL, mode="append", properties=properties)
+    connection = _connected(spark, url, properties)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for name in reversed(tables):  # what refers to others goes first, and comes last
+            statement.executeUpdate(f"DELETE FROM {named(name)}")
+        for name, df in tables.items():
+            columns = ", ".join(f'"{c}"' for c in df.columns)
+            statement.executeUpdate(f"INSERT INTO {named(name)} ({columns}) SELECT {columns} FROM {named(stages[name])}")
+        done = connection.prepareStatement(f'UPDATE {JOURNAL} SET "state" = ? WHERE "run" = ?')
+        done.setString(1, "done")
+        done.setString(2, run)
+        done.executeUpdate()
+        connection.commit()
+        for stage in stages.values():
+            statement.executeUpdate(f"DROP TABLE {named(stage)}")
+        connection.commit()
+    except BaseException:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
 @register("db")
 def to_database(target: str, tables: Tables) -> None:
-    to_jdbc(tables, target, {}) if target.startswith("jdbc:") else to_sqlite(target, tables)
+    to_jdbc_together(tables, target, {}, uuid.uuid4().hex) if target.startswith("jdbc:") else to_sqlite(target, tables)
 
 
 def table_shapes(spark: SparkSession, tables: Tables) -> DataFrame:

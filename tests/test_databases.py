@@ -113,3 +113,62 @@ def test_pages_and_tables_over_jdbc(spark, server):
 def test_range_tests():
     assert relational.range_tests("k", []) == ["1 = 1"]
     assert relational.range_tests("k", [3, 9]) == ["(k <= 3 OR k IS NULL)", "k > 3 AND k <= 9", "k > 9"]
+
+
+def execute(spark, *statements):
+    from tessera.sinks.writers import _connected
+
+    c = _connected(spark, DERBY["url"], {"driver": DERBY["driver_class"]})
+    for s in statements:
+        c.createStatement().executeUpdate(s)
+    c.close()
+
+
+def stored(spark, name):
+    return sorted(tuple(r) for r in spark.read.jdbc(DERBY["url"], f'"{name}"', properties={"driver": DERBY["driver_class"]}).collect())
+
+
+def test_all_tables_or_none(spark, server):
+    from tessera.sinks.writers import to_jdbc_together
+
+    login = {"driver": DERBY["driver_class"]}
+    put = lambda run, **tables: to_jdbc_together(tables, DERBY["url"], login, run)
+    site, sample = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string"), spark.range(6).selectExpr("id", "cast(id % 2 + 1 AS int) AS site_id").repartition(3)
+    execute(spark, 'CREATE TABLE "site" ("id" INT PRIMARY KEY, "s" VARCHAR(9))', 'CREATE TABLE "sample" ("id" BIGINT, "site_id" INT REFERENCES "site" ("id"))')
+    put("one", site=site, sample=sample)
+    assert stored(spark, "site") == [(1, "a"), (2, "b")]
+    assert stored(spark, "sample") == [(i, i % 2 + 1) for i in range(6)]
+    put("one", site=site.limit(0), sample=sample.limit(0))  # that run is done
+    assert len(stored(spark, "sample")) == 6
+    orphans = sample.selectExpr("id", "site_id + 7 AS site_id")
+    with pytest.raises(Exception, match="foreign key|FOREIGN KEY|constraint"):
+        put("two", site=site.selectExpr("id", "'new' AS s"), sample=orphans)
+    assert stored(spark, "site") == [(1, "a"), (2, "b")]  # the first table too is as it was
+    assert len(stored(spark, "sample")) == 6
+    broken = site.selectExpr("id", "CASE WHEN id = 2 THEN raise_error('lost executor') ELSE s END AS s")
+    with pytest.raises(Exception, match="lost executor"):
+        put("three", site=site, sample=sample, fresh=broken)
+    assert len(stored(spark, "sample")) == 6
+    put("three", site=site.selectExpr("id + 2 AS id", "s"), sample=sample.selectExpr("id", "site_id + 2 AS site_id"), fresh=site)
+    assert stored(spark, "site") == [(3, "a"), (4, "b")]
+    assert stored(spark, "fresh") == [(1, "a"), (2, "b")]
+    names = {t.lower() for t in relational.jdbc_tables(spark, "jdbc", DERBY, "APP")}
+    assert not any(n in names for n in ("site_stage", "fresh_stage"))
+
+
+def test_a_staged_run_goes_on(spark, server):
+    """Stopped between staging and the transaction: the next start needs no executor, and takes what was staged."""
+    from tessera.sinks import writers
+
+    login, df = {"driver": DERBY["driver_class"]}, spark.range(3).selectExpr("id")
+    real = writers._connected
+    try:
+        writers._connected = lambda *a: (_ for _ in ()).throw(KeyboardInterrupt())
+        with pytest.raises(KeyboardInterrupt):
+            writers.to_jdbc_together({"later": df}, DERBY["url"], login, "run")
+    finally:
+        writers._connected = real
+    assert stored(spark, "later") == []
+    assert len(stored(spark, "later_stage")) == 3
+    writers.to_jdbc_together({"later": df.where("false")}, DERBY["url"], login, "run")
+    assert stored(spark, "later") == [(0,), (1,), (2,)]
