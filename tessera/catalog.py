@@ -5,12 +5,13 @@ Each query runs an operator over whole tables. Oracles spell the same result in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config.project import ForeignKey, Project, Unnest
+from .config.project import Entity, ForeignKey, Project, Unnest
 from .functions import geo
 from .functions.predicate import compile_predicate
 from .functions.replace import apply_replacements, replaced_counts, unmatched
@@ -21,13 +22,16 @@ from .operators.filters import apply_filters
 from .operators.identity import add_system_id
 from .operators.link import Remote, link, map_to_remote
 from .operators.reshape import unnest
-from .operators.shared import fixed
+from .operators.shared import fixed, shared_folder
 from .operators.subset import drop_duplicates, drop_empty_rows, fd_violations, select_columns, translate_columns
 from .plans.pipeline import duplicate_keys, normalize
 from .quality.validators import orphans, validate
 from .recon import reconcile
 from .service import analysis
-from .sinks.writers import table_shapes
+from .sinks.writers import table_shapes, write
+from .sources.files import read_workbook
+from .sources.relational import read_sqlite
+from .streaming import stateful
 from .streaming.steps import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -713,6 +717,70 @@ def event_windows(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"])
 
 
+@query("SELECT event_id, ts, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) = 1")
+def stream_first_rows(spark, sf_dir):
+    """Each user's first event of a type; a stream gives the same rows once its watermark has passed them."""
+    return stateful.keep_first(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), ["user_id", "event_type"], "ts")
+
+
+@query(
+    "SELECT event_id, ts, user_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts) AS value, last_value(p IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts) AS props"
+    " FROM (SELECT *, CASE WHEN event_id % 3 <> 0 THEN value END AS v, CASE WHEN event_type = 'click' THEN props END AS p FROM events)"
+)
+def stream_forward_fill(spark, sf_dir):
+    """Gaps of two columns filled from the user's events before, as a stream does it."""
+    gaps = {"value": F.when(F.col("event_id") % 3 != 0, F.col("value")), "props": F.when(F.col("event_type") == "click", F.col("props"))}
+    df = table(spark, sf_dir, "events").withColumns(gaps).select("event_id", "ts", "user_id", "value", "props")
+    return stateful.forward_fill(df, ["user_id"], ["value", "props"], "ts")
+
+
+@query(
+    "WITH a AS (SELECT o_custkey AS k, row_number() OVER (ORDER BY o_custkey) AS system_id FROM (SELECT DISTINCT o_custkey FROM orders)),"
+    " b AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) + (SELECT count(*) FROM a) AS system_id FROM customer WHERE c_custkey NOT IN (SELECT k FROM a))"
+    " SELECT c_custkey AS k, coalesce(a.system_id, b.system_id) AS system_id FROM customer LEFT JOIN a ON a.k = c_custkey LEFT JOIN b ON b.k = c_custkey"
+)
+def ledger_ids(spark, sf_dir):
+    """Ids given to the customers of orders in one batch, kept in the next, where the other customers get the numbers after them."""
+    ledger = f"{shared_folder(spark)}/tessera-ledger-{uuid.uuid4().hex}"
+    stateful.with_ids(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("k")), 0, ["k"], ledger)
+    return stateful.with_ids(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k")), 1, ["k"], ledger)
+
+
+def _mounted(spark: SparkSession, name: str) -> str:
+    """A new file in the shared folder, which must be mounted: a workbook or database file has a path."""
+    folder = shared_folder(spark).removeprefix("file://")
+    if "://" in folder:
+        raise ValueError(f"{folder} is no mounted folder")
+    return f"{folder}/{uuid.uuid4().hex}-{name}"
+
+
+@query(
+    "SELECT p_brand AS brand, p_type AS kind, count(*) AS n, min(p_size) AS least, max(p_retailprice) AS dearest, bool_or(p_size > 45) AS large, CASE WHEN count(*) % 3 > 0 THEN p_brand || ' & ' || p_type END AS note"
+    " FROM part GROUP BY p_brand, p_type"
+)
+def workbook_round_trip(spark, sf_dir):
+    """Figures of all parts, written to a workbook by tasks and read from it by tasks; types come from the cells."""
+    note = F.when(F.count(F.lit(1)) % 3 > 0, F.concat_ws(" & ", F.col("p_brand"), F.col("p_type")))
+    figures = [F.count(F.lit(1)).alias("n"), F.min("p_size").alias("least"), F.max("p_retailprice").alias("dearest"), F.bool_or(F.col("p_size") > 45).alias("large"), note.alias("note")]
+    made = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")).agg(*figures)
+    path = _mounted(spark, "parts.xlsx")
+    write("xlsx", path, {"parts": made})
+    return read_workbook(spark, Entity.of("parts", {"type": "xlsx", "source": "parts"}), {"filename": path})
+
+
+@query(
+    "SELECT CAST(o_orderdate AS DATE)::VARCHAR AS day, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1 HAVING count(*) > 1"
+)
+def sqlite_round_trip(spark, sf_dir):
+    """Figures of all orders by day, written to a database and read by a query that is cut at its key into equal parts."""
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents")
+    made = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), cents)
+    path = _mounted(spark, "orders.db")
+    write("db", path, {"days": made})
+    entity = Entity.of("days", {"type": "sqlite", "query": "SELECT day, n, cents FROM days WHERE n > 1", "keys": ["day"], "columns": ["n", "cents"]})
+    return read_sqlite(spark, entity, {"filename": path, "numPartitions": 4})
+
+
 @query("SELECT DISTINCT value FROM (SELECT c_mktsegment AS value FROM customer UNION ALL SELECT o_orderpriority FROM orders)")
 def union_distinct(spark, sf_dir):
     """append_mode: distinct of an entity."""
