@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back, column by column where few are asked for.
 
-    A lost executor then costs a reread, not a recomputation. The files go when the driver ends.
+    A lost executor then costs a reread, not a recomputation. The files go with the `scratch` around, else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
@@ -39,7 +41,40 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside go at its end, when nothing reads them any more, but for those handed to the function it gives.
+
+    What is lazy must be written before: `with scratch() as kept: out = kept(written(work(df)))`. After an error all of them go."""
+    first, keep = len(_written), set()
+
+    def kept(df: DataFrame) -> DataFrame:
+        keep.add(df._written_at)
+        return df
+
+    try:
+        yield kept
+    except BaseException:
+        keep.clear()
+        raise
+    finally:
+        for spark, path in _written[first:]:
+            if path not in keep:
+                removed(spark, path)
+        _written[first:] = [(s, p) for s, p in _written[first:] if p in keep]
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more; other frames are left alone."""
+    path = vars(df).get("_written_at")
+    if path:
+        removed(df.sparkSession, path)
+        _written[:] = [(s, p) for s, p in _written if p != path]
 
 
 def removed(spark: SparkSession, path: str) -> None:

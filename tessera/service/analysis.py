@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..config.project import Entity, Project, ProjectError, closure, cycles, depths, order_of
 from ..operators.link import Remote, join_stats
-from ..operators.shared import quoted
+from ..operators.shared import quoted, scratch
 from ..plans.pipeline import Result, normalize
 from ..quality.specifications import can_materialize
 from ..sources.relational import TableInfo
@@ -145,11 +145,12 @@ class Previews:
         known = {n: df for n, address in at.items() if n not in (given or {}) and (df := self.kept.get(address)) is not None}
         missing = [n for n in names if n not in known and n not in (given or {})]
         if missing:
-            result = normalize(self.spark, project, missing, {**known, **(given or {})}, constraints="warn", folder=self.project_folder)
-            for n, df in result.tables.items():
-                if n in at and n not in known and n not in (given or {}):
-                    self.built.append(n)
-                    known[n] = self.kept.put(at[n], df)
+            with scratch():  # what the run wrote on the way is in the snapshots then
+                result = normalize(self.spark, project, missing, {**known, **(given or {})}, constraints="warn", folder=self.project_folder)
+                for n, df in result.tables.items():
+                    if n in at and n not in known and n not in (given or {}):
+                        self.built.append(n)
+                        known[n] = self.kept.put(at[n], df)
         self.kept.sweep({at[n] for n in names})
         return {n: (given or {})[n] if n in (given or {}) else known[n] for n in names}
 

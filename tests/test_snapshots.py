@@ -124,3 +124,26 @@ def test_several_previews_from_one_run(spark, folder):
     got = previews.batch(project(folder), ["middle", "right"], 1)
     assert {n: df.count() for n, df in got.items()} == {"middle": 1, "right": 1}
     assert sorted(previews.built) == ["left", "middle", "right"]
+
+
+def test_tables_on_the_way_go(spark, folder, monkeypatch):
+    from tessera.operators import shared
+
+    monkeypatch.setattr(shared, "shared_folder", lambda s: f"file://{folder}/way")
+    previews = Previews(spark, folder=f"file://{folder}/kept")
+    given = {"raw": spark.createDataFrame([(1,), (2,)], "k int")}
+    assert rows(previews.preview(project(folder), "top", given=given)) == [(1, "a", "p"), (2, "b", "q")]
+    assert os.listdir(folder / "way") == []
+    with shared.scratch() as kept:
+        shared.written(spark.range(5))
+        out = kept(shared.written(spark.range(7)))
+        none = kept(shared.written(spark.range(0)))
+    assert (out.count(), none.count()) == (7, 0)
+    assert len(os.listdir(folder / "way")) == 2
+    shared.dropped(none)
+    shared.dropped(out.select("id"))  # no table of its own
+    assert len(os.listdir(folder / "way")) == 1
+    with pytest.raises(RuntimeError), shared.scratch() as kept:
+        kept(shared.written(spark.range(5)))
+        raise RuntimeError
+    assert len(os.listdir(folder / "way")) == 1
