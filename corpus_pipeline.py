@@ -60,5 +60,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with common.scratch() as kept:  # what a stage writes on its way goes once its result is written
+            docs = kept(common.materialize(stage(spark, before, sf_dir), name))
+        common.dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

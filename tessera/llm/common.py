@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.shared import shared_folder, written
+from ..operators.shared import dropped, scratch, shared_folder, written
 
-__all__ = ["fresh", "materialize", "mix64", "shared_folder", "slices", "text_of", "utf8"]
+__all__ = ["dropped", "fresh", "materialize", "mix64", "scratch", "shared_folder", "slices", "text_of", "utf8"]
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:

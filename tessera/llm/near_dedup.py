@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, mix64, slices, text_of, utf8
+from .common import fresh, materialize, mix64, scratch, slices, text_of, utf8
 from .components import components
 from .shingles import shared, shingle_sets
 
@@ -328,8 +328,8 @@ def cross_links(keys: DataFrame, roots: DataFrame, signed: DataFrame, texts: Dat
     return near.union(further).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (least id linked with it), kept."""
+def linked_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the signatures of all rows, and (node, root) of all that are linked."""
     m = bands_for(percent / 100, miss)
     signed = materialize(signatures(docs, id_col, text_col, width, m), "signatures")
     shards = max(1, -(-signed.count() * m * m // SHARD_ENTRIES))
@@ -355,6 +355,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             tied = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
             roots = materialize(components(tied.union(more)), "roots")
+    return signed, roots
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (least id linked with it), kept."""
+    with scratch() as kept:
+        signed, roots = map(kept, linked_rows(docs, id_col, text_col, width, percent, miss))
     out = signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

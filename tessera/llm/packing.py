@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_of
+from .common import dropped, materialize, slices, text_of
 from .tokens import chunk_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -232,12 +232,13 @@ def place(pieces: DataFrame, capacity: int, per_group: int = 1_000_000) -> DataF
             taken = materialize(taken, "superstep")
             here = taken.where("sequence_id is not null")
             placed.append(here.withColumn("step", F.lit(len(placed))))
-            used = here.select("sequence_id", (-F.col("length")).alias("room"))
+            used, before = here.select("sequence_id", (-F.col("length")).alias("room")), gaps
             if found is None:
                 gaps = gaps.unionByName(used.groupBy("sequence_id").agg((F.lit(capacity) + F.sum("room")).alias("room")))
             else:
                 gaps = gaps.unionByName(used).groupBy("sequence_id").agg(F.sum("room").alias("room"))
             gaps = materialize(gaps.where("room > 0"), "gaps")
+            dropped(before)
             rooms = _counts(gaps, "room")
             documents = taken.where("sequence_id is null").drop("sequence_id")
     together = placed[0]

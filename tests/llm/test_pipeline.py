@@ -147,3 +147,15 @@ def test_cut_characters_go_as_a_whole(spark):
     rows = [(1, "ü" * 150), (2, "é" * 49 + "ü" * 120)]
     out = suffix_dedup.documents_without_repeats(made(spark, rows)).collect()
     assert {r.doc_id: r.text for r in out} == dict(without_repeats(rows))
+
+
+def test_tables_of_the_stages_go(spark, rows, folder, tmp_path, monkeypatch):
+    """After a run only the last stage's tables and its input are there; the rows can still be read."""
+    from tessera.operators import shared
+
+    monkeypatch.setattr(shared, "shared_folder", lambda s: f"file://{tmp_path}/way")
+    out = corpus_pipeline.run(spark, folder)
+    left = {p.name.split("-")[1] for p in (tmp_path / "way").iterdir()}
+    assert left <= {"suffix_dedup", "pieces", "superstep", "gaps"}
+    *_, kept = brute_stages(rows)
+    held_against_brute_force(out.collect(), kept)
