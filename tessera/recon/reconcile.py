@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from urllib import request
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
-from ..operators.shared import quoted
+from ..operators.shared import fixed, quoted, shared_folder
+from .calls import Ledger, post
 
 ACCEPT, REVIEW = 0.95, 0.70
 CANDIDATES = "query string, id string, name string, score double"
@@ -65,8 +67,18 @@ def local_scores(asked: DataFrame, targets: DataFrame, id_col: str, name_col: st
     return ranked.where(F.col("_r") <= top).drop("_r")
 
 
-def http_scores(asked: DataFrame, url: str, kind: str | None = None, batch: int = 50, timeout: float = 30) -> DataFrame:
-    """Candidates of an OpenRefine-style service, asked by the executors in batches."""
+def http_scores(
+    asked: DataFrame, url: str, kind: str | None = None, batch: int = 50, timeout: float = 30, ledger: str | None = None, in_flight: int = 8, attempts: int = 6, pause: float = 0.5
+) -> DataFrame:
+    """Candidates of an OpenRefine-style service, asked by the executors in batches, `in_flight` calls at a time.
+
+    Queries are settled and dealt first, so that a repeated or speculative task, or another action on the result, has the same batches and
+    finds their answers in the ledger; a ledger that is named serves later runs too. It must be a folder that all tasks have mounted."""
+    spark = asked.sparkSession
+    folder = (ledger or f"{shared_folder(spark)}/tessera-calls-{uuid.uuid4().hex}").removeprefix("file://")
+    if "://" in folder:
+        raise ValueError(f"{folder} is no mounted folder; name one as the ledger")
+    book = Ledger(folder, in_flight=in_flight, lease=2 * (timeout + pause * 2**attempts) * attempts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -74,14 +86,13 @@ def http_scores(asked: DataFrame, url: str, kind: str | None = None, batch: int
                 part = frame.iloc[start : start + batch]
                 body = {}
                 for i, (q, props) in enumerate(zip(part["query"], part["properties"], strict=True)):
-                    body[f"q{i}"] = {"query": q, **({"type": kind} if kind else {}), "properties": [{"pid": k, "v": v} for k, v in dict(props or {}).items() if v]}
+                    body[f"q{i}"] = {"query": q, **({"type": kind} if kind else {}), "properties": [{"pid": k, "v": v} for k, v in sorted(dict(props or {}).items()) if v]}
                 data = ("queries=" + request.quote(json.dumps(body))).encode()
-                with request.urlopen(request.Request(url, data), timeout=timeout) as answer:  # noqa: S310  the caller's own service
-                    found = json.load(answer)
+                found = book.once([url, body], lambda data=data: post(url, data, timeout, attempts, pause))
                 rows = [(q, str(c["id"]), c.get("name"), float(c.get("score", 0))) for i, q in enumerate(part["query"]) for c in found.get(f"q{i}", {}).get("result", [])]
                 yield pd.DataFrame(rows, columns=["query", "id", "name", "score"])
 
-    return asked.mapInPandas(run, CANDIDATES)
+    return fixed(asked.select("query", "properties").sortWithinPartitions("query")).mapInPandas(run, CANDIDATES)
 
 
 def classify(asked: DataFrame, candidates: DataFrame, accept: float = ACCEPT, review: float = REVIEW) -> DataFrame:
