@@ -254,10 +254,20 @@ def sql_columns(project: Project, e: Entity) -> list[str]:
     return out
 
 
+def frozen_state(e: Entity) -> dict | None:
+    """The configuration that a materialized entity had before, under its own key or among its `materialized` fields."""
+    return e.raw.get("source_state") or (e.raw.get("materialized") or {}).get("source_state")
+
+
 @register
 def materialized(project: Project, e: Entity) -> list[str]:
-    state = e.raw.get("source_state")
-    return ["a materialized entity is of type fixed or parquet"] if state and e.type not in ("fixed", "parquet", "csv") else []
+    said = e.raw.get("materialized") or {}
+    if not said.get("enabled"):
+        return ["a materialized entity is of type fixed or parquet"] if frozen_state(e) and e.type not in ("fixed", "parquet", "csv") else []
+    out = [] if e.type == "fixed" else [f"a materialized entity is of type fixed, not {e.type}"]
+    out += [] if e.raw.get("values") else ["a materialized entity has its values, or a file of them"]
+    out += [] if frozen_state(e) else ["a materialized entity keeps its former configuration in materialized.source_state"]
+    return out + ([] if said.get("materialized_at") else ["MATERIALIZED_AT_MISSING: a materialized entity should tell when it was frozen"])
 
 
 def can_materialize(project: Project, name: str) -> list[str]:
@@ -265,7 +275,7 @@ def can_materialize(project: Project, name: str) -> list[str]:
     e = project.entities.get(name)
     if e is None:
         return [f"no entity {name}"]
-    out = ["it is materialized already"] if e.raw.get("source_state") else []
+    out = ["it is materialized already"] if frozen_state(e) else []
     return [*out, "fixed values need no materializing"] if e.type == "fixed" and not out else out
 
 
@@ -288,7 +298,9 @@ def check_project(project: Project, kind: str | None = None) -> list[Issue]:
     for name, e in project.entities.items():
         for code, check in CHECKS.items():
             try:
-                out += [Issue(m.split(":")[0] if m.startswith("SYSTEM_ID_") else code.upper(), name, m) for m in check(project, e)]
+                for m in check(project, e):
+                    own = m.split(":")[0] if m.startswith(("SYSTEM_ID_", "MATERIALIZED_AT_")) else code.upper()
+                    out.append(Issue(own, name, m, "warning" if own == "MATERIALIZED_AT_MISSING" else "error"))
             except ProjectError as x:
                 out.append(Issue(code.upper(), name, str(x)))
     return out

@@ -152,16 +152,86 @@ def validate(project: Project, tables: Mapping[str, DataFrame], strategy: str =
     return found
 
 
+@dataclass(frozen=True)
+class Suggestion:
+    """How an issue may be mended. change: from an entity's configuration to the mended one; none where a person must decide."""
+
+    issue: Issue
+    text: str
+    change: Callable[[dict], dict] | None = None
+
+    @property
+    def automatic(self) -> bool:
+        return self.change is not None
+
+
+#: code of an issue (or its beginning) -> (entity, issue) -> suggestion; new ones can be added
+FIXES: dict[str, Callable[[Entity, Issue], Suggestion]] = {}
+
+
+def fix(*codes: str):
+    def add(f):
+        FIXES.update(dict.fromkeys(codes, f))
+        return f
+
+    return add
+
+
+@fix("COLUMN_NOT_FOUND")
+def remove_column(entity: Entity, i: Issue) -> Suggestion:
+    left = {"columns": [c for c in entity.columns if c != i.column], "keys": [c for c in entity.keys if c != i.column]}
+    return Suggestion(i, f"remove {i.column} from {entity.name}", lambda raw: {**raw, **left})
+
+
+@fix("FK_LOCAL_COLUMN_MISSING")
+def add_column(entity: Entity, i: Issue) -> Suggestion:
+    return Suggestion(i, f"add {i.column} to the columns of {entity.name}", lambda raw: {**raw, "columns": list(dict.fromkeys([*(raw.get("columns") or []), i.column]))})
+
+
+@fix("NON_UNIQUE_KEYS")
+def make_distinct(entity: Entity, i: Issue) -> Suggestion:
+    return Suggestion(i, f"keep the first row of each key of {entity.name}", lambda raw: {**raw, "drop_duplicates": list(entity.keys)})
+
+
+@fix("SYSTEM_ID_")
+def number_values(entity: Entity, i: Issue) -> Suggestion:
+    if entity.type != "fixed" or entity.system_id not in entity.columns:
+        return Suggestion(i, f"mend the ids of {entity.name} where they come from")
+    at = list(entity.columns).index(entity.system_id)
+    rows = [[*r[:at], n, *r[at + 1 :]] for n, r in enumerate(entity.values, 1)]
+    return Suggestion(i, f"number the values of {entity.name}", lambda raw: {**raw, "values": rows})
+
+
+@fix("EXTRA_COLUMN_UNRESOLVED", "VALUE_REFERENCE", "FK_TYPE_MISMATCH", "FK_DATA_INTEGRITY")
+def by_hand(entity: Entity, i: Issue) -> Suggestion:
+    return Suggestion(i, f"look at {i.column or entity.name}: what it refers to must be named, typed or given otherwise")
+
+
+def suggest_fixes(project: Project, issues: list[Issue]) -> list[Suggestion]:
+    """A suggestion for each issue that a strategy knows."""
+    out = []
+    for i in issues:
+        strategy = next((f for code, f in FIXES.items() if i.code == code or code.endswith("_") and i.code.startswith(code)), None)
+        if strategy and i.entity in project.entities:
+            out.append(strategy(project.entities[i.entity], i))
+    return out
+
+
 def apply_fixes(project: Project, issues: list[Issue]) -> Project:
-    """Fixes that need no thought: columns that do not exist go, repeated keys are made distinct."""
+    """The project with all automatic suggestions followed, one after the other."""
     for i in issues:
-        entity = project.entities[i.entity]
-        if i.code == "COLUMN_NOT_FOUND":
-            project = project.with_entity(i.entity, {**entity.raw, "columns": [c for c in entity.columns if c != i.column], "keys": [c for c in entity.keys if c != i.column]})
-        elif i.code == "NON_UNIQUE_KEYS":
-            project = project.with_entity(i.entity, {**entity.raw, "drop_duplicates": list(entity.keys)})
-        elif i.code.startswith("SYSTEM_ID_") and entity.type == "fixed" and entity.system_id in entity.columns:
-            at = list(entity.columns).index(entity.system_id)
-            rows = [[*r[:at], n, *r[at + 1 :]] for n, r in enumerate(entity.values, 1)]
-            project = project.with_entity(i.entity, {**entity.raw, "values": rows})
+        for s in suggest_fixes(project, [i]):
+            if s.change:
+                project = project.with_entity(i.entity, s.change(dict(project.entities[i.entity].raw)))
     return project
+
+
+def preview_fixes(project: Project, issues: list[Issue]) -> list[dict]:
+    """What each suggestion would change: entity, text, automatic, and the fields before and after."""
+    out = []
+    for s in suggest_fixes(project, issues):
+        raw = dict(project.entities[s.issue.entity].raw)
+        new = s.change(raw) if s.change else raw
+        changed = {k: {"before": raw.get(k), "after": v} for k, v in new.items() if raw.get(k) != v}
+        out.append({"code": s.issue.code, "entity": s.issue.entity, "text": s.text, "automatic": s.automatic, "changes": changed})
+    return out

@@ -19,7 +19,7 @@ from ..config.project import Entity, Project, ProjectError, closure, cycles, dep
 from ..operators.link import Remote, join_stats
 from ..operators.shared import quoted, scratch
 from ..plans.pipeline import Result, normalize
-from ..quality.specifications import can_materialize
+from ..quality.specifications import can_materialize, frozen_state
 from ..sources.relational import TableInfo
 from .snapshots import Snapshots, addresses
 
@@ -328,13 +328,13 @@ def materialize_entity(project: Project, name: str, df: DataFrame, path: str, fo
 
 def unmaterialize_entity(project: Project, name: str, cascade: bool = False) -> Project:
     """Back to the former configuration; cascade: also frozen entities that this one needs."""
-    state = project.entities[name].raw.get("source_state")
+    state = frozen_state(project.entities[name])
     if not state:
         raise ProjectError(f"{name} is not materialized")
     project = project.with_entity(name, state)
     if cascade:
         for d in sorted(project.dependencies(name, deferred=True)):
-            if project.entities[d].raw.get("source_state"):
+            if frozen_state(project.entities[d]):
                 project = unmaterialize_entity(project, d, True)
     return project
 
