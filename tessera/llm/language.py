@@ -8,7 +8,7 @@ weighted by their bytes. Whole texts are read.
 
 The network learns from documents that are not held out and have a language, text and nothing else: at most `max_labelled` of them (a
 documented bound, by default 8,000, in equal parts for the languages, chosen by a hash of id and text, so that the same table gives the
-same sample) and `WINDOWS_EACH` windows of each, spread over its length. Only these windows reach the driver, where the network is
+same sample; of the 200 most frequent languages, should a table have more) and `WINDOWS_EACH` windows of each, spread over its length. Only these windows reach the driver, where the network is
 fitted by Adam from a fixed start. Adding documents changes which are chosen, not how many.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is every text where no document teaches a language. A
@@ -145,18 +145,19 @@ def has_letter(text: Column) -> Column:
     return text.rlike(r"\p{L}")
 
 
-def labelled_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_labelled: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, the number of each one's language, and the languages: of at most `max_labelled` documents that are not held out."""
-    own = docs.select(
-        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g")
-    ).where(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-    counts = {r["g"]: r["n"] for r in docs.where(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
+def labelled_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_labelled: int, max_languages: int = 200) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows, the number of each one's language, and the languages: of at most `max_labelled` documents that are not held out, in
+    the `max_languages` most frequent languages."""
+    taught = docs.where(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    taught = taught.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g"))
+    most = taught.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "g").limit(max_languages)
+    counts = {r["g"]: r["n"] for r in most.collect()}
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     each = max(1, max_labelled // len(counts))
     # a share of the hashes for each language that holds what is wanted of it and some more
     share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, 1.2 * each / n + 20 / n))])
-    chosen = own.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share[F.col("g")])
+    chosen = taught.where(((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share[F.col("g")]) & has_letter(F.col("t")))
     data, size = F.col("t").cast("binary"), F.octet_length("t")
     parts = F.transform(
         F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)), lambda k: F.floor(F.greatest(size - WINDOW, F.lit(0)) * k / max(WINDOWS_EACH - 1, 1)).cast("int"))),

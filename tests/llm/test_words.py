@@ -209,6 +209,10 @@ def test_the_sample_is_bounded(spark):
     assert languages == ["xa", "xb"]
     assert len(windows) == len(wanted) <= 200 * language.WINDOWS_EACH
     assert min(np.bincount(wanted)) >= 100
+    few = spark.createDataFrame([(k, "text of it", f"l{k % 40}") for k in range(400)], "g long, t string, h string")  # names from inside
+    windows, _, languages = language.labelled_windows(few, "g", "t", "h", 50, max_languages=5)
+    assert len(languages) == 5
+    assert 5 <= len(windows) <= 50
 
 
 def test_no_language_is_taught(spark, empty):
