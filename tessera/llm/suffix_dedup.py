@@ -19,7 +19,7 @@ document) goes. Not all suffixes need sorting to find those strings:
    to the left match too. Common prefixes of neighbours in both orders make these classes; of each
    class all but the earliest window are repeated. Their spans go back to the documents.
 
-Nothing is decided by a hash: hashes only choose what is sorted.
+Hashes only choose what is sorted, and order rows that share an id; whether strings are equal is decided by their bytes.
 
 Defined results: null text is empty; a null id comes before all others; rows that share an id are ordered by a
 hash of their text, and rows with the same id and text are one document (each gets its result); texts shorter

@@ -188,8 +188,8 @@ def test_components(spark):
     assert got == {**{i: 1 for i in [*range(1, 41), 100]}, 200: 200, 201: 200}
 
 
-def repeats(corpus, length):
-    order = sorted(set(corpus), key=lambda r: (low(r[0]), r[1] or ""))
+def repeats(corpus, length, key=lambda r: (low(r[0]), r[1] or "")):
+    order = sorted(set(corpus), key=key)
     seen, out = set(), {}
     for i, t in order:
         b = (t or "").encode()
@@ -217,6 +217,21 @@ def test_suffixes(spark, corpus, empty, monkeypatch, shard_chars, items):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffixes_of_rows_that_share_an_id(spark, corpus):
+    """The tie rule: rows of one id, and of none, come in the order of their texts' hashes."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(17)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) for _ in range(n))
+    parts = [words(30) for _ in range(4)]
+    rows = [(i, f"{words(5)} {rng.choice(parts)} {words(4)} {rng.choice(parts)}") for i in [13] * 12 + [None] * 12 + [14, 12, 13, None]]
+    docs = made(spark, rows)
+    tie = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    got = Counter(map(tuple, suffix_dedup.remove_repeats(docs.repartition(4), digests_only=True).collect()))
+    assert got == repeats(rows, 100, lambda r: (low(r[0]), tie[r]))
+    assert sum(r[2] > 0 for r in got) > 15
+
+
 def common_line(n):
     """Documents that all hold one line, each between texts of its own; some of them share a window around the line."""
     rng, line = random.Random(9), "a line that every document of this table holds, of 70 bytes in all, ok"
