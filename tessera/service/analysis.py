@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 import time
 from collections.abc import Mapping, Sequence
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config.project import Entity, Project, ProjectError, closure, cycles, depths, order_of
+from ..config.project import Entity, Project, ProjectError, cycles, depths, order_of
 from ..operators.link import Remote, join_stats
 from ..operators.shared import quoted, scratch
 from ..plans.pipeline import Result, normalize
