@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, language, line_dedup, near_dedup, packing, periodic_runs, quality, quotes, spelling, suffix_dedup, token_files, url_filters
 
