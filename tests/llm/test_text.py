@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tessera.llm import quality, quotes, url_filters
-from tessera.llm.queries import URL_RULES
+from tessera.llm.queries import URL_RULES, op3_url_filters
 
 from .conftest import INSIDE, made
 
@@ -97,6 +97,14 @@ def test_urls(spark, rules):
     assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
 
 
+def test_url_query_has_the_rules_of_its_contract(spark, tmp_path):
+    contract = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    urls = [*URLS, "http://net/de/8", "http://www.net/de/x", "http://example.net/de/7", "http://example.net/de/8", "http://org/es/", "http://org/de/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in op3_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {i: brute_verdict(u, contract) for i, u in enumerate(urls)}
+
+
 def test_no_urls(spark):
     assert url_filters.filter_urls(spark.createDataFrame([], "page_id long, url string"), url_filters.rules_frame(spark, URL_RULES)).count() == 0
 
