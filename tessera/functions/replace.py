@@ -229,15 +229,14 @@ def _fill_over_ranges(df: DataFrame, fills: Mapping[str, tuple[Column, bool]], o
     ranged = fixed(gaps.repartitionByRange(*by).withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()}))
     ranked = ranged.withColumn(n, F.row_number().over(Window.partitionBy(part).orderBy(*by, place)))
     ends, carry, filled = [], [], {}
+    so_far, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     for name, (_, forward) in fills.items():
         value, end = inner[name]
-        so_far, before, found = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), F.last
-        if not forward:
-            so_far, before, found = (0, Window.unboundedFollowing), (1, Window.unboundedFollowing), F.first
+        along = F.asc if forward else F.desc  # for a frame that ends with the last row, Spark would read the rows that are left anew at each row
         at = F.when(F.col(value).isNotNull(), F.col(n))
         ends.append((F.max_by if forward else F.min_by)(value, at).alias(end))
-        carry.append(found(end, True).over(Window.orderBy(part).rowsBetween(*before)).alias(end))
-        filled[name] = F.coalesce(found(value, True).over(Window.partitionBy(part).orderBy(n).rowsBetween(*so_far)), F.col(end))
+        carry.append(F.last(end, True).over(Window.orderBy(along(part)).rowsBetween(*before)).alias(end))
+        filled[name] = F.coalesce(F.last(value, True).over(Window.partitionBy(part).orderBy(along(n)).rowsBetween(*so_far)), F.col(end))
     carried = ranked.groupBy(part).agg(*ends).select(part, *carry)  # one row per range
     return ranked.join(F.broadcast(carried), part).withColumns(filled).select(*[F.col(f"`{c}`") for c in df.columns])
 

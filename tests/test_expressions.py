@@ -244,6 +244,19 @@ def test_fills_go_by_any_key_nulls_last(spark):
     assert {r.k: r.v for r in backward.where("k is not null").collect()} == {"a": "x", "b": "x", "c": "x", "d": "z"}
 
 
+def test_backward_fills_read_each_row_once(spark):
+    """Forward and backward together, over gaps longer than a range; no frame is left open to the last row, which costs the square of a range."""
+    rows = [(i, f"v{i}" if i % 400 == 7 or i in (50, 51) else "x", f"w{i}" if i == 900 else "x") for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, v string, w string").repartition(3)
+    df = df.withColumn("f", F.col("v")).withColumn("k", F.when(F.col("k") < 995, F.col("k")))
+    back, forward = [{"blank_out": ["x"], "fill": "backward"}], [{"blank_out": ["x"], "fill": "forward"}]
+    got = replace.apply_replacements(df, {"v": back, "w": back, "f": forward}, ("k",))
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    v, w, f = ([None if r[c] == "x" else r[c] for r in rows] for c in (1, 2, 1))
+    at = {r.k: (r.v, r.w, r.f) for r in got.where("k is not null").collect()}
+    assert at == {i: (next(filter(None, v[i:]), None), next(filter(None, w[i:]), None), next(filter(None, f[i::-1]), None)) for i in range(995)}
+
+
 def test_geo(spark):
     df = spark.createDataFrame([("59.3, 18.1",), (None,)], "p string")
     out = geo.geo_split(df, "p").collect()
