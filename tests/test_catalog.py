@@ -53,3 +53,15 @@ def test_entry(spark):
 def test_filters_reach_the_scan(spark):
     plan = catalog.QUERIES["subset_projection"](spark, SF)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string>" in plan
+
+
+def test_backward_fill_by_text_over_long_gaps(spark, tmp_path):
+    """Gaps longer than a range, also among the rows without a key, and no frame left open to the last row."""
+    import duckdb
+
+    spark.range(3000).selectExpr("id AS event_id", "CASE WHEN id % 500 = 3 THEN 'view' || id WHEN id % 41 = 5 THEN NULL ELSE 'click' END AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["blank_out_backward_by_text"](spark, str(tmp_path))
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(c.sql(catalog.ORACLES["blank_out_backward_by_text"]).fetchall(), key=repr)
