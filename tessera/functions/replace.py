@@ -218,27 +218,29 @@ def _fill_over_ranges(df: DataFrame, fills: Mapping[str, tuple[Column, bool]], o
     """Fills columns (name -> value with gaps, whether forward) in row order without bringing all rows to one task: within ranges
     of the order, then across their ends.
 
-    Rows are ranked once for all columns, ascending and nulls last, whatever the keys' kinds; backward fills run the same ranks the other way.
+    Rows are sorted once for all columns, ascending and nulls last, whatever the keys' kinds, and keep their places in that order as numbers, by
+    which all else goes; backward fills run the same places the other way.
     """
     from ..operators.shared import fixed, fresh
 
-    part, place, n = (fresh(x, df.columns) for x in ("__range", "__place", "__n"))
+    part, place = (fresh(x, df.columns) for x in ("__range", "__place"))
     inner = {name: (fresh(f"__v{i}", df.columns), fresh(f"__end{i}", df.columns)) for i, name in enumerate(fills)}
     by = [F.col(f"`{c}`").asc_nulls_last() for c in order]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in fills]
     gaps = df.withColumns({inner[name][0]: value for name, (value, _) in fills.items()})
-    ranged = fixed(gaps.repartitionByRange(*by).withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()}))
-    ranked = ranged.withColumn(n, F.row_number().over(Window.partitionBy(part).orderBy(*by, place)))
+    ranged = gaps.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()})
+    placed = fixed(ranged.select(*rest, *[value for value, _ in inner.values()], part, place))
     ends, carry, filled = [], [], {}
     so_far, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     for name, (_, forward) in fills.items():
         value, end = inner[name]
         along = F.asc if forward else F.desc  # for a frame that ends with the last row, Spark would read the rows that are left anew at each row
-        at = F.when(F.col(value).isNotNull(), F.col(n))
+        at = F.when(F.col(value).isNotNull(), F.col(place))
         ends.append((F.max_by if forward else F.min_by)(value, at).alias(end))
         carry.append(F.last(end, True).over(Window.orderBy(along(part)).rowsBetween(*before)).alias(end))
-        filled[name] = F.coalesce(F.last(value, True).over(Window.partitionBy(part).orderBy(along(n)).rowsBetween(*so_far)), F.col(end))
-    carried = ranked.groupBy(part).agg(*ends).select(part, *carry)  # one row per range
-    return ranked.join(F.broadcast(carried), part).withColumns(filled).select(*[F.col(f"`{c}`") for c in df.columns])
+        filled[name] = F.coalesce(F.last(value, True).over(Window.partitionBy(part).orderBy(along(place)).rowsBetween(*so_far)), F.col(end))
+    carried = placed.groupBy(part).agg(*ends).select(part, *carry)  # one row per range
+    return placed.join(F.broadcast(carried), part).withColumns(filled).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _steps(spec) -> list[Mapping]:

@@ -257,6 +257,31 @@ def test_backward_fills_read_each_row_once(spark):
     assert at == {i: (next(filter(None, v[i:]), None), next(filter(None, w[i:]), None), next(filter(None, f[i::-1]), None)) for i in range(995)}
 
 
+def test_fills_shuffle_rows_twice(spark, tmp_path):
+    """Once into ranges, and once to fill; the last values of the ranges come from partial sums, and no row is sorted by its keys again."""
+    n = 20_000
+    df = spark.range(n).selectExpr("CASE WHEN id % 7 <> 0 THEN CAST(id AS STRING) END AS k", "id", "CASE WHEN id % 50 = 3 THEN CAST(id AS STRING) ELSE 'x' END AS v", "CAST(id % 11 AS STRING) AS w").repartition(5)
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    df.write.parquet(f"{tmp_path}/t")
+    before = shuffled()
+    fills = {"v": [{"blank_out": ["x"], "fill": "backward"}], "w": [{"blank_out": ["3", "4"], "fill": "forward"}]}
+    got = replace.apply_replacements(spark.read.parquet(f"{tmp_path}/t"), fills, ("k", "id"))
+    got.write.parquet(f"{tmp_path}/out")
+    assert 2 * n <= sum(count for stage, count in shuffled().items() if stage not in before) < 2.1 * n
+    rows = sorted(df.collect(), key=lambda r: (r.k is None, r.k or "", r.id))
+    want, v, w = {r.id: [r.k] for r in rows}, None, None
+    for r in reversed(rows):
+        want[r.id].append(v := r.v if r.v != "x" else v)
+    for r in rows:
+        want[r.id].append(w := r.w if r.w not in ("3", "4") else w)
+    assert {r.id: [r.k, r.v, r.w] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+
+
 def test_geo(spark):
     df = spark.createDataFrame([("59.3, 18.1",), (None,)], "p string")
     out = geo.geo_split(df, "p").collect()
